@@ -149,3 +149,44 @@ def licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, list[str
         F.col("d.doc_id").alias("doc_id"), "n_words", F.size("at").cast("long").alias("n_base"), F.array_min("at").cast("long").alias("first_word"),
         F.array_max("at").cast("long").alias("last_word"), F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"),
     )
+
+
+def oracle() -> str:
+    """DuckDB SQL for licenses() where doc_id is unique: k-grams as text instead of hashes."""
+    rows, n = [], 0
+    for label, texts in TEMPLATES.items():
+        for text in texts:
+            w = words_of(text)
+            n += 1
+            rows += [f"('{' '.join(w[i : i + K])}', '{label}', {n}, {i}, {len(w) - K + 1})" for i in range(len(w) - K + 1)]
+    base = ", ".join(f"('{p}', '{v}', {len(p.split())})" for p, v in BASE.items())
+    return f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+), t(gram, label, template, at, grams) AS (VALUES {', '.join(rows)}
+), p(phrase, label, n) AS (VALUES {base}
+), k AS (
+  SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS gram, w[i + 1] || ' ' || w[i + 2] AS pair
+  FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d)
+), v AS (
+  SELECT doc_id, label, template, grams, i - at AS diagonal, i AS pos, at FROM k JOIN t USING (gram)
+), g AS (
+  SELECT doc_id, label, template, grams, diagonal, min(pos) AS first, max(pos) AS last, list(DISTINCT at) AS ats FROM v GROUP BY ALL
+), f AS (
+  SELECT *, coalesce(diagonal - lag(diagonal) OVER o > {SLACK}, true)::INT AS far FROM g WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)
+), m AS (
+  SELECT *, sum(far) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS part FROM f
+), s AS (
+  SELECT doc_id, label, len(list_distinct(flatten(list(ats)))) / grams AS cover, max(last) + {K} - min(first) AS size, grams FROM m GROUP BY doc_id, label, template, grams, part
+), x AS (
+  SELECT doc_id, list(DISTINCT label) AS more, max(cover) AS cover FROM s WHERE cover >= {COVER} AND size <= (grams + {K - 1}) * {STRETCH} + {SLACK} GROUP BY doc_id
+), b AS (
+  SELECT doc_id, count(*) AS n, min(i) AS first, max(i) AS last, list(DISTINCT label) AS labels
+  FROM k JOIN p ON CASE WHEN p.n = 2 THEN k.pair ELSE k.gram END = p.phrase GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.first::BIGINT AS first_word, b.last::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(x.more, [])))), ',') AS labels,
+  greatest(coalesce(x.cover, 0.0::DOUBLE), CASE WHEN b.n > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS score
+FROM d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN x ON d.doc_id = x.doc_id
+"""
