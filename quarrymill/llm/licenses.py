@@ -163,15 +163,15 @@ def oracle() -> str:
     return f"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
-), t(gram, label, template, at, grams) AS (VALUES {', '.join(rows)}
+), t(gram, label, template, place, grams) AS (VALUES {', '.join(rows)}
 ), p(phrase, label, n) AS (VALUES {base}
 ), k AS (
   SELECT doc_id, i, w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] AS gram, w[i + 1] || ' ' || w[i + 2] AS pair
   FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d)
 ), v AS (
-  SELECT doc_id, label, template, grams, i - at AS diagonal, i AS pos, at FROM k JOIN t USING (gram)
+  SELECT doc_id, label, template, grams, i - place AS diagonal, i AS pos, place FROM k JOIN t USING (gram)
 ), g AS (
-  SELECT doc_id, label, template, grams, diagonal, min(pos) AS first, max(pos) AS last, list(DISTINCT at) AS ats FROM v GROUP BY ALL
+  SELECT doc_id, label, template, grams, diagonal, min(pos) AS first, max(pos) AS last, list(DISTINCT place) AS ats FROM v GROUP BY ALL
 ), f AS (
   SELECT *, coalesce(diagonal - lag(diagonal) OVER o > {SLACK}, true)::INT AS far FROM g WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)
 ), m AS (
