@@ -43,6 +43,8 @@ BUCKET = 32
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 14
 GROUPS = 4
+#: Links that one file of a round holds.
+FILE = 250_000
 
 
 def _signed(x: int) -> int:
@@ -127,16 +129,18 @@ def links(spark: SparkSession, points: DataFrame, scratch: Scratch) -> DataFrame
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each node of the edges (a, b), root being the component's smallest
     node; by alternating large and small stars, each round written to the shared folder.
-    The largest neighbourhoods are joined, not gathered, so a hub's rows can be split."""
+    The largest neighbourhoods are joined, not gathered, so a hub's rows can be split.  Links
+    are few beside documents; their number sets how many files a round writes."""
     state, k = None, 0
+    files = 1 + edges.count() // FILE
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = scratch.write(large.where("u > v"), f"large{k}")
+        down = scratch.write(large.where("u > v").coalesce(files), f"large{k}")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = scratch.write(small.distinct().select(F.col("u").alias("b"), F.col("v").alias("a")), f"small{k}")
+        edges = scratch.write(small.distinct().select(F.col("u").alias("b"), F.col("v").alias("a")).coalesce(files), f"small{k}")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break
