@@ -18,12 +18,17 @@ score 0; rows alike in doc_id and text get the same result each; a null doc_id k
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrymill.llm.common import Scratch
+from quarrymill.llm.common import Scratch, bounded_batches
 
 K = 3
 SLACK = 2
@@ -31,7 +36,14 @@ SLACK = 2
 COVER = 0.6
 #: A span may be so many times as long as its template.
 STRETCH = 1.5
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Bytes of a text whose words are held at once.
+BLOCK = 1 << 20
+#: K-grams of a batch from Python.
+ROWS = 1 << 16
+SEED = 42
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 1)
+#: A-Z in lower case; other ASCII but a-z and 0-9 becomes a blank.
+_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 # Phrases and their labels.
@@ -74,8 +86,39 @@ def words_of(text: str) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, UPPER.lower())))
 
 
-def words(text: str = "text") -> F.Column:
-    return F.regexp_extract_all(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, UPPER.lower()), F.lit(WORD), F.lit(0))
+def rolling(text: str | None) -> Iterator[tuple[int, np.ndarray]]:
+    """Hashes of all k-grams of a text's words, in blocks: the first one's position, and hashes.
+    A k-gram's hash is a polynomial of its words' XXH64, modulo 2^64."""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS)
+    held, at, pos = np.zeros(0, np.uint64), 0, 0
+    while at < len(data):
+        end = data.find(b" ", at + BLOCK)
+        end = len(data) if end < 0 else end
+        words = data[at:end].split()
+        h = np.concatenate((held, np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(SEED)), np.uint64, len(words))))
+        n = len(h) - K + 1
+        if n > 0:
+            yield pos, sum(h[i : n + i] * np.uint64(f) for i, f in enumerate(_FACTORS)).view(np.int64)
+            pos, h = pos + n, h[n:]
+        held, at = h, end
+
+
+def base_places(text: str | None) -> tuple[int, list[int], list[str]]:
+    """The number of words, the places of the base phrases, and the labels of those found."""
+    data = (text or "").encode("utf-8", "surrogatepass").translate(_WORDS)
+    flat = b" " + (b" ".join(data.split()) if len(data) < 4 * BLOCK else re.sub(rb" +", b" ", data).strip(b" ")) + b" "
+    places, labels = [], []
+    for phrase, label in BASE.items():
+        sought, at = f" {phrase} ".encode(), -1
+        start = seen = 0
+        before = len(places)
+        while (at := flat.find(sought, at + 1)) >= 0:
+            seen += flat.count(b" ", start, at)
+            start = at
+            places.append(seen)
+        if len(places) > before:
+            labels.append(label)
+    return flat.count(b" ") - 1 if len(flat) > 2 else 0, places, labels
 
 
 def template_grams(spark: SparkSession, templates: dict[str, list[str]] | None = None) -> DataFrame:
@@ -85,9 +128,8 @@ def template_grams(spark: SparkSession, templates: dict[str, list[str]] | None =
         for text in texts:
             w = words_of(text)
             n += 1
-            rows += [(" ".join(w[i : i + K]), label, n, i, len(w) - K + 1) for i in range(len(w) - K + 1)]
-    table = spark.createDataFrame(rows, "gram string, label string, template int, at int, grams int")
-    return table.select(F.xxhash64(*(F.split("gram", " ")[i] for i in range(K))).alias("hash"), "label", "template", "at", "grams")
+            rows += [(int(h), label, n, i, len(w) - K + 1) for at, hashes in rolling(text) for i, h in enumerate(hashes, at)]
+    return spark.createDataFrame(rows, "hash long, label string, template int, at int, grams int")
 
 
 def _row_key() -> list[F.Column]:
@@ -97,10 +139,30 @@ def _row_key() -> list[F.Column]:
 def spans(spark: SparkSession, docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """The verified spans of each text: doc_id, digest, chars, label, template, start and stop
     (words), cover (the share of the template's k-grams that stand in it)."""
-    # A text with less than K words has no k-gram.
-    listed = docs.select(*_row_key(), words().alias("w")).where(F.size("w") >= K)
-    grams = F.transform(F.sequence(F.lit(1), F.size("w") - (K - 1)), lambda i: F.xxhash64(*(F.element_at("w", i + j) for j in range(K))))
-    rolled = listed.select("doc_id", "digest", "chars", F.posexplode(grams).alias("pos", "hash"))
+    bounded_batches(spark)
+
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, parts = 0, []
+            for row, text in enumerate(batch.column("text").to_pylist()):
+                for pos, hashes in rolling(text):
+                    parts.append((row, pos, hashes))
+                    n += len(hashes)
+                    if n >= ROWS:
+                        yield rolled_batch(batch, parts)
+                        n, parts = 0, []
+            if parts:
+                yield rolled_batch(batch, parts)
+
+    def rolled_batch(batch: pa.RecordBatch, parts: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+        size = np.array([len(h) for _, _, h in parts])
+        take = pa.array(np.repeat(np.array([r for r, _, _ in parts], np.int64), size))
+        pos = np.concatenate([np.arange(p, p + len(h), dtype=np.int32) for _, p, h in parts])
+        keys = [batch.column(c).take(take) for c in ("doc_id", "digest", "chars")]
+        return pa.RecordBatch.from_arrays([*keys, pa.array(pos), pa.array(np.concatenate([h for _, _, h in parts]))], names=["doc_id", "digest", "chars", "pos", "hash"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rolled = docs.select(*_row_key(), "text").mapInArrow(roll, f"doc_id {kind}, digest long, chars int, pos int, hash long")
     met = rolled.join(F.broadcast(template_grams(spark, templates)), "hash")
     key = ["doc_id", "digest", "chars", "label", "template", "grams"]
     votes = met.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal"), "at").agg(F.min("pos").alias("pos"))  # repeated rows vote once
@@ -115,16 +177,6 @@ def spans(spark: SparkSession, docs: DataFrame, templates: dict[str, list[str]]
     return merged.where(fits).select("doc_id", "digest", "chars", "label", "template", "start", "stop", "cover")
 
 
-def base_places(w: F.Column, phrase: str) -> F.Column:
-    """Positions in the word array w at which the phrase's words stand."""
-    parts = phrase.split(" ")
-    # The first word is rare: only its places are looked at.
-    return F.filter(
-        F.transform(w, lambda x, i: F.when(x == parts[0], i)),
-        lambda i: i.isNotNull() & F.coalesce(F.array_join(F.slice(w, i + 1, len(parts)), " ") == phrase, F.lit(False)),
-    )
-
-
 def licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for every
     row of docs.  The score is the best cover of a span, or 0.5 at least with a base phrase."""
@@ -132,22 +184,24 @@ def licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, list[str
     docs = docs.select("doc_id", "text")
     found = spans(spark, docs, templates).groupBy("doc_id", "digest", "chars").agg(F.collect_set("label").alias("more"), F.max("cover").alias("cover"))
     found = scratch.write(found, "found")
-    listed = docs.select(*_row_key(), words().alias("w"))
-    # A text without any of the phrases' first words has no place of theirs.
-    lead = F.arrays_overlap("w", F.array(*(F.lit(p.split(" ")[0]) for p in BASE)))
-    places = [F.when(lead, base_places(F.col("w"), p)).alias(f"p{k}") for k, p in enumerate(BASE)]
-    listed = listed.select("doc_id", "digest", "chars", F.size("w").cast("long").alias("n_words"), *places)
-    every = F.concat(*(F.coalesce(F.col(f"p{k}"), F.array().cast("array<int>")) for k in range(len(BASE))))
-    names = F.filter(F.array(*(F.when(F.size(F.coalesce(f"p{k}", F.array().cast("array<int>"))) > 0, F.lit(v)) for k, v in enumerate(BASE.values()))), lambda x: x.isNotNull())
-    listed = listed.select("doc_id", "digest", "chars", "n_words", every.alias("at"), names.alias("base"))
+
+    @F.arrow_udf("struct<n_words:long,at:array<long>,base:array<string>>")
+    def base(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            got = [base_places(t) for t in batch.to_pylist()]
+            yield pa.StructArray.from_arrays(
+                [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.list_(pa.string()))], names=["n_words", "at", "base"]
+            )
+
+    listed = docs.select(*_row_key(), base.asNondeterministic()(docs["text"]).alias("b")).select("doc_id", "digest", "chars", "b.*")
     joined = listed.alias("d").join(
         found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("d.digest").eqNullSafe(F.col("f.digest")) & F.col("d.chars").eqNullSafe(F.col("f.chars")), "left"
     )
     labels = F.array_sort(F.array_union("base", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.greatest(F.coalesce("cover", F.lit(0.0)), F.when(F.size("base") > 0, 0.5).otherwise(0.0))
     return joined.select(
-        F.col("d.doc_id").alias("doc_id"), "n_words", F.size("at").cast("long").alias("n_base"), F.array_min("at").cast("long").alias("first_word"),
-        F.array_max("at").cast("long").alias("last_word"), F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"),
+        F.col("d.doc_id").alias("doc_id"), "n_words", F.size("at").cast("long").alias("n_base"), F.array_min("at").alias("first_word"),
+        F.array_max("at").alias("last_word"), F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"),
     )
 
 
