@@ -43,8 +43,9 @@ BUCKET = 32
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 14
 GROUPS = 4
-#: Links that one file of a round holds.
+#: Links that one file of a round holds, and rows of the input for each file of other tables.
 FILE = 250_000
+ROWS = 100_000
 
 
 def _signed(x: int) -> int:
@@ -107,12 +108,12 @@ def _keys(table: DataFrame) -> DataFrame:
     return table.select("fp", "at", F.explode(F.array(*made)).alias("k")).select("fp", "at", "k.combo", "k.key")
 
 
-def links(spark: SparkSession, points: DataFrame, scratch: Scratch) -> DataFrame:
+def links(spark: SparkSession, points: DataFrame, scratch: Scratch, files: int) -> DataFrame:
     """Links (a < b) that join exactly the points which chains of linked points join.
-    points: distinct fp."""
+    points: distinct fp; files: the most files that a table of them is written to."""
     keys = _keys(distance_table(points))
-    buckets = scratch.write(keys.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    met = scratch.write(keys.join(buckets, ["combo", "key"]).select("fp", "at", "combo", "key", "n"), "met")
+    buckets = keys.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = scratch.write(keys.join(buckets, ["combo", "key"]).select("fp", "at", "combo", "key", "n").coalesce(files), "met")
     member = F.struct("fp", "at")
     tried = met.where(F.col("n") <= BUCKET).groupBy("combo", "key").agg(F.array_sort(F.collect_list(member)).alias("m"))  # at most BUCKET points
     pairs = tried.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, BUCKET)).alias("y"))
@@ -123,7 +124,7 @@ def links(spark: SparkSession, points: DataFrame, scratch: Scratch) -> DataFrame
     near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))
     shared = crowd.select("fp", F.explode(near).alias("hub")).groupBy("hub").agg(F.collect_list("fp").alias("m"), F.min("fp").alias("a"))  # at most 65 points
     star = shared.where(F.size("m") > 1).select("a", F.explode("m").alias("b")).where("a < b")
-    return scratch.write(pairs.unionByName(star).distinct(), "links")
+    return scratch.write(pairs.unionByName(star).distinct().coalesce(files), "links")
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -156,8 +157,9 @@ def classes(spark: SparkSession, docs: DataFrame, carry: list[str] | None = None
     reads tables in the shared folder; no text is shuffled."""
     scratch = Scratch(spark, "neardup")
     signed = scratch.write(docs.select("doc_id", *(carry or ()), fingerprints(spark, docs).alias("fp")), "signed")
-    points = scratch.write(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
-    roots = scratch.write(components(spark, links(spark, points.select("fp"), scratch), scratch), "roots")
+    files = 1 + signed.count() // ROWS
+    points = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(spark, links(spark, points.select("fp"), scratch, files), scratch)
     grouped = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "root", "component_id")
