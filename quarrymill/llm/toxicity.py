@@ -14,6 +14,7 @@ is 0; repeated rows get equal scores.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -96,25 +97,26 @@ def fit(rows: list[tuple[str, int]], most: int = 2000, least: int = 8, rounds: i
     labels = np.array([y for _, y in rows], np.float64)
     if not len(rows) or labels.min() == labels.max():
         return ToxicityModel()
-    bags = [[{f for w in set(WORD.findall(text, a, b)) for f in features(w)} for a, b in sentences(text)] for text in (t.lower() for t, _ in rows)]
+    # Two passes over the texts, so that features are held as numbers only.
     df, hot = Counter(), Counter()
-    for bag, y in zip(bags, labels, strict=True):
-        words = set().union(*bag) if bag else set()
-        df.update(words)
+    for text, y in rows:
+        found = {f for w in set(WORD.findall(text.lower())) for f in features(w)}
+        df.update(found)
         if y:
-            hot.update(words)
+            hot.update(found)
     base = labels.mean()
-    z = {w: (hot[w] - n * base) / np.sqrt(n * base * (1 - base)) for w, n in df.items() if n >= least}
-    chosen = sorted(sorted(z), key=lambda w: -abs(z[w]))[:most]
-    index = {w: i for i, w in enumerate(chosen)}
-    feature, sentence, doc = [], [], []
-    for d, bag in enumerate(bags):
-        for words in bag:
-            got = sorted(index[w] for w in words if w in index)
-            feature += got
-            sentence += [len(doc)] * len(got)
+    z = {f: (hot[f] - n * base) / np.sqrt(n * base * (1 - base)) for f, n in df.items() if n >= least}
+    chosen = sorted(sorted(z), key=lambda f: -abs(z[f]))[:most]
+    index = {f: i for i, f in enumerate(chosen)}
+    feature, sentence, doc = array("q"), array("q"), array("q")
+    for d, (text, _) in enumerate(rows):
+        text = text.lower()
+        for a, b in sentences(text):
+            got = sorted({index[f] for w in set(WORD.findall(text, a, b)) for f in features(w) if f in index})
+            feature.extend(got)
+            sentence.extend([len(doc)] * len(got))
             doc.append(d)
-    feature, sentence, doc = (np.array(x, np.int64) for x in (feature, sentence, doc))
+    feature, sentence, doc = (np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64) for x in (feature, sentence, doc))
     n = len(doc)
     w, bias = np.zeros(len(chosen)), -5.0
     m, v, beta = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), (0.9, 0.99)
@@ -134,7 +136,7 @@ def fit(rows: list[tuple[str, int]], most: int = 2000, least: int = 8, rounds: i
     return ToxicityModel(float(bias), {c: float(x) for c, x in zip(chosen, w, strict=True) if abs(x) >= 0.05})
 
 
-def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_chars: int = 20_000) -> ToxicityModel:
+def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 6000, max_chars: int = 20_000) -> ToxicityModel:
     """Fits on at most about max_rows labelled rows outside the held-out fold, chosen by a hash."""
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = marks.count()
@@ -164,7 +166,7 @@ def scores(spark: SparkSession, docs: DataFrame, model: ToxicityModel, text: str
     return run.asNondeterministic()(docs[text])
 
 
-def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> DataFrame:
+def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
     """doc_id, held_out, score, predicted, n_sentences and the offending sentences' spans."""
     docs = docs.select("doc_id", "text")
     model = train(spark, docs, labels, max_rows)
