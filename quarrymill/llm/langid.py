@@ -74,8 +74,7 @@ def vector(text: str) -> np.ndarray:
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
     """A linear support vector machine with squared hinge loss, by accelerated gradient
-    descent; classes weigh the same.  Returns weights with the bias last."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
+    descent; classes weigh the same.  The last column of x is 1, for the bias."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
     # The rows have length sqrt(2), so the gradient's Lipschitz constant is at most 4 + penalty.
     step, w, last = 1 / (4 + penalty), np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
@@ -116,13 +115,23 @@ class LanguageModel:
         return self.langs[f][best], float(min(1.0, max(0.0, share * inner)))
 
 
-def fit(labelled: list[tuple[str, np.ndarray]]) -> LanguageModel:
-    """Trains on (language, vector) rows."""
-    labelled = sorted(labelled, key=lambda r: (r[0], r[1].tobytes()))
+def sparse(v: np.ndarray) -> bytes:
+    """A vector's places and values, at most SIZE of either."""
+    at = np.flatnonzero(v)
+    return at.astype(np.uint16).tobytes() + v[at].astype(np.float16).tobytes()
+
+
+def fit(labelled: list[tuple[str, bytes]]) -> LanguageModel:
+    """Trains on rows of a language and a sparse vector."""
+    labelled = sorted(labelled)
     names = sorted({lang for lang, _ in labelled})
     if not names:
         return LanguageModel()
-    x = np.stack([v for _, v in labelled])
+    x = np.zeros((len(labelled), SIZE + 1), np.float32)
+    x[:, -1] = 1
+    for row, (_, raw) in zip(x, labelled, strict=True):
+        n = len(raw) // 4
+        row[np.frombuffer(raw[: 2 * n], np.uint16)] = np.frombuffer(raw[2 * n :], np.float16)
     y = np.array([names.index(lang) for lang, _ in labelled])
     kin = [family_of(n) for n in names]
     families = sorted(set(kin))
@@ -161,19 +170,11 @@ def train(spark: SparkSession, docs: DataFrame, per_language: int = 500, max_byt
                 if not LETTER.search(text):
                     out.append(b"")
                     continue
-                v = vector(text)
-                at = np.flatnonzero(v)
-                out.append(at.astype(np.uint16).tobytes() + v[at].astype(np.float16).tobytes())
+                out.append(sparse(vector(text)))
             yield pa.array(out, pa.binary())
 
-    labelled = []
-    for r in sample.select("lang", features("text").alias("x")).toLocalIterator():
-        if raw := bytes(r["x"]):
-            n = len(raw) // 4
-            v = np.zeros(SIZE, np.float32)
-            v[np.frombuffer(raw[: 2 * n], np.uint16)] = np.frombuffer(raw[2 * n :], np.float16)
-            labelled.append((r["lang"], v))
-    return fit(labelled)
+    rows = sample.select("lang", features("text").alias("x")).where(F.octet_length("x") > 0)
+    return fit([(r["lang"], bytes(r["x"])) for r in rows.toLocalIterator()])
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: LanguageModel, text: str = "text") -> F.Column:

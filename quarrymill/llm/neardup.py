@@ -32,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrymill.llm.common import Scratch, bounded_batches
 
@@ -176,11 +177,10 @@ def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the smallest doc_id (nulls last), among its
     equals the smallest text digest; rows alike in both are one."""
     columns = docs.columns
-    marked = docs.withColumn("__digest", F.xxhash64("text")).withColumn("__null", F.col("doc_id").isNull())
-    found = classes(spark, marked, ["__digest", "__null"])
-    first = found.groupBy("root").agg(F.min(F.struct("__null", "doc_id", "__digest")).alias("k"), F.count(F.lit(1)).alias("n"))
-    first = first.select(F.col("k.doc_id").alias("__id"), F.col("k.__digest").alias("__digest"), (F.col("n") > 1).alias("__many")).distinct()
-    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["__id"]) & (marked["__digest"] == first["__digest"])).select(*(marked[c] for c in columns), first["__many"])
-    # Repeated rows are in components of several rows; only their survivors need comparing.
-    many = kept.where("__many").select(*columns).dropDuplicates(["doc_id", "text"])
-    return kept.where("NOT __many").select(*columns).unionByName(many)
+    key = ["__id", "__null", "__digest"]
+    marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__null": F.col("doc_id").isNull(), "__digest": F.xxhash64("text")})
+    found = classes(spark, marked, key)
+    first = found.groupBy("root").agg(F.min(F.struct("__null", "__id", "__digest")).alias("k")).select(*(f"k.{c}" for c in key))
+    # The one shuffle of texts; the numbering keeps its partitions and order.
+    kept = marked.join(first, key)
+    return kept.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*key))).where("__n = 1").select(*columns)
