@@ -11,6 +11,7 @@ from quarrymill.operators import patch as pt
 from quarrymill.operators import rank as rk
 from quarrymill.operators import relational as rel
 from quarrymill.operators import stats as st
+from quarrymill.operators.graph import checkpointed
 
 # Strategies from the least to the greatest, with base effort in man-days.
 STRATEGIES = {"AUTO_SIMPLE": 0.5, "AUTO_ASSISTED": 1.5, "SEMI": 3.0, "MANUAL": 5.0, "DEFER": 8.0}
@@ -53,7 +54,8 @@ def strategy(config: Pipeline) -> F.Column:
 def scores(inventory: DataFrame, metrics: DataFrame, graph: dict[str, DataFrame], config: Pipeline, pilot: DataFrame | None = None, override: DataFrame | None = None) -> DataFrame:
     """s4_scores.  Effort is estimated before components are promoted and overrides apply."""
     dep, com = dependency_features(inventory, graph["s3_edges"], graph["s3_nodes"]), complexity_features(metrics)
-    features = dep.join(com, "SP_ID")
+    features = checkpointed(dep.join(com, "SP_ID"))
+    dep, com = features.select(dep.columns), features.select(com.columns)
     d = rk.weighted_composite(rk.percentile_ranks(rk.long_form(dep, "SP_ID", list(config.dependency)), "SP_ID"), "SP_ID", config.dependency, "D_SCORE")
     c = rk.weighted_composite(rk.percentile_ranks(rk.long_form(com, "SP_ID", list(config.complexity)), "SP_ID"), "SP_ID", config.complexity, "C_SCORE")
     rows = features.join(d, "SP_ID").join(c, "SP_ID").withColumns({"D_SCORE": tx.round2(F.col("D_SCORE")), "C_SCORE": tx.round2(F.col("C_SCORE"))})

@@ -13,6 +13,7 @@ from quarrymill.functions import text as tx
 from quarrymill.operators import rank as rk
 from quarrymill.operators import relational as rel
 from quarrymill.operators import stats as st
+from quarrymill.operators.graph import checkpointed
 from quarrymill.sources import files
 
 # Object types, programs, patterns and words that are no tables.
@@ -24,7 +25,6 @@ HANDLER = rf"(?i)\bWHEN\s+(?:{tx.IDENT}|OTHERS)\s+THEN\b"
 TABLE = r'[A-Za-z0-9_$#.@"]+'
 TABLE_USES = [rf"(?i)\b(?:FROM|JOIN)\s+({TABLE})", rf"(?i)\bINSERT\s+INTO\s+({TABLE})", rf"(?i)\bUPDATE\s+({TABLE})", rf"(?i)\bDELETE\s+(?:FROM\s+)?({TABLE})", rf"(?i)\bMERGE\s+INTO\s+({TABLE})"]
 NO_TABLE = "DUAL SELECT SET WHERE VALUES INTO FROM TABLE THE ONLY LATERAL UNNEST".split()
-REF = "src target rtype resolved target_key detail".split()
 
 
 def scripts(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
@@ -45,7 +45,8 @@ def objects(texts: DataFrame) -> DataFrame:
     out = out.select("path", F.col("h.i").alias("start"), F.col("h.kind").alias("otype"), F.element_at(parts, -1).alias("name"), F.when(F.size(parts) > 1, parts[0]).alias("owner"), F.transform("lines", lambda x: x["t"]).alias("lines"))
     display = F.upper(F.concat_ws(".", "owner", "name"))
     out = out.withColumns({"display": display, "key": F.concat(display, F.when(F.col("otype").endswith("_BODY"), F.concat(F.lit(":"), "otype")).otherwise("")), "is_program": F.col("otype").isin(*PROGRAMS)})
-    return out.groupBy("key").agg(F.max_by(F.struct(*(c for c in out.columns if c != "key")), F.struct("path", "start")).alias("o")).select("key", "o.*")
+    out = out.groupBy("key").agg(F.max_by(F.struct(*(c for c in out.columns if c != "key")), F.struct("path", "start")).alias("o")).select("key", "o.*")
+    return checkpointed(out)  # all later steps start from here
 
 
 def grants(texts: DataFrame) -> DataFrame:
@@ -100,7 +101,8 @@ def references(objs: DataFrame, granted: DataFrame) -> DataFrame:
     grant = g.select(F.col("o.key").alias("src"), F.col("grantee").alias("target"), F.lit("GRANT").alias("rtype"), F.lit(False).alias("resolved"), none.alias("target_key"), F.concat("privs", F.lit(" TO "), "grantee").alias("detail"))
     every = reduce(DataFrame.unionByName, [link, tables, builtin, sequence, package, call, grant])
     rest = F.min(F.struct("resolved", "target_key", "detail"))
-    return every.groupBy("src", "target", "rtype").agg(F.count(F.lit(1)).alias("count"), rest.alias("r")).select("src", "target", "rtype", "r.resolved", "r.target_key", "r.detail", "count")
+    out = every.groupBy("src", "target", "rtype").agg(F.count(F.lit(1)).alias("count"), rest.alias("r")).select("src", "target", "rtype", "r.resolved", "r.target_key", "r.detail", "count")
+    return checkpointed(out)
 
 
 def _weights(name: str, weights: dict[str, float], default: float) -> F.Column:
@@ -129,7 +131,7 @@ def scores(objs: DataFrame, m: DataFrame, refs: DataFrame, config: Scorer | None
     a, b, c = config.composite
     rows = rows.withColumns({"v": a * F.col("loc") / config.loc_divisor, "x": b * cx, "y": c * F.col("dep"), "impact": F.round(sum((F.coalesce(k, F.lit(0)) * float(v) for k, v in config.impact.items()), F.lit(0.0)), 2)})
     whole = F.col("v") + F.col("x") + F.col("y")
-    rows = rows.withColumns({"band": band(whole, config), "absolute": F.round(whole, 2)})
+    rows = checkpointed(rows.withColumns({"band": band(whole, config), "absolute": F.round(whole, 2)}))
     normal = {"rank": rk.strict_ranks, "minmax": rk.minmax}[config.normalisation](rk.long_form(rows, "key", ["absolute", "impact"]), "key")
     normal = normal.groupBy("key").agg(F.max(F.when(F.col("metric") == "absolute", F.col("score"))).alias("cn"), F.max(F.when(F.col("metric") == "impact", F.col("score"))).alias("im"))
     w = config.final_weights

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarrymill.config import Pipeline, Scorer, merge
 from quarrymill.functions import text as tx
+from quarrymill.operators import graph as gr
 from quarrymill.plans import checks, depgraph, inventory, metrics, scoring, sqlfolder
 from quarrymill.schemas import INPUTS
 from quarrymill.sources import files
@@ -36,7 +37,7 @@ A,HEAVY,PROCEDURE,2,  PRAGMA AUTONOMOUS_TRANSACTION;
 A,HEAVY,PROCEDURE,3,  CURSOR c IS SELECT ID FROM ORD; -- a comment
 A,HEAVY,PROCEDURE,4,BEGIN
 A,HEAVY,PROCEDURE,5,"  EXECUTE IMMEDIATE 'DELETE FROM ' || v_tab;"
-A,HEAVY,PROCEDURE,6,"  EXECUTE IMMEDIATE 'INSERT INTO LOGT VALUES (''x'')';"
+A,HEAVY,PROCEDURE,6,"  EXECUTE IMMEDIATE 'DELETE FROM LOGT WHERE X = ''x'' ';"
 A,HEAVY,PROCEDURE,7,  MERGE INTO ORD USING d ON (1=1); COMMIT; ROLLBACK;
 A,HEAVY,PROCEDURE,8,  FOR r IN c LOOP NULL; END LOOP; DBMS_OUTPUT.PUT_LINE(1);
 A,HEAVY,PROCEDURE,9,EXCEPTION WHEN OTHERS THEN NULL;
@@ -88,12 +89,12 @@ CONFIG = Pipeline(target_schemas=("A", "B"), exclude_name_patterns=("^TMP_",))
 @pytest.fixture(scope="module")
 def stages(spark, t):
     inv, gone = inventory.inventory(t, CONFIG)
-    inv = inv.cache()
-    m = metrics.metrics(t, inv).cache()
+    inv = gr.checkpointed(inv)
+    m = gr.checkpointed(metrics.metrics(t, inv))
     sql, hints = metrics.sql_inventory(t, inv), metrics.dynamic_hints(t, inv)
     jobs = spark.createDataFrame([("night.sql", "begin a.heavy; end;")], "ACTION_FILE string, text string")
     g = depgraph.build(t, inv, sql, hints, inventory.grant_matrix(t), jobs)
-    return inv, gone, m, sql, hints, {k: v.cache() for k, v in g.items()}
+    return inv, gone, m, sql, hints, {k: gr.checkpointed(v) for k, v in g.items()}
 
 
 def test_sources(spark, t):
@@ -125,7 +126,7 @@ def test_metrics(spark, t, stages):
     assert (by["A.PKG.GET_ONE#0"].CURSOR_REF, by["A.PKG.GET_ONE#0"].OUT_PARAM, by["A.PKG.GET_ONE#0"].REF_CURSOR_OUT, by["A.PKG.GET_ONE#0"].PARSE_MODE) == (1, 1, 1, "REGEX")
     assert by["A.PKG.CALC#0"].GLOBAL_PKG_VAR == 3 and by["A.TRG"].MUTATING_TRIGGER_RISK == 1 and by["A.HIDDEN"].PARSE_MODE == "SKIPPED" and by["A.LIGHT"].DB_LINK == 1
     heavy = [(r.STMT_SEQ, r.DML_TYPE, r.TABLES_RAW, r.DYNAMIC_KIND) for r in sql.where("SP_ID = 'A.HEAVY'").orderBy("STMT_SEQ").collect()]
-    assert (2, "INSERT", "LOGT", "LITERAL") in heavy and ("MERGE", "ORD") in {(x[1], x[2]) for x in heavy} and ("SELECT", "ORD") in {(x[1], x[2]) for x in heavy}
+    assert (2, "DELETE", "LOGT", "LITERAL") in heavy and ("MERGE", "ORD") in {(x[1], x[2]) for x in heavy} and ("SELECT", "ORD") in {(x[1], x[2]) for x in heavy}
     assert [(r.VARIABLES, r.RESOLVED_TABLES) for r in hints.collect()] == [("v_tab", "")]
     solved = spark.createDataFrame([("A.HEAVY", "LOGT;ORD", "seen", 0)], "SRC_SP_ID string, RESOLVED_TABLES string, REASON string, _ord int")
     assert metrics.dynamic_hints(t, stages[0], solved).first().RESOLVED_TABLES == "LOGT;ORD"
@@ -150,7 +151,7 @@ def test_graph(stages):
 
 def test_scores_and_reports(spark, t, stages, tmp_path):
     inv, _, m, _, _, g = stages
-    s = scoring.scores(inv, m, g, CONFIG).cache()
+    s = gr.checkpointed(scoring.scores(inv, m, g, CONFIG))
     by = {r.SP_ID: r for r in s.collect()}
     assert by["A.HEAVY"].STRATEGY == "DEFER" and by["A.LIGHT"].STRATEGY == "DEFER" and by["A.LIGHT"].PROMOTED and by["A.TRG"].STRATEGY == "DEFER"
     assert all(0 <= r.D_SCORE <= 100 and 0 <= r.C_SCORE <= 100 and r.EFFORT_P90 == pytest.approx(1.5 * r.EFFORT_EST_MD, abs=0.011) for r in by.values())
@@ -201,21 +202,21 @@ def test_folder_scorer(spark, tmp_path):
         "CREATE PROCEDURE app.prc_log(a NUMBER) IS\nBEGIN\n  -- nothing PKG_X.Y\n  NULL;\nEND;\n/\nCREATE PROCEDURE \"PRC_SET\" IS\nBEGIN\n  FOR r IN (SELECT a FROM (SELECT a FROM ord)) LOOP\n    EXECUTE IMMEDIATE 'x'; pkg_o.put; PRC_LOG(2); DBMS_OUTPUT.PUT(1); SELECT 1 INTO z FROM t@far;\n  END LOOP;\nEND;\n/\n"
     )
     texts = sqlfolder.scripts(spark, str(tmp_path)).cache()
-    objs, gr = sqlfolder.objects(texts).cache(), sqlfolder.grants(texts)
+    objs, granted = sqlfolder.objects(texts), sqlfolder.grants(texts)
     assert {r.key for r in objs.collect()} == {"APP.PKG_O:PACKAGE_BODY", "APP.ORD", "APP.PRC_LOG", "PRC_SET"}
-    assert [tuple(r) for r in gr.collect()] == [("EXECUTE", "APP.PKG_O", "WEB")]
+    assert [tuple(r) for r in granted.collect()] == [("EXECUTE", "APP.PKG_O", "WEB")]
     m = {r.key: r for r in sqlfolder.metrics(objs).collect()}
     assert (m["PRC_SET"].loop, m["PRC_SET"].nesting, m["PRC_SET"].dynamic, m["PRC_SET"].query) == (1, 2, 1, 3)
     assert (m["APP.PKG_O:PACKAGE_BODY"].branch, m["APP.PKG_O:PACKAGE_BODY"].subprogram, m["APP.PKG_O:PACKAGE_BODY"].dml, m["APP.PKG_O:PACKAGE_BODY"].handler) == (1, 1, 2, 1)
-    refs = sqlfolder.references(objs, gr).cache()
+    refs = sqlfolder.references(objs, granted)
     by = {(r.src, r.target, r.rtype): r for r in refs.collect()}
     assert by["APP.PKG_O:PACKAGE_BODY", "ORD", "TABLE"].resolved and ("APP.PKG_O:PACKAGE_BODY", "SEQ_O", "SEQUENCE") in by and ("APP.PKG_O:PACKAGE_BODY", "WEB", "GRANT") in by
     assert by["PRC_SET", "PKG_O", "PACKAGE"].target_key == "APP.PKG_O:PACKAGE_BODY" and ("PRC_SET", "T@FAR", "DB_LINK") in by and ("PRC_SET", "DBMS_OUTPUT.PUT", "BUILTIN") in by and ("PRC_SET", "PRC_LOG", "CALL") in by
-    s = sqlfolder.scores(objs, sqlfolder.metrics(objs), refs, Scorer()).cache()
+    s = sqlfolder.scores(objs, sqlfolder.metrics(objs), refs, Scorer())
     rows = {r.key: r for r in s.collect()}
     assert rows["APP.PRC_LOG"].callers == ["APP.PKG_O:PACKAGE_BODY", "PRC_SET"] and rows["APP.PRC_LOG"].impact == 8.0 and all(0 <= r.final <= 100 for r in rows.values())
     (tmp_path / "s.csv").write_text("﻿Name,MH\nprc_log,4\nprc_set,20\n,3\nx,bad\n")
-    e = sqlfolder.effort(s, files.effort_samples(spark, f"{tmp_path}/s.csv")).cache()
+    e = sqlfolder.effort(s, files.effort_samples(spark, f"{tmp_path}/s.csv"))
     got = {r.key: r for r in e.collect()}
     assert (got["PRC_SET"].p50, got["PRC_SET"].basis) == (20.0, "measured") and got["APP.PKG_O:PACKAGE_BODY"].p90 >= got["APP.PKG_O:PACKAGE_BODY"].p50 > 0
     assert sqlfolder.effort_summary(e).first().confidence == "LOW"
