@@ -11,7 +11,7 @@ from quarrymill.config import Pipeline, Scorer, load
 from quarrymill.operators.graph import checkpointed
 from quarrymill.plans import checks, depgraph, inventory, metrics, scoring, sqlfolder
 from quarrymill.schemas import INPUTS, OVERRIDES
-from quarrymill.sources import files
+from quarrymill.sources import files, render
 
 
 def tables(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
@@ -91,7 +91,9 @@ def main(argv: list[str] | None = None) -> int:
             files.write_csv(df, f"{a.out}/{name}.csv", single=True)
             if a.tag:
                 files.snapshot(df, f"{a.out}/snapshots/{name}", a.tag)
-        files.write_text(spark, f"{a.out}/summary.md", summary(made["s4_scores"]))
+        text = summary(made["s4_scores"])
+        files.write_text(spark, f"{a.out}/summary.md", text)
+        files.write_text(spark, f"{a.out}/summary.html", render.page(text))
         files.write_text(spark, f"{a.out}/graph.mmd", files.mermaid(made["s3_edges"]))
         files.write_text(spark, f"{a.out}/quadrants.svg", files.scatter_svg(made["s4_scores"], "D_SCORE", "C_SCORE"))
         history = files.git_history(a.folder)
