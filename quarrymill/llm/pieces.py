@@ -176,7 +176,7 @@ def encodings(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY
 
 
 def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """docs with the columns of encodings()."""
+    """docs with the columns of encodings(); a column that has one of their names is replaced."""
     names = ("token_ids", "n_tokens", "n_fallback", "score", "round_trip")
     kept = [c for c in docs.columns if c not in names]
     return docs.withColumn("__enc", encodings(spark, docs, vocabulary)).select(*kept, *(f"__enc.{n}" for n in names))
