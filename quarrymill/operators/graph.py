@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 SMALL_EDGES = 2_000_000
 
@@ -95,10 +96,8 @@ def waves(components: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def component_ids(components: DataFrame) -> DataFrame:
-    """node, component, scc_id: components of several nodes numbered from 0 by their least node
-    in descending size order of nothing else; single nodes get -1."""
-    from pyspark.sql.window import Window
-
+    """node, component, scc_id: components of several nodes numbered from 0 by their least node;
+    single nodes get -1.  The numbering's window has a row for each component of several nodes."""
     many = components.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     ids = many.select("component", (F.row_number().over(Window.orderBy("component")) - 1).cast("long").alias("scc_id"))
     return components.join(ids, "component", "left").select("node", "component", F.coalesce("scc_id", F.lit(-1).cast("long")).alias("scc_id"))

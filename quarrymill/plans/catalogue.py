@@ -262,7 +262,6 @@ def grant_check_tristate(t):
     j = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     j = j.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     pairs = j.groupBy("c_nationkey", "s_nationkey").agg(F.count(F.lit(1)).alias("c"))
-    n = t("nation").select("n_nationkey")
     allowed = pairs.where((F.col("c_nationkey") + F.col("s_nationkey")) % 7 == 0)
     checked = rel.tristate(pairs, allowed, ["c_nationkey", "s_nationkey"], F.col("c_nationkey") == F.col("s_nationkey"), "ok")
     return checked.groupBy("ok").agg(F.sum("c").cast("long").alias("n"))
@@ -493,10 +492,8 @@ def topk_stable(t):
 @query("SELECT c_nationkey, list_aggregate(list_slice(list_sort(list(DISTINCT c_custkey)), 1, 5)::VARCHAR[], 'string_agg', ';') AS offenders FROM customer WHERE c_acctbal < 0 GROUP BY 1")
 def sample_offenders(t):
     """Up to five sorted offenders of a group, as messages name them (OP-SO-05)."""
-    from pyspark.sql.window import Window as W
-
     bad = t("customer").where("c_acctbal < 0").select("c_nationkey", "c_custkey").distinct()
-    first = bad.withColumn("rn", F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey"))).where("rn <= 5")
+    first = bad.withColumn("rn", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).where("rn <= 5")
     listed = F.transform(F.array_sort(F.collect_list("c_custkey")), lambda x: x.cast("string"))
     return first.groupBy("c_nationkey").agg(F.array_join(listed, ";").alias("offenders"))
 
