@@ -2,7 +2,9 @@
 betweenness and communities.
 
 Components and waves iterate over DataFrames; every round is checkpointed to the folder in
-spark.checkpoint.dir, which cuts the lineage and survives lost executors.  Betweenness runs
+spark.checkpoint.dir, which cuts the lineage and survives lost executors.  Once a count shows
+that at most ``TASK_EDGES`` edges are left, one task finishes them in linear time: a round costs
+far more than so few edges.  Both ways give the same rows.  Betweenness runs
 Brandes' algorithm for a block of sources in each task over a broadcast adjacency, and
 communities run Louvain in one task; both refuse graphs above ``SMALL_EDGES``.
 """
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SMALL_EDGES = 2_000_000
+#: Edges that one task finishes: two columns of them are some tens of MB.
+TASK_EDGES = 300_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -55,13 +59,88 @@ def _spread_least(labels: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _adjacency(batches: Iterator[pd.DataFrame]) -> dict:
+    """The neighbours of each end of the edges in two columns."""
+    near: dict = {}
+    for batch in batches:
+        for a, b in zip(batch.iloc[:, 0].tolist(), batch.iloc[:, 1].tolist(), strict=True):
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, [])
+    return near
+
+
+def _task_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """node, component of the edges' ends, by Tarjan's algorithm without recursion."""
+    near = _adjacency(batches)
+    seen, low, pending, of = {}, {}, [], {}
+    for start in near:
+        if start in seen:
+            continue
+        seen[start] = low[start] = len(seen)
+        pending.append(start)
+        path = [(start, iter(near[start]))]
+        while path:
+            v, ways = path[-1]
+            for w in ways:
+                if w not in seen:
+                    seen[w] = low[w] = len(seen)
+                    pending.append(w)
+                    path.append((w, iter(near[w])))
+                    break
+                if w not in of:
+                    low[v] = min(low[v], seen[w])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[v])
+                if low[v] == seen[v]:
+                    at = len(pending) - 1
+                    while pending[at] != v:
+                        at -= 1
+                    members = pending[at:]
+                    del pending[at:]
+                    of.update(dict.fromkeys(members, min(members)))
+    if of:
+        yield pd.DataFrame({"node": list(of), "component": list(of.values())})
+
+
+def _task_waves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """component, wave of the ends of an acyclic graph's edges, in topological order."""
+    near = _adjacency(batches)
+    callers = dict.fromkeys(near, 0)
+    for ways in near.values():
+        for w in ways:
+            callers[w] += 1
+    wave = dict.fromkeys(near, 0)
+    ready = [v for v, n in callers.items() if not n]
+    while ready:
+        v = ready.pop()
+        for w in near[v]:
+            wave[w] = max(wave[w], wave[v] + 1)
+            callers[w] -= 1
+            if not callers[w]:
+                ready.append(w)
+    if wave:
+        yield pd.DataFrame({"component": list(wave), "wave": pd.Series(list(wave.values()), dtype="int64")})
+
+
+def _few(edges: DataFrame, bound: int) -> bool:
+    return edges.limit(bound + 1).count() <= bound
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """node, component: the least node of its strongly connected component.  By colouring: the
-    least label is spread forwards, then each colour's root collects backwards what reaches it."""
+    least label is spread forwards, then each colour's root collects backwards what reaches it;
+    at most task_edges edges that are left are finished in one task."""
     left = checkpointed(nodes.select("node").where("node is not null").distinct())
     e = checkpointed(simple_edges(edges).where("src <> dst"))
-    out = None
+    kind, out = left.schema["node"].dataType.simpleString(), None
     while left.limit(1).count():
+        if _few(e, task_edges):
+            inner = e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi")
+            found = inner.select("src", "dst").coalesce(1).mapInPandas(_task_components, f"node {kind}, component {kind}")
+            found = left.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+            return checkpointed(found if out is None else out.unionByName(found))
         colour = _spread_least(left.select("node", F.col("node").alias("label")), e)
         within = e.join(colour.select(F.col("node").alias("src"), F.col("label").alias("ls")), "src").join(colour.select(F.col("node").alias("dst"), F.col("label").alias("ld")), "dst").where("ls = ld")
         back = checkpointed(within.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -79,11 +158,16 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out if out is not None else left.select("node", F.col("node").alias("component"))
 
 
-def waves(components: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, component, wave: the longest path of components from one that nothing calls."""
+def waves(components: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """node, component, wave: the longest path of components from one that nothing calls.  At
+    most task_edges edges between components are finished in one task."""
     c = components
     pairs = simple_edges(edges).join(c.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(c.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
     pairs = checkpointed(pairs.where("a <> b").select("a", "b").distinct())
+    if _few(pairs, task_edges):
+        kind = c.schema["component"].dataType.simpleString()
+        depth = pairs.coalesce(1).mapInPandas(_task_waves, f"component {kind}, wave long")
+        return c.join(depth, "component", "left").select("node", "component", F.coalesce("wave", F.lit(0).cast("long")).alias("wave"))
     depth = checkpointed(c.select("component").distinct().withColumn("wave", F.lit(0).cast("long")))
     front = depth
     while True:
