@@ -163,3 +163,28 @@ def script_metrics(t):
     """Metrics of scripts (OP-TX-27, OP-WN-09, OP-PRJ-10, OP-FLT-05)."""
     m = sqlfolder.metrics(sqlfolder.objects(_scripts(t)))
     return m.select("key", "loc", "branch", F.col("loop").alias("loops"), F.col("query").alias("queries"), "nesting", "dml", F.col("handler").alias("handlers"), "others", "cyclomatic")
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k FROM supplier)
+SELECT 'A.PK' || k || '.ONE#0' AS sp_id, CASE WHEN k % 2 = 0 THEN 2 ELSE 0 END::BIGINT AS globals_used, 0::BIGINT AS mutating FROM s
+UNION ALL SELECT 'A.PK' || k || '.TWO#0', 1, 0 FROM s UNION ALL SELECT 'A.TR' || k, 0, (k % 3 = 0)::BIGINT FROM s
+""")
+def package_state(t):
+    """Subprograms found in packages, uses of package variables, triggers that touch their own table (OP-TX-17, OP-TX-18, OP-TX-20, OP-JN-13, OP-JN-15, OP-JN-28, OP-WN-05)."""
+    s = t("supplier").selectExpr("s_suppkey as k")
+    d = {name: s.sparkSession.createDataFrame([], c.schema) for name, c in INPUTS.items()}
+    package = ("concat('PACKAGE BODY PK', k, ' IS')", "'  g_n NUMBER := 0;'", "'  PROCEDURE ONE IS'", "'  BEGIN'", "if(k % 2 = 0, '  g_n := g_n + 1;', '  NULL;')", "'  END ONE;'", "'  PROCEDURE TWO IS'", "'  BEGIN'", "'  x := g_n;'", "'  END TWO;'")
+    trigger = ("concat('TRIGGER TR', k, ' AFTER UPDATE ON T', k)", "'BEGIN'", "if(k % 3 = 0, concat('UPDATE T', k, ' SET a = 1;'), 'NULL;')", "'END;'")
+    kinds = (("PACKAGE BODY", "PK", package), ("TRIGGER", "TR", trigger))
+    rows = []
+    for kind, prefix, lines in kinds:
+        made = F.array(*(F.struct(F.lit(i).cast("long").alias("LINE"), F.expr(x).alias("TEXT")) for i, x in enumerate(lines, 1)))
+        rows.append(s.select(F.lit("A").alias("OWNER"), F.concat(F.lit(prefix), F.col("k").cast("string")).alias("NAME"), F.lit(kind).alias("TYPE"), F.explode(made).alias("z"), "k"))
+    src = rows[0].unionByName(rows[1])
+    none = F.lit(None).cast("string")
+    d["in_source"] = src.select("OWNER", "NAME", "TYPE", "z.LINE", "z.TEXT")
+    d["in_objects"] = src.where("z.LINE = 1").select("OWNER", F.col("NAME").alias("OBJECT_NAME"), F.col("TYPE").alias("OBJECT_TYPE"), F.lit("VALID").alias("STATUS"), none.alias("CREATED"), none.alias("LAST_DDL_TIME"))
+    d["in_triggers"] = rows[1].where("z.LINE = 1").select("OWNER", F.col("NAME").alias("TRIGGER_NAME"), F.lit("A").alias("TABLE_OWNER"), F.expr("concat('T', k)").alias("TABLE_NAME"), F.lit("ENABLED").alias("STATUS"), none.alias("BODY_FILE"))
+    m = metrics.metrics(d, _inventory(d))
+    return m.select(F.col("SP_ID").alias("sp_id"), F.col("GLOBAL_PKG_VAR").alias("globals_used"), F.col("MUTATING_TRIGGER_RISK").alias("mutating"))
