@@ -1,9 +1,10 @@
 """Secret scans with a random forest; DataFrame and SQL functions only.
 
-Candidates are runs of ``LEAST`` or more token characters with a digit.  Each has features:
-length, transitions between character classes, distinct characters, shares of digits and
-capitals, coverage by a dictionary, known prefixes, signs in the row's path, and words next
-to it.  A random forest trained from labelled findings gives the probability that it is a
+Candidates are runs of ``LEAST`` or more token characters with a digit ("=" only ends one, as padding, so
+that a name and its value are two).  Each has features: length, transitions between character
+classes, distinct characters, shares of digits and capitals, coverage by a dictionary, known
+prefixes, signs in the row's path, and words next to it; these are taken from the text itself,
+earlier candidates included.  A random forest trained from labelled findings gives the probability that it is a
 secret; below ``THRESHOLD`` it counts as a false positive.
 
 The forest is trained by Spark's own library on the labelled findings (a bounded table:
@@ -23,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST = 16
-CANDIDATE = r"[A-Za-z0-9_+/=\-]{16,}"
+CANDIDATE = r"[A-Za-z0-9_+/\-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=\-]))?"
 #: Characters of a candidate's surroundings that are looked at.
 NEAR = 48
+#: The fewest characters of any candidate.
+SHORTEST = LEAST
 THRESHOLD = 0.5
 REDACTED = "[SECRET]"
 
@@ -153,32 +156,45 @@ def forest_sql(model: RandomForestClassificationModel) -> str:
 
 
 def train(spark: SparkSession, labelled: DataFrame | None = None, trees: int = 24, depth: int = 6) -> str:
-    """Trains the forest on labelled findings (c, b, a, p, label) and returns its SQL."""
+    """Trains the forest on labelled findings (c, b, a, p, label) and returns its SQL.  Their
+    texts are scanned as any text is: candidates within c have its label, others 0."""
     rows = findings(spark) if labelled is None else labelled
-    rows = rows.select(F.col("label").cast("double").alias("label"), array_to_vector(F.expr(f"array({', '.join(_over('').values())})")).alias("features"))
-    # One partition order, so that reruns draw the same rows.
-    rows = rows.coalesce(1).cache()
+    # Cached step by step, as each takes its columns many times; one partition order, so that
+    # reruns draw the same rows.
+    texts = rows.selectExpr("cast(label as double) as whole", "c as sought", "p", "concat(coalesce(b, ''), c, coalesce(a, '')) as __text").coalesce(1).cache()
+    split = candidates(texts, "p", "__text").selectExpr("whole", "sought", "inline(__found)").where("c rlike '[0-9]'").cache()
+    label = F.expr("case when contains(c, sought) or contains(sought, c) then whole else 0D end").alias("label")
+    rows = split.select(label, array_to_vector(F.expr(f"array({', '.join(_over('').values())})")).alias("features")).cache()
     if rows.agg(F.count_distinct("label")).first()[0] < 2:
         raise ValueError("labelled findings of both kinds are needed")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=32, seed=42, featureSubsetStrategy="sqrt")
     model = forest.fit(rows)
-    rows.unpersist()
+    for held in (rows, split, texts):
+        held.unpersist()
     return forest_sql(model)
 
 
+def candidates(docs: DataFrame, path: str = "source", text: str = "text") -> DataFrame:
+    """docs with __runs (the candidates), __parts (the texts between them) and __found (each
+    candidate c, the NEAR characters before it b and after it a, and the path p)."""
+    pattern = CANDIDATE.replace("\\", "\\\\")
+    docs = docs.withColumn("__runs", F.expr(f"case when `{text}` is null then array() else regexp_extract_all(`{text}`, '{pattern}', 0) end"))
+    # Most texts have few candidates.
+    docs = docs.withColumn("__parts", F.expr(f"case when size(__runs) > 0 then split(`{text}`, '{pattern}', -1) end"))
+    # So many earlier candidates are NEAR characters long at least.
+    many = -(-NEAR // SHORTEST)
+    earlier = f"transform(slice(__runs, greatest(1, i - {many - 1}), least(i, {many})), (e, k) -> concat(right(__parts[greatest(0, i - {many}) + k], {NEAR}), right(e, {NEAR})))"
+    before = f"right(concat(array_join({earlier}, ''), right(__parts[i], {NEAR})), {NEAR})"
+    after = f"left(concat(left(__parts[i + 1], {NEAR}), coalesce(get(__runs, i + 1), '')), {NEAR})"
+    return docs.withColumn("__found", F.expr(f"case when size(__runs) > 0 then transform(__runs, (r, i) -> named_struct('c', r, 'b', {before}, 'a', {after}, 'p', cast(`{path}` as string))) end"))
+
+
 def scan(docs: DataFrame, forest: str, path: str = "source", text: str = "text") -> DataFrame:
     """docs with __parts (the texts between runs of token characters), __runs (the runs) and
     __p (each run's probability; null for a run without a digit)."""
     features = ", ".join(f"'{k}', {v}" for k, v in _over("z.").items())
-    pattern = CANDIDATE.replace("\\", "\\\\")
-    # Without a digit nothing is a candidate, and most texts have few runs.
-    runs = f"case when `{text}` is null then array() else regexp_extract_all(`{text}`, '{pattern}', 0) end"
-    docs = docs.withColumn("__runs", F.expr(runs)).withColumn("__any", F.expr("exists(__runs, r -> r rlike '[0-9]')"))
-    docs = docs.withColumn("__parts", F.expr(f"case when __any then split(`{text}`, '{pattern}', -1) end"))
-    one = f"transform(array(named_struct('c', r, 'b', right(__parts[i], {NEAR}), 'a', left(__parts[i + 1], {NEAR}), 'p', cast(`{path}` as string))), z -> named_struct({features}))[0]"
-    found = f"transform(__runs, (r, i) -> case when r rlike '[0-9]' then {one} end)"
-    docs = docs.withColumn("__x", F.expr(f"case when __any then {found} end"))
-    return docs.withColumn("__p", F.expr(f"transform(__x, x -> case when x is not null then {forest} end)")).drop("__x", "__any")
+    docs = candidates(docs, path, text).withColumn("__x", F.expr(f"transform(__found, z -> named_struct({features}))"))
+    return docs.withColumn("__p", F.expr(f"transform(__x, (x, i) -> case when __runs[i] rlike '[0-9]' then {forest} end)")).drop("__x", "__found")
 
 
 def findings_of(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None, path: str = "source") -> DataFrame:
