@@ -1,7 +1,9 @@
 """Secret scans with a random forest; DataFrame and SQL functions only.
 
-Candidates are runs of ``LEAST`` or more token characters with a digit ("=" only ends one, as padding, so
-that a name and its value are two).  Each has features: length, transitions between character
+Candidates are runs of ``LEAST`` or more token characters ("=" only ends one, as padding, so
+that a name and its value are two), and values of ``LEAST_KEYED`` or more characters of any
+kind that are assigned to a name with a key word; quoted ones go to their quote and may hold
+blanks, others end at a blank, quote, comma or semicolon.  Each has features: length, transitions between character
 classes, distinct characters, shares of digits and capitals, coverage by a dictionary, known
 prefixes, signs in the row's path, and words next to it; these are taken from the text itself,
 earlier candidates included.  A random forest trained from labelled findings gives the probability that it is a
@@ -24,11 +26,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LEAST = 16
-CANDIDATE = r"[A-Za-z0-9_+/\-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=\-]))?"
+LEAST_KEYED = 4
+_KEY = r"(?i:token|secret|passw(?:or)?d|passphrase|pwd|api[_ -]?key|auth|bearer|credential|private[_ -]?key|access[_ -]?key|client[_ -]?key)[A-Za-z0-9_\-]{0,24}[\x22\x27]?[ \t]{0,4}(?:[:=]=?|=>)[ \t]{0,4}"
+#: A keyed value in quotes, one without, or a run.  Cheap looks behind come first.
+CANDIDATE = (
+    rf"(?<=[\x22\x27])(?<=[:=>][ \t]{{0,4}}[\x22\x27])(?<={_KEY}[\x22\x27])[^\x22\x27\r\n]{{4,}}+(?=[\x22\x27])"
+    rf"|(?<=[:=> \t])(?<=[:=>][ \t]{{0,4}})(?<={_KEY})[^\s\x22\x27,;:=>][^\s\x22\x27,;]{{3,}}+"
+    r"|[A-Za-z0-9_+/\-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=\-]))?"
+)
 #: Characters of a candidate's surroundings that are looked at.
 NEAR = 48
 #: The fewest characters of any candidate.
-SHORTEST = LEAST
+SHORTEST = LEAST_KEYED
 THRESHOLD = 0.5
 REDACTED = "[SECRET]"
 
@@ -61,6 +70,11 @@ FEATURES = {
     "digits": "regexp_count(@c, '[0-9]') / cast(length(@c) as double)",
     "capitals": "regexp_count(@c, '[A-Z]') / cast(length(@c) as double)",
     "hexadecimal": "cast(@c rlike '^([0-9a-f]+|[0-9A-F]+)$' as double)",
+    "consonants": "regexp_count(lower(@c), '[bcdfghjklmnpqrstvwxz]{4}') / cast(length(@c) as double)",
+    "vowels": "regexp_count(lower(@c), '[aeiouy]') / cast(length(@c) as double)",
+    "letters": "cast(@c rlike '^([a-z]+|[A-Z]+|[A-Z][a-z]+)$' as double)",
+    "blanks": r"regexp_count(@c, '[ \t]') / cast(length(@c) as double)",
+    "punctuation": r"regexp_count(@c, '[^A-Za-z0-9 \t_+/=.\-]') / cast(length(@c) as double)",
     "separators": r"regexp_count(@c, '[_+/=\\-]') / cast(length(@c) as double)",
     "dictionary": "1 - length(regexp_replace(lower(@c), '" + "|".join(sorted(DICTIONARY, key=lambda w: (-len(w), w))) + "', '')) / cast(length(@c) as double)",
     "prefix": r"cast(@c rlike '^(AKIA|ASIA|AIza|gh[opsu]_|github_pat_|glpat-|xox[abprs]-|sk-|sk_live_|rk_live_|pk_live_|eyJ|npm_|SG)' as double)",
@@ -93,8 +107,13 @@ def findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     calm = "commit sha1 sha256 md5 checksum uuid etag digest build revision order trace request integrity".split()
     glue = [' = "', " = ", ': "', ": ", "=", '="', " := ", " ", '%%% =### "', '!! =!! "', ' | = | "', '&&& =$$$ "']
     table = spark.range(rows).selectExpr("id", "concat(sha1(concat('a', id)), sha1(concat('b', id))) as h", *(f"{choose(k, DICTIONARY)} as w{k}" for k in range(6)))
+    syllables = "nicht schaft lich keit ung zu ein ver sch en tion ment eau ha ing th er re st on auf gen nth ight str".split()
+    table = table.withColumn("long", F.expr(f"concat({', '.join(choose(40 + k, syllables) for k in range(5))}, 'erstand')"))
     table = table.selectExpr(
         "*", "regexp_replace(base64(unhex(concat(h, h))), '[\\r\\n=]', '') as b64", "upper(translate(h, '0189', 'KQXZ')) as caps", "translate(h, 'abcdef', '480215') as digits",
+        "translate(h, '0123456789abcdef', 'kQzWvTbXmRjNpLcG') as mixed", "translate(h, '0123456789', 'gkmpqvwxyz') as low", "translate(upper(h), '0123456789', 'GKMPQVWXYZ') as high",
+        "concat(substring(w4, 1, 1), substring(w5, 2, 2), substring(w1, 2, 9), substring(w2, 1, 9), w0, 'er') as words",
+        f"{choose(29, [': ', '= ', ' = ', '=', ': '])} as plain", f"{choose(30, ['!', '.', '$', '#', '%', '&', '*', '?'])} as mark",
         f"{choose(21, asked)} as asked", f"{choose(22, calm)} as calm", f"{choose(23, glue)} as glue", f"concat(w0, ' ', w1, ' ', w2, {choose(24, ['. ', ' ', ', '])}) as prose",
         "substring(h, 1, cast(element_at(array(32, 40, 40, 40, 64), cast(1 + pmod(xxhash64(id, 25), 5) as int)) as int)) as hexes",
     )
@@ -122,6 +141,26 @@ def findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         ("concat('xxxxxxxxxxxxxxxx', substring(digits, 1, 4))", "concat(prose, asked, glue)", 0),
         ("concat(substring(b64, 1, 80), substring(b64, 1, 80))", "concat(prose, 'data:image/png;base64,')", 0),
         ("concat('sha512-', b64, b64)", "concat(prose, 'integrity', glue)", 0),
+        # Without a digit, short, or with punctuation.
+        ("substring(mixed, 1, cast(12 + pmod(xxhash64(id, 31), 24) as int))", "concat(prose, asked, ' = \"')", 1),
+        ("substring(low, 1, cast(14 + pmod(xxhash64(id, 31), 20) as int))", "concat(prose, asked, plain)", 1),
+        ("concat('AKIA', substring(high, 1, 16))", "prose", 1),
+        ("substring(b64, 1, cast(8 + pmod(xxhash64(id, 32), 8) as int))", "concat(prose, asked, ': \"')", 1),
+        ("substring(b64, 1, cast(8 + pmod(xxhash64(id, 32), 8) as int))", "concat(prose, asked, plain)", 1),
+        ("concat(substring(b64, 1, 5), mark, substring(b64, 7, 4), mark, substring(digits, 1, 2))", "concat(prose, asked, plain)", 1),
+        ("concat(substring(mixed, 1, 6), mark, substring(b64, 7, 5))", "concat(prose, asked, ' = \"')", 1),
+        ("long", "prose", 0),
+        ("long", "concat(prose, w3, ' | ')", 0),
+        ("case when id % 2 = 0 then initcap(long) else upper(long) end", "prose", 0),
+        ("words", "prose", 0),
+        ("upper(words)", "prose", 0),
+        ("words", "concat(prose, asked, plain)", 0),
+        ("w3", "concat(prose, asked, plain)", 0),
+        ("concat(w3, ' ', w4, ' ', w5)", "concat(prose, asked, ': \"')", 0),
+        ("concat('get_', w3, '(', w4, ')')", "concat(prose, asked, plain)", 0),
+        ("concat('$', '{', upper(w3), '_', upper(w4), '}')", "concat(prose, asked, plain)", 0),
+        ("concat(w3, '.', w4, '.', w5)", "concat(prose, asked, plain)", 0),
+        ("concat(w3, '|', w4, '-', w5, '|', w1)", "prose", 0),
     ]
     pick = lambda k: "case " + " ".join(f"when id % {len(kinds)} = {i} then {x[k]}" for i, x in enumerate(kinds)) + " end"
     paths = "src/main.py config/app.yml deploy/.env web crawl src0 lib/client.js server/settings.json tests/test_main.py docs/readme.md".split()
@@ -162,7 +201,7 @@ def train(spark: SparkSession, labelled: DataFrame | None = None, trees: int = 2
     # Cached step by step, as each takes its columns many times; one partition order, so that
     # reruns draw the same rows.
     texts = rows.selectExpr("cast(label as double) as whole", "c as sought", "p", "concat(coalesce(b, ''), c, coalesce(a, '')) as __text").coalesce(1).cache()
-    split = candidates(texts, "p", "__text").selectExpr("whole", "sought", "inline(__found)").where("c rlike '[0-9]'").cache()
+    split = candidates(texts, "p", "__text").selectExpr("whole", "sought", "inline(__found)").cache()
     label = F.expr("case when contains(c, sought) or contains(sought, c) then whole else 0D end").alias("label")
     rows = split.select(label, array_to_vector(F.expr(f"array({', '.join(_over('').values())})")).alias("features")).cache()
     if rows.agg(F.count_distinct("label")).first()[0] < 2:
@@ -190,11 +229,11 @@ def candidates(docs: DataFrame, path: str = "source", text: str = "text") -> Dat
 
 
 def scan(docs: DataFrame, forest: str, path: str = "source", text: str = "text") -> DataFrame:
-    """docs with __parts (the texts between runs of token characters), __runs (the runs) and
-    __p (each run's probability; null for a run without a digit)."""
+    """docs with __parts (the texts between candidates), __runs (the candidates) and __p (each
+    candidate's probability)."""
     features = ", ".join(f"'{k}', {v}" for k, v in _over("z.").items())
     docs = candidates(docs, path, text).withColumn("__x", F.expr(f"transform(__found, z -> named_struct({features}))"))
-    return docs.withColumn("__p", F.expr(f"transform(__x, (x, i) -> case when __runs[i] rlike '[0-9]' then {forest} end)")).drop("__x", "__found")
+    return docs.withColumn("__p", F.expr(f"transform(__x, x -> {forest})")).drop("__x", "__found")
 
 
 def findings_of(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None, path: str = "source") -> DataFrame:
