@@ -5,7 +5,7 @@ of the license templates' k-grams.  A match votes for its offset diagonal (text
 less template position).  Votes are added up by diagonal, neighbouring diagonals (at most
 ``SLACK`` apart, as small insertions and omissions make them) are merged to a span, and a
 span is verified: enough of the template's own k-grams must stand in it, over a stretch not
-much longer than the template.
+much longer than the template, and among them those that set it apart from its siblings.
 
 The templates are a fixed table of a few hundred k-grams, so their side is broadcast; the
 side of the texts isn't shuffled, only its matches are.  Texts are whole; there is no cap.
@@ -80,6 +80,16 @@ TEMPLATES = {
     "proprietary": ["Unauthorized copying of this file, via any medium is strictly prohibited"],
 }
 
+# K-grams that set a license apart from its siblings.  A span must hold those
+# that its template has.
+SIGNS = (
+    "gnu general public", "gnu lesser general", "gnu affero general", "license version 3", "apache license version", "license version 2", "mozilla public license",
+    "commons attribution 4", "attribution noncommercial 4", "attribution sharealike 4", "cc by 4", "by nc 4", "by sa 4",
+)
+#: Templates that don't name their version: the words that must start at most AFTER words later.
+LATER = {"This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License": "version 3 of"}
+AFTER = 40
+
 
 def words_of(text: str) -> list[str]:
     """The words of a text: A-Z in lower case, runs of a-z, 0-9 and characters beyond ASCII."""
@@ -122,14 +132,19 @@ def base_places(text: str | None) -> tuple[int, list[int], list[str]]:
 
 
 def template_grams(spark: SparkSession, templates: dict[str, list[str]] | None = None) -> DataFrame:
-    """hash, label, template, at (the k-gram's position) and grams (the template's number of k-grams)."""
+    """hash, label, template, at (the k-gram's position), grams (the template's number of k-grams),
+    signs (places of its SIGNS) and later (the template that must follow; those are below 0)."""
     rows, n = [], 0
     for label, texts in (templates or TEMPLATES).items():
         for text in texts:
             w = words_of(text)
             n += 1
-            rows += [(int(h), label, n, i, len(w) - K + 1) for at, hashes in rolling(text) for i, h in enumerate(hashes, at)]
-    return spark.createDataFrame(rows, "hash long, label string, template int, at int, grams int")
+            signs = [i for i in range(len(w) - K + 1) if " ".join(w[i : i + K]) in SIGNS]
+            later = -n if text in LATER else None
+            rows += [(int(h), label, n, i, len(w) - K + 1, signs, later) for at, hashes in rolling(text) for i, h in enumerate(hashes, at)]
+            if later:
+                rows += [(int(h), label, later, i, len(words_of(LATER[text])) - K + 1, [], None) for at, hashes in rolling(LATER[text]) for i, h in enumerate(hashes, at)]
+    return spark.createDataFrame(rows, "hash long, label string, template int, at int, grams int, signs array<int>, later int")
 
 
 def _row_key() -> list[F.Column]:
@@ -164,17 +179,23 @@ def spans(spark: SparkSession, docs: DataFrame, templates: dict[str, list[str]]
     kind = docs.schema["doc_id"].dataType.simpleString()
     rolled = docs.select(*_row_key(), "text").mapInArrow(roll, f"doc_id {kind}, digest long, chars int, pos int, hash long")
     met = rolled.join(F.broadcast(template_grams(spark, templates)), "hash")
-    key = ["doc_id", "digest", "chars", "label", "template", "grams"]
+    key = ["doc_id", "digest", "chars", "label", "template", "grams", "signs", "later"]
     votes = met.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal"), "at").agg(F.min("pos").alias("pos"))  # repeated rows vote once
     votes = votes.groupBy(*key, "diagonal").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("ats"))
     by = Window.partitionBy(*key).orderBy("diagonal")
     far = F.col("diagonal") - F.lag("diagonal").over(by) > SLACK
     merged = votes.withColumn("group", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(by)).groupBy(*key, "group").agg(
-        F.min("first").alias("start"), (F.max("last") + K).alias("stop"), F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("held")
+        F.min("first").alias("start"), (F.max("last") + K).alias("stop"), F.array_distinct(F.flatten(F.collect_list("ats"))).alias("places")
     )  # a diagonal's positions, at most the template's, merged over neighbouring diagonals
-    merged = merged.withColumn("cover", F.col("held") / F.col("grams"))
+    merged = merged.withColumn("cover", F.size("places") / F.col("grams"))
     fits = (F.col("cover") >= COVER) & (F.col("stop") - F.col("start") <= (F.col("grams") + K - 1) * STRETCH + SLACK)
-    return merged.where(fits).select("doc_id", "digest", "chars", "label", "template", "start", "stop", "cover")
+    found = merged.where(fits & (F.size(F.array_except("signs", "places")) == 0))
+    # What must follow is looked for among the spans of the same text.
+    text = Window.partitionBy("doc_id", "digest", "chars")
+    found = found.withColumn("follow", F.collect_list(F.when(F.col("template") < 0, F.struct("template", "start"))).over(text))
+    follows = F.exists("follow", lambda f: (f["template"] == F.col("later")) & (f["start"] >= F.col("stop")) & (f["start"] - F.col("stop") <= AFTER))
+    found = found.where((F.col("template") > 0) & (F.col("later").isNull() | follows))
+    return found.select("doc_id", "digest", "chars", "label", "template", "start", "stop", "cover")
 
 
 def licenses(spark: SparkSession, docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:

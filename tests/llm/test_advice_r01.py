@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quarrymill.llm import secrets
+from quarrymill.llm import licenses, secrets
 
 HEX = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
 KEYED = [
@@ -41,3 +41,19 @@ def test_secrets_without_digit_and_short(spark, forest):
     calm = ["thanonontioniner of hainghethesthing and LAAITIONELLEELLE", "the password: must be changed", 'token: "some plain words"', "password = get_password(user)", "from src/main/resource/handler/factory-builder"]
     got = found(spark, forest, texts + calm)
     assert [got[k] for k in range(len(got))] == [[x] for x in secret] + [[]] * len(calm)
+
+
+FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License"
+SIBLINGS = [
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation", {"gpl"}), (FREE.format("", 2), {"gpl"}), (FREE.format("", 3), {"gpl", "gpl-3.0"}),
+    (FREE.format("Lesser ", 3), {"gpl", "lgpl"}), (FREE.format("Affero ", 3), {"gpl", "agpl"}), ("licensed under the GNU General Public License, version 2", {"gpl"}),
+    ("licensed under the GNU General Public License, version 3", {"gpl", "gpl-3.0"}), ("This work is licensed under a Creative Commons Attribution 4.0 International License", {"cc-by-4.0"}),
+    ("This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", {"cc-by-nc-4.0"}),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", {"cc-by-sa-4.0"}), ("Licensed under the Apache License, Version 2.0", {"apache-2.0"}),
+]
+
+
+def test_license_siblings(spark):
+    got = licenses.licenses(spark, spark.createDataFrame([(k, t) for k, (t, _) in enumerate(SIBLINGS)], "doc_id long, text string"))
+    got = {r.doc_id: set(r.labels.split(",")) for r in got.collect()}
+    assert [got[k] for k in range(len(SIBLINGS))] == [x for _, x in SIBLINGS]
