@@ -30,9 +30,9 @@ LEAST_KEYED = 4
 _KEY = r"(?i:token|secret|passw(?:or)?d|passphrase|pwd|api[_ -]?key|auth|bearer|credential|private[_ -]?key|access[_ -]?key|client[_ -]?key)[A-Za-z0-9_\-]{0,24}[\x22\x27]?[ \t]{0,4}(?:[:=]=?|=>)[ \t]{0,4}"
 #: A keyed value in quotes, one without, or a run.  Cheap looks behind come first.
 CANDIDATE = (
-    rf"(?<=[\x22\x27])(?<=[:=>][ \t]{{0,4}}[\x22\x27])(?<={_KEY}[\x22\x27])[^\x22\x27\r\n]{{4,}}+(?=[\x22\x27])"
-    rf"|(?<=[:=> \t])(?<=[:=>][ \t]{{0,4}})(?<={_KEY})[^\s\x22\x27,;:=>][^\s\x22\x27,;]{{3,}}+"
-    r"|[A-Za-z0-9_+/\-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=\-]))?"
+    rf"(?<=[\x22\x27:=> \t])(?:(?<=[\x22\x27])(?<=[:=>][ \t]{{0,4}}[\x22\x27])(?<={_KEY}[\x22\x27])[^\x22\x27\r\n]{{4,}}+(?=[\x22\x27])"
+    rf"|(?<=[:=> \t])(?<=[:=>][ \t]{{0,4}})(?<={_KEY})[^\s\x22\x27,;:=>][^\s\x22\x27,;]{{3,}}+)"
+    r"|(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{16,}+(?:={1,2}(?![A-Za-z0-9_+/=\-]))?"
 )
 #: Characters of a candidate's surroundings that are looked at.
 NEAR = 48
@@ -239,12 +239,13 @@ def scan(docs: DataFrame, forest: str, path: str = "source", text: str = "text")
 def findings_of(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None, path: str = "source") -> DataFrame:
     """A row for each candidate: doc_id, ordinal, n_chars, probability, is_secret, and the
     candidate's SHA-256 (not itself)."""
-    scanned = scan(docs.select("doc_id", "text", path), train(spark, labelled), path).where("__p is not null")
-    rows = scanned.select("doc_id", F.expr("filter(transform(__runs, (r, i) -> struct(r as r, __p[i] as p)), x -> x.p is not null)").alias("f"))
-    rows = rows.select("doc_id", F.posexplode("f").alias("ordinal", "x"))
+    scanned = scan(docs.select("doc_id", "text", path), train(spark, labelled), path)
+    # The outer explode: from an inner one Spark infers a filter, which computes the scan again
+    # for each candidate.
+    rows = scanned.select("doc_id", F.posexplode_outer(F.arrays_zip("__runs", "__p")).alias("ordinal", "x")).where("x.__p is not null")
     return rows.select(
-        "doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.length("x.r").cast("long").alias("n_chars"), F.col("x.p").alias("probability"),
-        (F.col("x.p") >= THRESHOLD).alias("is_secret"), F.sha2("x.r", 256).alias("value_sha256"),
+        "doc_id", F.col("ordinal").cast("long").alias("ordinal"), F.length("x.__runs").cast("long").alias("n_chars"), F.col("x.__p").alias("probability"),
+        (F.col("x.__p") >= THRESHOLD).alias("is_secret"), F.sha2("x.__runs", 256).alias("value_sha256"),
     )
 
 
@@ -256,7 +257,7 @@ def redacted(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None =
     safe = f"transform(__runs, (r, i) -> case when coalesce(__p[i], 0) >= {THRESHOLD} then '{REDACTED}' else r end)"
     scanned = scanned.withColumn("__secret", F.expr(f"coalesce(exists(__p, x -> x >= {THRESHOLD}), false)"))
     scanned = scanned.withColumn("__safe", F.expr(f"case when __secret then {safe} end"))
-    built = "array_join(transform(__parts, (s, i) -> concat(s, coalesce(get(__safe, i), ''))), '')"
+    built = "array_join(zip_with(__parts, concat(__safe, array('')), (s, r) -> concat(s, r)), '')"
     scanned = scanned.withColumn("__new", F.expr(f"case when __secret then {built} else text end"))
     out = []
     for c in columns:
