@@ -3,28 +3,33 @@
 Each text gets a 64-bit SimHash of its 3-word shingles.  Equal fingerprints are one point;
 two points link when at most ``RADIUS`` = 2 bits differ, and linked points form components.
 
-The pivots are reference fingerprints: zero, the 32 masks of two neighbouring bits, and
-eight arbitrary ones.  A point's row of the pivot distance table holds its Hamming distance
-to each.  By the triangle inequality no coordinate of two linked points differs by more
-than 2.  The difference of a mask's coordinate from the zero pivot's depends on two bits
-alone, so at most two of these 32 differences change between linked points.  Dealt into
-four groups of eight, two groups at least stay the same: the coordinates of each of the six
-pairs of groups are an equi-join key, and no linked pair escapes all six.  Pairs that meet
-are discarded by their maximum coordinate difference; survivors are verified on the bits.
-
-A bucket of more than ``BUCKET`` points (thousands of near copies) isn't paired off.  Its
-points meet instead at the 65 fingerprints within one bit of each: two points differ by two
-bits or fewer exactly if they share one of those.  That is linear in the points, exact, and
-at most 65 points share one.  So there is no cap and no link is lost.
+The pivots are reference fingerprints: zero, the 64 with one bit, and eight arbitrary ones.  A
+point's row of the pivot distance table holds its Hamming distance to each.  By the triangle
+inequality no coordinate of two linked points differs by more than 2.  The difference of a
+one-bit pivot's coordinate from zero's depends on one bit, so at most two of these 64
+differences change between linked points: dealt into four chunks, two chunks at least stay the
+same.  The differences in each of the six pairs of chunks are an equi-join key, and no linked
+pair escapes all six.  Pairs that meet are discarded by the maximum difference of the other
+coordinates (zero and the arbitrary pivots); survivors are verified on the bits.
+
+A bucket of more than ``BUCKET`` points is divided by further coordinates before any pairing:
+the two chunks that aren't in its key are dealt into four again, of which two at least stay
+the same.  So keys have 32, 48, 56, 60 and at last 62 coordinates, where four points are the
+most that a bucket can have.  There is no cap and no link is lost.
+
+Rows of a key that a count shows as hot (a fingerprint of a third of all texts, a crowded
+bucket, the hub of a component) are joined where they are; see ``common.spread_join``.
 
 Defined results: a null or empty text, or one without words, has fingerprint zero and links
 like any other; fewer than three words are one shingle; a null doc_id keeps its row, and a
-component's id is its smallest doc_id that isn't null (null if there is none).
+component's id is its smallest doc_id that isn't null (null if there is none).  Ties and repeated
+rows share a fingerprint; other columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -34,28 +39,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrymill.llm.common import Scratch, bounded_batches
+from quarrymill.llm.common import Scratch, bounded_batches, hot_bound, spread_join
 
 RADIUS = 2
 SHINGLE = 3
 SEED = 42
 #: Points of a bucket up to which all its pairs are tried.
-BUCKET = 32
+BUCKET = 16
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 14
-GROUPS = 4
-#: Links that one file of a round holds, and rows of the input for each file of other tables.
+#: Pivots beside zero and the one-bit fingerprints.
+ARBITRARY = 8
+#: Rows of a written table for each of its files.  Files are dealt out after the work on their
+#: rows, so this doesn't bound how many tasks do it.
 FILE = 250_000
-ROWS = 100_000
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def pivots(extra: int = 8) -> list[int]:
-    """Zero, the 32 masks of two neighbouring bits, and ``extra`` arbitrary fingerprints."""
-    return [0, *(3 << (2 * i) for i in range(32)), *(xxhash.xxh64_intdigest(b"pivot %d" % i, SEED) for i in range(extra))]
+def pivots(extra: int = ARBITRARY) -> list[int]:
+    """Zero, the 64 fingerprints with one bit, and ``extra`` arbitrary ones."""
+    return [0, *(1 << i for i in range(64)), *(xxhash.xxh64_intdigest(b"pivot %d" % i, SEED) for i in range(extra))]
 
 
 def simhash(text: str | None) -> int:
@@ -94,77 +100,97 @@ def distance_table(points: DataFrame) -> DataFrame:
     return points.select("fp", F.array(*row).alias("at"))
 
 
-def _keys(table: DataFrame) -> DataFrame:
-    """Six rows for each point: a pair of groups, and their coordinates packed in a long."""
-    size = 32 // GROUPS
+def _packed(table: DataFrame) -> DataFrame:
+    """fp, far (the distances to zero and the arbitrary pivots, 7 bits each) and rest (the one-bit
+    pivots' coordinates less zero's, 1 bit each)."""
+    rest, far = F.lit(0).cast("long"), F.lit(0).cast("long")
+    for i in range(64):
+        bit = ((F.col("at")[0] - F.col("at")[1 + i] + 1) / 2).cast("long")
+        rest = rest.bitwiseOR(F.shiftleft(bit, i))
+    for k, i in enumerate([0, *range(65, 65 + ARBITRARY)]):
+        far = far.bitwiseOR(F.shiftleft(F.col("at")[i].cast("long"), 7 * k))
+    return table.select("fp", far.alias("far"), rest.alias("rest"))
+
+
+def _keys(state: DataFrame, width: int) -> DataFrame:
+    """Six rows for each row of state (fp, far, rest, path, key): two of the four chunks of rest's
+    width coordinates go to the key, the others stay in rest."""
+    size = width // 4
+    chunk = [F.shiftrightunsigned("rest", i * size).bitwiseAND(F.lit((1 << size) - 1)) for i in range(4)]
+    made = []
+    for k, (a, b) in enumerate(combinations(range(4), 2)):
+        c, d = (i for i in range(4) if i not in (a, b))
+        key = F.shiftleft(F.shiftleft("key", size).bitwiseOR(chunk[a]), size).bitwiseOR(chunk[b])
+        made.append(F.struct((F.col("path") * 6 + k).alias("path"), key.alias("key"), F.shiftleft(chunk[c], size).bitwiseOR(chunk[d]).alias("rest")))
+    return state.select("fp", "far", F.explode(F.array(*made)).alias("k")).select("fp", "far", "k.rest", "k.path", "k.key")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """The links among the points of each bucket of at most BUCKET points."""
+    held = met.groupBy("path", "key").agg(F.array_sort(F.collect_list(F.struct("fp", "far"))).alias("m"))
+    pairs = held.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, BUCKET)).alias("y"))
+    at = lambda point, k: F.shiftrightunsigned(f"{point}.far", 7 * k).bitwiseAND(F.lit(127))
+    apart = F.greatest(*(F.abs(at("x", k) - at("y", k)) for k in range(1 + ARBITRARY)))
+    pairs = pairs.where(apart <= RADIUS).where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS)
+    return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
-    def packed(groups: tuple[int, ...]) -> F.Column:
-        key = F.lit(0).cast("long")
-        for g in groups:
-            for i in range(g * size + 1, (g + 1) * size + 1):
-                key = F.shiftleft(key, 2).bitwiseOR(((F.col("at")[0] - F.col("at")[i] + 2) / 2).cast("long"))
-        return key
 
-    made = [F.struct(F.lit(k).cast("byte").alias("combo"), packed(g).alias("key")) for k, g in enumerate(combinations(range(GROUPS), 2))]
-    return table.select("fp", "at", F.explode(F.array(*made)).alias("k")).select("fp", "at", "k.combo", "k.key")
+def _files(rows: int) -> int:
+    return 1 + rows // FILE
 
 
-def links(spark: SparkSession, points: DataFrame, scratch: Scratch, files: int) -> DataFrame:
-    """Links (a < b) that join exactly the points which chains of linked points join.
-    points: distinct fp; files: the most files that a table of them is written to."""
-    keys = _keys(distance_table(points))
-    buckets = keys.groupBy("combo", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = scratch.write(keys.join(buckets, ["combo", "key"]).select("fp", "at", "combo", "key", "n").coalesce(files), "met")
-    member = F.struct("fp", "at")
-    tried = met.where(F.col("n") <= BUCKET).groupBy("combo", "key").agg(F.array_sort(F.collect_list(member)).alias("m"))  # at most BUCKET points
-    pairs = tried.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, BUCKET)).alias("y"))
-    apart = F.array_max(F.zip_with("x.at", "y.at", lambda a, b: F.abs(a.cast("int") - b.cast("int"))))
-    pairs = pairs.where(apart <= RADIUS).where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS)
-    pairs = pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    crowd = met.where(F.col("n") > BUCKET).select("fp").distinct()
-    near = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << i))) for i in range(64)))
-    shared = crowd.select("fp", F.explode(near).alias("hub")).groupBy("hub").agg(F.collect_list("fp").alias("m"), F.min("fp").alias("a"))  # at most 65 points
-    star = shared.where(F.size("m") > 1).select("a", F.explode("m").alias("b")).where("a < b")
-    return scratch.write(pairs.unionByName(star).distinct().coalesce(files), "links")
+def links(spark: SparkSession, points: DataFrame, scratch: Scratch, total: int) -> DataFrame:
+    """Links (a < b) between points, each once.  points: distinct fp; total: their number."""
+    state = scratch.write(_packed(distance_table(points)), "table").withColumns({"path": F.lit(0), "key": F.lit(0).cast("long")})
+    width, found = 64, []
+    while width >= 4 and total:
+        keys = _keys(state, width)
+        sizes = scratch.write(keys.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").repartition(_files(total)), f"sizes{width}")
+        met = scratch.write(spread_join(keys, sizes, ["path", "key"], "n", 6 * total).repartition(_files(6 * total)), f"met{width}")
+        found.append(_pairs(met.where(F.col("n") <= BUCKET)))
+        state = met.where(F.col("n") > BUCKET).drop("n")
+        total, width = state.count(), width // 2
+    every = reduce(DataFrame.unionByName, found) if found else points.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    return scratch.write(every.distinct(), "links")
 
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for each node of the edges (a, b), root being the component's smallest
     node; by alternating large and small stars, each round written to the shared folder.
-    The largest neighbourhoods are joined, not gathered, so a hub's rows can be split.  Links
-    are few beside documents; their number sets how many files a round writes."""
-    state, k = None, 0
-    files = 1 + edges.count() // FILE
+    A hub's rows are joined where they are, not gathered."""
+    state, k, count = None, 0, edges.count()
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = scratch.write(large.where("u > v").coalesce(files), f"large{k}")
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = scratch.write(small.distinct().select(F.col("u").alias("b"), F.col("v").alias("a")).coalesce(files), f"small{k}")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = spread_join(both, least, ["u"], "n", 2 * count).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        down = scratch.write(large.repartition(_files(count)), f"large{k}")
+        least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(down, least, ["u"], "n", down.count()).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        edges = scratch.write(small.distinct().select(F.col("u").alias("b"), F.col("v").alias("a")).repartition(_files(count)), f"small{k}")
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break
-        state, k = now, k + 1
+        state, k, count = now, k + 1, now[0]
         if k > 1:
             scratch.drop(f"large{k - 2}")
             scratch.drop(f"small{k - 2}")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root"))).distinct()
 
 
-def classes(spark: SparkSession, docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def classes(spark: SparkSession, docs: DataFrame, carry: list[F.Column] | None = None) -> DataFrame:
     """doc_id, fp, root (the component's smallest fp), component_id and the carried columns for every row of docs.  The result
     reads tables in the shared folder; no text is shuffled."""
     scratch = Scratch(spark, "neardup")
-    signed = scratch.write(docs.select("doc_id", *(carry or ()), fingerprints(spark, docs).alias("fp")), "signed")
-    files = 1 + signed.count() // ROWS
-    points = signed.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(spark, links(spark, points.select("fp"), scratch, files), scratch)
-    grouped = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(least, "root").select("fp", "root", "component_id")
-    return signed.join(named, "fp", "left").select("doc_id", "fp", "root", "component_id", *(carry or ()))
+    signed = scratch.write(docs.select("doc_id", fingerprints(spark, docs).alias("fp"), *(carry or ())), "signed")
+    rows = signed.count()
+    points = scratch.write(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")).repartition(_files(rows)), "points")
+    total = points.count()
+    roots = components(spark, links(spark, points.select("fp"), scratch, total), scratch)
+    grouped = points.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    grouped = scratch.write(grouped.repartition(_files(total)), "grouped")
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("points"))
+    named = scratch.write(spread_join(grouped, least, ["root"], "points", total).select("fp", "root", "component_id", "n").repartition(_files(total)), "named")
+    return spread_join(signed, named, ["fp"], "n", rows).drop("n")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -175,12 +201,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def keep_one(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the smallest doc_id (nulls last), among its
-    equals the smallest text digest; rows alike in both are one."""
-    columns = docs.columns
-    key = ["__id", "__null", "__digest"]
-    marked = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__null": F.col("doc_id").isNull(), "__digest": F.xxhash64("text")})
-    found = classes(spark, marked, key)
-    first = found.groupBy("root").agg(F.min(F.struct("__null", "__id", "__digest")).alias("k")).select(*(f"k.{c}" for c in key))
-    # The one shuffle of texts; the numbering keeps its partitions and order.
-    kept = marked.join(first, key)
-    return kept.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*key))).where("__n = 1").select(*columns)
+    equals the smallest text digest; rows alike in both are one.  Columns of any name pass."""
+    missing, digest = F.col("doc_id").isNull(), F.xxhash64("text")
+    key = ["missing", "id", "digest"]
+    scratch = Scratch(spark, "keep_one")
+    found = classes(spark, docs.select("doc_id", "text"), [digest.alias("digest")])
+    alike = scratch.write(found.groupBy("root", missing.alias("missing"), "doc_id", "digest").agg(F.count(F.lit(1)).alias("n")), "alike")
+    first = alike.groupBy("root").agg(F.min(F.struct("missing", "doc_id", "digest", "n")).alias("k")).select("k.*")
+    text = lambda df: df.withColumn("id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    first, bound = text(first).select(*key, "n"), hot_bound(alike.agg(F.sum("n")).first()[0] or 0)
+    rows = text(docs.select("doc_id", missing.alias("missing"), digest.alias("digest"), F.struct(*docs.columns).alias("row"))).select(*key, "row")
+    # Rows that many others equal stay where they are; the rest is the one shuffle of texts, and
+    # the numbering keeps its partitions and order.
+    many = rows.join(F.broadcast(first.where(F.col("n") > bound)), key).groupBy(*key).agg(F.first("row").alias("row"))
+    few = rows.join(F.broadcast(text(alike.where(F.col("n") > bound)).select(*key)), key, "left_anti").join(first.where(F.col("n") <= bound), key)
+    few = few.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*key))).where("nth = 1")
+    return few.select("row.*").unionByName(many.select("row.*"))

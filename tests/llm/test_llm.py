@@ -105,10 +105,10 @@ def test_simhash_bits():
 
 
 def test_pivot_links_are_exact(spark, tmp_path):
-    """Crowds of near fingerprints (above a bucket's bound), chains and strangers."""
+    """Crowds of near fingerprints (far above a bucket's bound), chains and strangers."""
     rng = np.random.default_rng(5)
     centre, fps = int(rng.integers(1 << 62)), set()
-    for k in range(150):
+    for k in range(300):
         x = centre
         for b in rng.integers(0, 12, rng.integers(0, 4)):
             x ^= 1 << int(b)
@@ -122,10 +122,22 @@ def test_pivot_links_are_exact(spark, tmp_path):
     want = brute_components(fps, fps)
     scratch = neardup.Scratch(spark, "test")
     points = spark.createDataFrame([(v,) for v in fps], "fp long")
-    roots = {r.node: r.root for r in neardup.components(spark, neardup.links(spark, points, scratch, 2), scratch).collect()}
+    roots = {r.node: r.root for r in neardup.components(spark, neardup.links(spark, points, scratch, len(fps)), scratch).collect()}
     assert [roots.get(v, v) for v in fps] == want
 
 
+def test_hot_keys(spark):
+    """One fingerprint on a third of the rows, equal rows on another; brute force on the rest."""
+    texts = [(k, "one text that many rows have in common", "a") for k in range(300)] + [(7, "another that equal rows have", "a")] * 300 + [(1000 + k, f"text {k} of its own {k * k}", "b") for k in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, root string")
+    rows = neardup.near_duplicates(spark, df).collect()
+    assert len(rows) == 900 and [r.component_id for r in rows] == brute_components([int(r.fingerprint, 16) for r in rows], [r.doc_id for r in rows])
+    by = {r.doc_id: r.component_id for r in rows if r.doc_id < 300 and r.doc_id != 7}
+    assert set(by.values()) == {0} and {r.component_id for r in rows if r.fingerprint == f"{neardup.simhash(texts[400][1]):016x}"} == {7}
+    kept = neardup.keep_one(spark, df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect())[:2] == [0, 7] and kept.count() == len({r.component_id for r in rows})
+
+
 def test_neardup_documents(spark, docs, odd, none):
     for df in (docs, odd):
         rows = neardup.near_duplicates(spark, df).collect()
