@@ -50,9 +50,10 @@ BUCKET = 16
 BLOCK = 1 << 14
 #: Pivots beside zero and the one-bit fingerprints.
 ARBITRARY = 8
-#: Rows of a written table for each of its files.  Files are dealt out after the work on their
+#: Rows of a written table for each of its files, and more in large tables, where there are files
+#: enough for every core.  Files are dealt out after the work on their
 #: rows, so this doesn't bound how many tasks do it.
-FILE = 250_000
+FILE, FILES, LARGE = 8_000, 64, 1_000_000
 
 
 def _signed(x: int) -> int:
@@ -95,48 +96,43 @@ def fingerprints(spark: SparkSession, docs: DataFrame, text: str = "text") -> F.
 
 
 def distance_table(points: DataFrame) -> DataFrame:
-    """fp and its row of the pivot distance table, array<tinyint>."""
-    row = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(_signed(p)))).cast("tinyint") for p in pivots()]
-    return points.select("fp", F.array(*row).alias("at"))
+    """fp and its row of the pivot distance table, array<int>."""
+    row = ", ".join(f"{_signed(p)}L" if p != 1 << 63 else "shiftleft(1L, 63)" for p in pivots())
+    return points.select("fp", F.expr(f"transform(array({row}), p -> bit_count(fp ^ p))").alias("at"))
 
 
 def _packed(table: DataFrame) -> DataFrame:
     """fp, far (the distances to zero and the arbitrary pivots, 7 bits each) and rest (the one-bit
     pivots' coordinates less zero's, 1 bit each)."""
-    rest, far = F.lit(0).cast("long"), F.lit(0).cast("long")
-    for i in range(64):
-        bit = ((F.col("at")[0] - F.col("at")[1 + i] + 1) / 2).cast("long")
-        rest = rest.bitwiseOR(F.shiftleft(bit, i))
-    for k, i in enumerate([0, *range(65, 65 + ARBITRARY)]):
-        far = far.bitwiseOR(F.shiftleft(F.col("at")[i].cast("long"), 7 * k))
-    return table.select("fp", far.alias("far"), rest.alias("rest"))
+    rest = "aggregate(sequence(0, 63), 0L, (all, i) -> all | shiftleft(cast((at[0] - at[i + 1] + 1) / 2 as bigint), i))"
+    far = " | ".join(f"shiftleft(cast(at[{i}] as bigint), {7 * k})" for k, i in enumerate([0, *range(65, 65 + ARBITRARY)]))
+    return table.selectExpr("fp", f"{far} as far", f"{rest} as rest")
 
 
 def _keys(state: DataFrame, width: int) -> DataFrame:
     """Six rows for each row of state (fp, far, rest, path, key): two of the four chunks of rest's
     width coordinates go to the key, the others stay in rest."""
     size = width // 4
-    chunk = [F.shiftrightunsigned("rest", i * size).bitwiseAND(F.lit((1 << size) - 1)) for i in range(4)]
+    chunk = [f"(shiftrightunsigned(rest, {i * size}) & {(1 << size) - 1}L)" for i in range(4)]
     made = []
     for k, (a, b) in enumerate(combinations(range(4), 2)):
         c, d = (i for i in range(4) if i not in (a, b))
-        key = F.shiftleft(F.shiftleft("key", size).bitwiseOR(chunk[a]), size).bitwiseOR(chunk[b])
-        made.append(F.struct((F.col("path") * 6 + k).alias("path"), key.alias("key"), F.shiftleft(chunk[c], size).bitwiseOR(chunk[d]).alias("rest")))
-    return state.select("fp", "far", F.explode(F.array(*made)).alias("k")).select("fp", "far", "k.rest", "k.path", "k.key")
+        key = f"shiftleft(shiftleft(key, {size}) | {chunk[a]}, {size}) | {chunk[b]}"
+        made.append(f"named_struct('path', path * 6 + {k}, 'key', {key}, 'rest', shiftleft({chunk[c]}, {size}) | {chunk[d]})")
+    return state.selectExpr("fp", "far", f"inline(array({', '.join(made)}))").select("fp", "far", "rest", "path", "key")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
     """The links among the points of each bucket of at most BUCKET points."""
     held = met.groupBy("path", "key").agg(F.array_sort(F.collect_list(F.struct("fp", "far"))).alias("m"))
     pairs = held.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.slice("m", F.col("i") + 2, BUCKET)).alias("y"))
-    at = lambda point, k: F.shiftrightunsigned(f"{point}.far", 7 * k).bitwiseAND(F.lit(127))
-    apart = F.greatest(*(F.abs(at("x", k) - at("y", k)) for k in range(1 + ARBITRARY)))
-    pairs = pairs.where(apart <= RADIUS).where(F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= RADIUS)
+    apart = ", ".join(f"abs((shiftrightunsigned(x.far, {7 * k}) & 127) - (shiftrightunsigned(y.far, {7 * k}) & 127))" for k in range(1 + ARBITRARY))
+    pairs = pairs.where(f"greatest({apart}) <= {RADIUS}").where(f"bit_count(x.fp ^ y.fp) <= {RADIUS}")
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
 def _files(rows: int) -> int:
-    return 1 + rows // FILE
+    return 1 + min(rows // FILE, FILES + rows // LARGE)
 
 
 def links(spark: SparkSession, points: DataFrame, scratch: Scratch, total: int) -> DataFrame:

@@ -277,14 +277,78 @@ def test_quality(spark, odd, none):
     assert (len(w), chars, symbols, again) == (6, 8, 3, 1)
     rows = {r.doc_id: r for r in quality.quality(spark, odd).collect()}
     assert rows[4].base_failed and not rows[4].kept and rows[2].n_words == 0 and rows[2].base_failed and rows[6].script == "none"
-    got = quality.quality(spark, spark.read.parquet(f"{SF}/documents.parquet"))
-    assert got.where("kept and base_failed").count() == 0 and got.where("not base_failed and not kept").count() == 0
     meter = quality.Fertility(pieces.read_vocabulary(pieces.VOCABULARY))
     n, per, fallback, bits = meter.measure([b"the", b"the", "漢🚀".encode()], 8)
     assert n == 2 + len(meter.sp.encode("漢🚀")) and per == pytest.approx(8 / n) and fallback > 0 and bits > 0
     assert not quality.verdict("latin", 100, 0.5, 0.9, 1.0) and quality.quality(spark, none).count() == 0
 
 
+def junk(kind, text, k):
+    """A text of the kind, as long as a clean one."""
+    import base64
+    import random
+
+    rng, n = random.Random(k), max(40, min(400, len(text.split())))
+    if kind == "mojibake":
+        return "".join(c if rng.random() < 0.7 else "é" for c in text).encode().decode("latin-1")
+    if kind == "base64":
+        return " ".join(base64.b64encode(hashlib.sha512(f"{k} {i}".encode()).digest()).decode()[: rng.randrange(20, 70)] for i in range(n // 2 + 20))
+    if kind == "numbers":
+        return " ".join(str(rng.randrange(10**6)) for _ in range(n))
+    return " ".join("".join(rng.choice("asdfghjklqwertyuiopzxcvbnm") for _ in range(rng.randrange(3, 9))) for _ in range(n))
+
+
+def test_quality_bands(spark):
+    """Planted junk in the corpus is rejected, clean documents (labelled 1) are kept."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select(F.col("doc_id").alias("id"), "quality")
+    rows = [r for r in docs.collect() if r.text and 40 <= len(r.text.split()) <= 2000][:160]
+    kinds = ["mojibake", "base64", "numbers", "keys"]
+    bad = spark.createDataFrame([(-1 - k, junk(kinds[k % 4], r.text, k), r.lang, kinds[k % 4]) for k, r in enumerate(rows)], "doc_id long, text string, lang string, kind string")
+    both = docs.select("doc_id", "text", "lang").unionByName(bad.drop("kind"))
+    got = quality.quality(spark, both).cache()
+    lost = {r.kind: r.part for r in got.join(bad.select("doc_id", "kind"), "doc_id").groupBy("kind").agg(F.avg((~F.col("kept")).cast("int")).alias("part")).collect()}
+    assert min(lost.values()) >= 0.9, lost
+    clean = got.join(labels, got.doc_id == labels.id).where("not base_failed")
+    assert clean.where("quality = 1").agg(F.avg(F.col("kept").cast("int"))).first()[0] >= 0.99
+    assert clean.where("quality = 0").agg(F.avg(F.col("kept").cast("int"))).first()[0] <= 0.3
+    assert got.where("kept and base_failed").count() == 0
+    # Medians and quartiles against numpy.
+    some = quality.fitted(spark.createDataFrame([(None, "latin", False, n, c, e) for n, c, e in [(100, 2.0 + k / 100, 5 + k / 50) for k in range(120)]], "lang string, script string, base_failed boolean, n_tokens long, chars_per_token double, entropy double"), quality.Scratch(spark, "t"))
+    band, sized = some[0].first(), some[1].first()
+    x = np.round(2.0 + np.arange(120) / 100, 3)
+    z = np.round((x - np.median(x)) * 10, 2)
+    assert band.g == "slatin" and band.middle == pytest.approx(np.median(x)) and band.width == pytest.approx(np.subtract(*np.percentile(z, [75, 25])) / 1.349, abs=1e-9)
+    assert sized.power == 6 and sized.bits == pytest.approx(np.median(5 + np.arange(120) / 50))
+
+
+def brute_base(text):
+    """The base counts by plain loops."""
+    blank = " \t\n\x0b\x0c\r"
+    words, word = [], ""
+    for c in text + " ":
+        if c in blank:
+            words += [word] if word else []
+            word = ""
+        else:
+            word += c
+    lines = [x for x in text.split("\n")]
+    dup = sum(1 for i, x in enumerate(lines) if any(c not in blank for c in x) and x in lines[:i])
+    grams = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
+    in_two = {k for i in range(len(words) - 7) if grams[tuple(words[i : i + 8])] > 1 for k in range(i, i + 8)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(in_two)
+
+
+def test_quality_base_counts(spark, docs):
+    import random
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("ab \n\t#|é\u2028\xa0x\r") for _ in range(rng.randrange(400))) for _ in range(200)] + [r.text for r in docs.collect() if r.text and len(r.text) < 6000]
+    for t in texts:
+        w, *rest = quality.base_counts(t)
+        assert (len(w), *rest) == brute_base(t)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline as cp
 
