@@ -3,23 +3,26 @@
 A text's letters become a vector of hashed letter trigrams.  One-versus-rest linear
 support vector machines predict the language family; within the family, one-versus-one
 machines separate each pair of languages.  Training needs text and language only and
-takes a bounded sample of labelled rows (``per_language``); every text is then scored
-whole, in blocks of bounded size.
-
-Defined results: a null text, or one without a letter, gives ``und`` with score 0; with no
-labelled row at all, every text gives ``und``; with one learned language, every text with a
-letter gives it.  Equal texts get equal results, whatever else their rows hold.
+takes a bounded sample of labelled rows, ``per_language`` of each language and ``ROWS`` in all;
+the driver gets their sparse vectors, ``ENTRIES`` places in all, and trains on those as they
+are.  No text is too long to be learned from, and every text is scored whole, in blocks of
+bounded size.
+
+Defined results: a null text, or one without a letter (Unicode category L), gives ``und`` with
+score 0; with no labelled row at all, every text gives ``und``; with one learned language, every
+text with a letter gives it.  Ties go to the first family, and then language, by name.  Equal
+texts get equal results, whatever else their rows hold; columns of other names are not looked at.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +47,9 @@ BITS = 13
 SIZE = 1 << BITS
 #: Bytes of a text that are counted at once.
 BLOCK = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
+#: Most labelled rows that are trained on, and most places of their vectors (6 bytes each).
+ROWS, ENTRIES = 40_000, 16_000_000
 #: ASCII that is no letter becomes a blank; bytes of other characters stay.
 _KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -72,16 +77,41 @@ def vector(text: str) -> np.ndarray:
     return np.sqrt(counts / max(1, counts.sum())).astype(np.float32)
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
+@dataclass
+class Rows:
+    """Sparse rows: where each starts, and the places and values of all; a 1 for the bias is understood."""
+
+    start: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        """The product with a vector of SIZE + 1."""
+        sums = np.concatenate(([0.0], np.cumsum(w[self.place] * self.value, dtype=np.float64)))
+        return (sums[self.start[1:]] - sums[self.start[:-1]] + w[-1]).astype(np.float32)
+
+    def gathered(self, v: np.ndarray) -> np.ndarray:
+        """The transposed product with a vector of the rows."""
+        each = np.repeat(v, np.diff(self.start)) * self.value
+        return np.append(np.bincount(self.place, each, SIZE), v.sum()).astype(np.float32)
+
+    def only(self, rows: np.ndarray) -> Rows:
+        """The rows marked by a boolean each."""
+        size = np.diff(self.start)
+        inside = np.repeat(rows, size)
+        return Rows(np.concatenate(([0], np.cumsum(size[rows]))), self.place[inside], self.value[inside])
+
+
+def fit_svm(x: Rows, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
     """A linear support vector machine with squared hinge loss, by accelerated gradient
-    descent; classes weigh the same.  The last column of x is 1, for the bias."""
+    descent; classes weigh the same."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
-    # The rows have length sqrt(2), so the gradient's Lipschitz constant is at most 4 + penalty.
-    step, w, last = 1 / (4 + penalty), np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32)
+    # With the bias the rows have length sqrt(2), so the gradient's Lipschitz constant is at most 4 + penalty.
+    step, w, last = 1 / (4 + penalty), np.zeros(SIZE + 1, np.float32), np.zeros(SIZE + 1, np.float32)
     for k in range(rounds):
         ahead = w + (k / (k + 3)) * (w - last)
-        slack = np.maximum(0, 1 - y * (x @ ahead))
-        grad = penalty * ahead - 2 * (x.T @ (weight * slack * y))
+        slack = np.maximum(0, 1 - y * x.times(ahead))
+        grad = penalty * ahead - 2 * x.gathered(weight * slack * y)
         last, w = w, (ahead - step * grad).astype(np.float32)
     return w
 
@@ -115,9 +145,11 @@ class LanguageModel:
         return self.langs[f][best], float(min(1.0, max(0.0, share * inner)))
 
 
-def sparse(v: np.ndarray) -> bytes:
-    """A vector's places and values, at most SIZE of either."""
+def sparse(v: np.ndarray, most: int = SIZE) -> bytes:
+    """A vector's places and values; the greatest ``most`` of them."""
     at = np.flatnonzero(v)
+    if len(at) > most:
+        at = np.sort(at[np.argsort(-v[at], kind="stable")[:most]])
     return at.astype(np.uint16).tobytes() + v[at].astype(np.float16).tobytes()
 
 
@@ -127,11 +159,11 @@ def fit(labelled: list[tuple[str, bytes]]) -> LanguageModel:
     names = sorted({lang for lang, _ in labelled})
     if not names:
         return LanguageModel()
-    x = np.zeros((len(labelled), SIZE + 1), np.float32)
-    x[:, -1] = 1
-    for row, (_, raw) in zip(x, labelled, strict=True):
-        n = len(raw) // 4
-        row[np.frombuffer(raw[: 2 * n], np.uint16)] = np.frombuffer(raw[2 * n :], np.float16)
+    sizes = [len(raw) // 4 for _, raw in labelled]
+    x = Rows(
+        np.concatenate(([0], np.cumsum(sizes))), np.concatenate([np.frombuffer(raw, np.uint16, n) for n, (_, raw) in zip(sizes, labelled, strict=True)]),
+        np.concatenate([np.frombuffer(raw, np.float16, n, 2 * n) for n, (_, raw) in zip(sizes, labelled, strict=True)]).astype(np.float32),
+    )
     y = np.array([names.index(lang) for lang, _ in labelled])
     kin = [family_of(n) for n in names]
     families = sorted(set(kin))
@@ -144,23 +176,25 @@ def fit(labelled: list[tuple[str, bytes]]) -> LanguageModel:
         made = []
         for (i, a), (j, b) in combinations(enumerate(members), 2):
             rows = np.isin(y, (a, b))
-            made.append((i, j, fit_svm(x[rows], np.where(y[rows] == a, 1, -1).astype(np.float32))))
+            made.append((i, j, fit_svm(x.only(rows), np.where(y[rows] == a, 1, -1).astype(np.float32))))
         pairs.append(made)
     return LanguageModel(families, [[names[i] for i in members] for members in own], top, pairs)
 
 
-def train(spark: SparkSession, docs: DataFrame, per_language: int = 500, max_bytes: int = 64_000) -> LanguageModel:
-    """Fits on about ``per_language`` rows of each language, chosen by a hash, of texts of at
-    most ``max_bytes`` bytes: a bounded sample, sent to the driver as sparse counts."""
+def train(spark: SparkSession, docs: DataFrame, per_language: int = 500) -> LanguageModel:
+    """Fits on about ``per_language`` rows of each language (fewer where languages are many),
+    chosen by a hash: a bounded sample, sent to the driver as sparse vectors."""
     bounded_batches(spark)
     rows = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = rows.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
+    # Rows alike in id and text count once, and are drawn once.
+    rows = rows.withColumn("own", F.xxhash64("doc_id", "text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("own").alias("count")).orderBy(F.desc("count"), "lang").limit(ROWS).collect()  # a row for each language
     if not counts:
         return LanguageModel()
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, per_language / r["count"])).otherwise(share)
-    sample = rows.where(pick(share, F.col("doc_id"))).where(F.octet_length("text") <= max_bytes)
+    each = max(1, min(per_language, ROWS // len(counts)))
+    shares = spark.createDataFrame([(r["lang"], min(1.0, each / r["count"])) for r in counts], "lang string, share double")
+    sample = rows.join(F.broadcast(shares), "lang").where(pick(F.col("share"), F.col("own"))).groupBy("lang", "own").agg(F.min("text").alias("text"))
+    most = max(64, min(SIZE, ENTRIES // (2 * each * len(counts))))
 
     @F.arrow_udf("binary")
     def features(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -170,7 +204,7 @@ def train(spark: SparkSession, docs: DataFrame, per_language: int = 500, max_byt
                 if not LETTER.search(text):
                     out.append(b"")
                     continue
-                out.append(sparse(vector(text)))
+                out.append(sparse(vector(text), most))
             yield pa.array(out, pa.binary())
 
     rows = sample.select("lang", features("text").alias("x")).where(F.octet_length("x") > 0)
