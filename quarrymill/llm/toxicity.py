@@ -8,7 +8,9 @@ sentences offend.
 Training takes a bounded sample of labelled rows (``max_rows``, of at most ``max_chars``
 characters each); every text is scored whole.  Defined results: a null or empty text is a
 bag without sentences and gets score 0; without labelled rows of both kinds every score
-is 0; repeated rows get equal scores.
+is 0; repeated rows get equal scores, ties at the threshold count as toxic; an id that labels mark
+both ways is toxic, and a null id is neither trained on nor held out; other columns, whatever
+their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.common import bounded_batches, held_out, pick
 
-SENTENCE = re.compile(r"[^.!?\n]+")
+#: Runs up to a full stop, question or exclamation mark (Latin, Arabic, Devanagari, CJK, Ethiopic,
+#: Armenian) or a line's end.
+SENTENCE = re.compile(r"[^.!?\n\u0589\u061F\u06D4\u0964\u0965\u1362\u1367\u203C-\u203D\u2047-\u2049\u3002\uFE52\uFE56\uFE57\uFF01\uFF0E\uFF1F\uFF61]+")
 WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.3
 #: Lengths of the beginnings that are features beside the words.
@@ -40,7 +44,7 @@ def features(word: str) -> list[str]:
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Spans of the runs without . ! ? or a line's end that hold a word character."""
+    """Spans of the runs without an end of a sentence or line that aren't blank."""
     return [m.span() for m in SENTENCE.finditer(text) if not m[0].isspace()]
 
 
@@ -142,7 +146,9 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, max_rows: int
     total = marks.count()
     marks = marks.where(pick(F.lit(min(1.0, max_rows / max(1, total))), F.col("doc_id")))
     texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars) & ~held_out())
+    # An id that many rows have counts once: one text for each, the least by digest.
     texts = texts.where(pick(F.lit(min(1.0, max_rows / max(1, total))), F.col("doc_id")))
+    texts = texts.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("digest"), "text")).alias("t")).select("doc_id", "t.text")
     rows = texts.join(marks, "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
     return fit([(r["text"], r["toxic"]) for r in rows.toLocalIterator()])
 
