@@ -14,7 +14,8 @@ when the model is read; without that, a text is one segment), so the best path p
 through these places and each segment is solved by itself; a worker remembers the segments
 it has solved, up to REMEMBERED.
 
-Defined results: null gives null ids and counts 0, an empty text no ids.
+Defined results: null gives null ids and counts 0, an empty text no ids; repeated rows get equal
+ids; a column that has the name of a result is replaced, all others pass.
 """
 
 from __future__ import annotations
@@ -39,12 +40,26 @@ REMEMBERED = 200_000
 LONGEST = 48
 
 
-def read_vocabulary(path: str) -> bytes:
-    """The vocabulary file, read where the driver runs and sent to the executors (it is
-    refused above 64 MB)."""
-    with open(path, "rb") as f:
-        raw = f.read((64 << 20) + 1)
-    if len(raw) > 64 << 20:
+def read_vocabulary(path: str, most: int = 64 << 20) -> bytes:
+    """The vocabulary file, read by the driver through Spark's file systems and sent to the
+    executors (it is refused above 64 MB)."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        with open(path, "rb") as f:
+            raw = f.read(most + 1)
+        size = len(raw)
+    else:
+        # A path without a scheme is a file of this machine, whatever the cluster's file system is.
+        where = spark._jvm.org.apache.hadoop.fs.Path(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        size = files.getFileStatus(where).getLen()
+        if size <= most:
+            stream = files.open(where)
+            try:
+                raw = bytes(stream.readNBytes(int(size)))
+            finally:
+                stream.close()
+    if size > most:
         raise ValueError(f"{path} is too large to send to the executors")
     return raw
 

@@ -303,6 +303,105 @@ def test_language(spark, odd, none):
     assert langid.identify(spark, none).count() == 0
 
 
+def test_language_letters_and_ties(spark):
+    model = langid.fit([("en", langid.sparse(langid.vector(t))) for t in ("the cat and the dog", "this is that thing")] + [("fr", langid.sparse(langid.vector(t))) for t in ("le chat et le chien", "ceci est une chose")])
+    for text in ("½", "²³", "①", "١٢٣", "123 $", "", None, "\u0301"):
+        assert model.predict(text) == ("und", 0.0), text
+    assert model.predict("the thing")[0] == "en" and model.predict("une chose")[0] == "fr" and model.predict("漢")[0] in ("en", "fr")
+    # One very long text alone teaches its language; rows that repeat are learned from as one sample.
+    rows = [(8, "zut alors " * 20_000, "oc"), *((k, f"plain word number {k}", "en") for k in range(9))] + [(3, "same words", "de")] * 3000
+    got = langid.train(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), 50)
+    assert got.predict("alors zut")[0] == "oc" and got.predict("same words")[0] == "de"
+
+
+def test_language_svm_and_many_languages():
+    """The sparse solver against dense gradient descent; 200 languages in bounded memory."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["aba", "bab", "cac", "dad"] if k % 2 else ["xyx", "yxy", "cac", "dad"], 12)) for k in range(60)]
+    dense = np.stack([np.append(langid.vector(t), 1) for t in texts]).astype(np.float64)
+    y = np.where(np.arange(60) % 2, 1.0, -1.0)
+    at = [np.flatnonzero(r[:-1]) for r in dense]
+    x = langid.Rows(np.concatenate(([0], np.cumsum([len(a) for a in at]))), np.concatenate(at).astype(np.uint16), np.concatenate([r[a] for r, a in zip(dense, at)]).astype(np.float32))
+    w = langid.fit_svm(x, y.astype(np.float32), penalty=1e-2, rounds=2000).astype(np.float64)
+    slow = np.zeros(langid.SIZE + 1)
+    for _ in range(4000):
+        slack = np.maximum(0, 1 - y * (dense @ slow))
+        slow -= 0.25 * (1e-2 * slow - 2 * dense.T @ (slack * y / 60))
+    assert np.abs(w - slow).max() < 2e-3
+    tongue = lambda k: "".join(chr(97 + k // 15) + chr(97 + (k * j) % 26) + chr(97 + k % 15) + " " for j in (1, 3, 7))
+    tracemalloc.start()
+    rows = [(f"l{k % 200:03d}", langid.sparse(langid.vector(tongue(k % 200) * (1 + k // 200)))) for k in range(2000)]
+    own = langid.fit_svm
+    langid.fit_svm = lambda *a: own(*a, rounds=30)
+    try:
+        model = langid.fit(rows)
+    finally:
+        langid.fit_svm = own
+    assert tracemalloc.get_traced_memory()[1] < 300e6 and len(model.families) == 200 and model.predict(tongue(7))[0] == "l007"
+    tracemalloc.stop()
+
+
+def test_toxicity_sentences_of_other_scripts(spark):
+    text = "你好。这是坏的！再见。 هل هذا؟ نعم. यह है। ठीक"
+    assert [text[a:b].strip() for a, b in toxicity.sentences(text)] == ["你好", "这是坏的", "再见", "هل هذا", "نعم", "यह है", "ठीक"]
+    # A label whose id a thousand rows have is one training row.
+    docs = spark.createDataFrame([(1, "vile thing")] * 1000 + [(k, f"good day number {k}") for k in range(2, 40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1)] + [(k, 0) for k in range(2, 40)], "doc_id long, toxic int")
+    assert toxicity.toxicity(spark, docs, labels).count() == 1038
+
+
+def brute_noisy_or(model, text):
+    """The document's score by plain loops over sentences and words."""
+    none = 1.0
+    for a, b in toxicity.sentences(text.lower()):
+        words = set(toxicity.WORD.findall(text.lower()[a:b]))
+        found = {f for w in words for f in [w, *(f"{w[:k]}*" for k in (4, 5, 7) if len(w) > k)]}
+        z = model.bias + sum(model.weights.get(f, 0) for f in found)
+        none *= 1 - 1 / (1 + math.exp(-z))
+    return 1 - none
+
+
+def test_toxicity_brute_force(spark, docs):
+    """The query's scores on whole texts against plain loops with the same model."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.train(spark, docs, labels)
+    got = {r.doc_id: r.score for r in toxicity.toxicity(spark, docs, labels).collect()}
+    for r in docs.collect():
+        assert got[r.doc_id] == pytest.approx(brute_noisy_or(model, r.text or ""), abs=1e-9)
+
+
+def test_transport_times():
+    """Presentation times, clock references, and times beyond 33 bits."""
+    payload = transport.padded("t" * 50_000)[1]
+    r = dict(zip(transport.FIELDS, transport.record("t" * 50_000), strict=True))
+    step = transport.UNIT * transport.UNITS
+    want = [at * 90_000 // 8000 for at in range(0, len(payload), step)]
+    assert r["pts"] == want and r["random_access"] == want[:: transport.RANDOM_ACCESS]
+    media, clocks = transport.mux(payload), []
+    for k in range(0, len(media), 188):
+        p = media[k : k + 188]
+        if p[3] & 0x20 and p[4] >= 7 and p[5] & 0x10:
+            clocks.append(int.from_bytes(p[6:10], "big") << 1 | p[10] >> 7)
+    assert clocks == want
+    for pts in (0, 1, (1 << 33) - 1, 1 << 32, 123_456_789):
+        raw = b"\0\0\1\xbd" + (8 + 4).to_bytes(2, "big") + bytes([0x84, 0x80, 5]) + transport._time(pts) + b"data"
+        assert transport._elementary(True, [raw]) == transport.Elementary(pts, True, b"data")
+
+
+def test_transport_odd(spark, odd):
+    """Every odd row's payload against plain Python; repeated rows are alike."""
+    got = transport.media_columns(spark, odd).collect()
+    text = {r.doc_id: r.text for r in odd.where("doc_id is not null").collect()}
+    for r in got:
+        if r.doc_id is not None:
+            raw = (text[r.doc_id] or "").encode()
+            payload = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+            assert (r.n_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+    assert len({(r.media_sha256, r.feature) for r in got if r.doc_id == 1}) == 1
+
+
 def test_quality(spark, odd, none):
     import random
 
