@@ -5,13 +5,18 @@ that HTML lets authors leave out (html, head, body, tbody, tr, and the ends of p
 dd, option, rows and cells), and ignores ends that match nothing.  Rules of visibility drop
 what a page doesn't show: head, script, style, template and the like, ``hidden``,
 ``display:none``, ``visibility:hidden`` (a descendant may be visible again), closed details
-and dialogs, hidden inputs.  The renderer then emits all visible text: paragraphs and
+and dialogs, hidden inputs; in attributes and in the page's own style sheets, of which rules
+for an element, class or id or a list of those are read (others, and media rules, are not).
+The renderer then emits all visible text: paragraphs and
 headings set off by a blank line, lists with bullets or numbers and indents, preformatted
-text as it is, and tables as rows of cells that are aligned in columns.
+text as it is, formulas and the text of drawings in the line, and tables as rows of cells that
+are aligned in columns; a cell that spans rows or columns holds its place in all of them.
 
 Trees are walked with a stack of their own, so nesting may be as deep as the page has it.
-A cell pads its column up to ``WIDEST`` characters; a longer one isn't cut, only unaligned.
-Defined results: null and empty pages give an empty text; broken markup never fails.
+Every cell is as wide as its longest line; where ``widest`` is given, longer lines are broken at
+blanks inside their column.  Defined results: null and empty pages give an empty text; broken
+markup never fails; repeated pages give equal texts; other columns, whatever their names, are
+not looked at.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,14 +32,13 @@ from pyspark.sql import functions as F
 
 from quarrymill.llm.common import bounded_batches
 
-WIDEST = 60
-#: Widest colspan that is honoured.
-SPAN = 100
+#: Widest colspan and longest rowspan that HTML honours.
+SPAN, ROWSPAN = 1000, 65_534
 
 # Element names of HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style xmp iframe noembed noframes noscript template title textarea".split())
-UNSEEN = set("head script style template noscript iframe noembed noframes title meta link base object audio video canvas svg math datalist param source track area map".split())
+UNSEEN = set("head script style template noscript iframe noembed noframes title meta link base object audio video canvas datalist param source track area map defs metadata annotation annotation-xml".split())
 HEAD_ONLY = set("title meta link base style script noscript template".split())
 BLOCK = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
@@ -190,19 +195,65 @@ def _style(node: Node) -> str:
     return _SPACE.sub("", node.attrs.get("style", "")).lower()
 
 
-def _shown(node: Node, visible: bool) -> tuple[bool, bool]:
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"([a-z][a-z0-9-]*)?(?:([.#])([\w-]+))?", re.I)
+#: Of a rule, what decides visibility.
+_SEEN = re.compile(r"(?:^|;)(display|visibility):([a-z-]+)(!important)?")
+
+Sheet = dict[tuple[str, str, str], list[tuple[tuple[bool, int, int], str, str]]]
+
+
+def style_sheet(root: Node) -> Sheet:
+    """Rules that decide visibility, by (element, "." or "#", name): each with its weight
+    (importance, kind, order), property and value."""
+    sheet: Sheet = {}
+    stack, order = [root], 0
+    while stack:
+        node = stack.pop()
+        if node.tag == "style":
+            text = re.sub(r"/\*.*?(?:\*/|\Z)", "", "".join(c for c in node.children if isinstance(c, str)), flags=re.S)
+            text = re.sub(r"@[^{;]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*(?:\}|\Z))", "", text)
+            for selectors, body in _RULE.findall(text):
+                found = _SEEN.findall(_SPACE.sub("", body).lower())
+                for one in selectors.split(",") if found else ():
+                    m = _SIMPLE.fullmatch(one.strip())
+                    if m and m[0]:
+                        order += 1
+                        key = ((m[1] or "").lower(), m[2] or "", m[3] or "")
+                        kind = (m[2] == "#") * 4 + (m[2] == ".") * 2 + bool(m[1])
+                        sheet.setdefault(key, []).extend(((bool(strong), kind, order), what, value) for what, value, strong in found)
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    return sheet
+
+
+def _ruled(node: Node, sheet: Sheet) -> dict[str, str]:
+    """display and visibility of an element by the style sheet and its own style."""
+    marks = [("", "")] + [(".", c) for c in node.attrs.get("class", "").split()] + ([("#", node.attrs["id"])] if "id" in node.attrs else [])
+    rules = [r for element in ("", node.tag) for mark, name in marks for r in sheet.get((element, mark, name), ())] if sheet else []
+    if "style" in node.attrs:
+        rules += [((bool(strong), 8, 0), what, value) for what, value, strong in _SEEN.findall(_style(node))]
+    return {what: value for _, what, value in sorted(rules)}
+
+
+def _shown(node: Node, visible: bool, sheet: Sheet) -> tuple[bool, bool]:
     """Whether the element is laid out, and whether its own text is visible."""
     attrs, tag = node.attrs, node.tag
-    if tag in UNSEEN or "hidden" in attrs or tag == "input" or tag == "dialog" and "open" not in attrs:
+    if tag in UNSEEN or tag == "input" or tag == "dialog" and "open" not in attrs:
         return False, False
-    style = _style(node) if "style" in attrs else ""
-    if "display:none" in style:
+    ruled = _ruled(node, sheet) if sheet or "style" in attrs else {}
+    if ruled.get("display") == "none" or "hidden" in attrs and "display" not in ruled:
         return False, False
-    if "visibility:" in style:
-        visible = "visibility:hidden" not in style and "visibility:collapse" not in style
+    if "visibility" in ruled and ruled["visibility"] not in ("inherit", "unset"):
+        visible = ruled["visibility"] not in ("hidden", "collapse")
     return True, visible
 
 
+def _number(node: Node, name: str, most: int) -> int:
+    """A span of a cell; 1 if it isn't a number."""
+    text = node.attrs.get(name, "1").strip()
+    return min(most, int(text)) if re.fullmatch(r"\d{1,9}", text) else 1
+
+
 class Lines:
     """Lines of text; blocks ask for line ends and blank lines, which come when text does."""
 
@@ -265,31 +316,96 @@ class Lines:
         return out
 
 
-def _table(rows: list[list[tuple[list[str], int, bool]]]) -> list[str]:
-    """Rows of cells (lines, colspan, right-aligned) as aligned lines."""
+@dataclass
+class Cell:
+    """A cell's lines, how many columns and rows it spans (0: all further rows), whether it is right-aligned."""
+
+    lines: list[str]
+    columns: int
+    rows: int
+    right: bool
+
+
+def _broken(line: str, most: int) -> list[str]:
+    """A line broken at blanks to at most so many characters, longer words by themselves."""
+    out = [""]
+    for word in line.split(" "):
+        if out[-1] and len(out[-1]) + 1 + len(word) > most:
+            out.append(word)
+        else:
+            out[-1] = f"{out[-1]} {word}" if out[-1] else word
+    return out
+
+
+def placed(rows: list[list[Cell]]) -> list[list[tuple[int, Cell]]]:
+    """Each row's cells with their columns: a cell that spans rows holds its columns in those below.
+    An empty cell only stands where one that spans rows doesn't."""
+    out: list[list[tuple[int, Cell]]] = []
+    held: dict[int, int] = {}  # column: last row that is held
+    for at, row in enumerate(rows):
+        held = {c: last for c, last in held.items() if last >= at}
+        k, line = 0, []
+        for cell in row:
+            while k in held:
+                k += 1
+            line.append((k, cell))
+            if cell.rows != 1:
+                last = at + cell.rows - 1 if cell.rows else len(rows)
+                held.update((c, max(last, held.get(c, 0))) for c in range(k, k + cell.columns))
+            k += cell.columns
+        out.append(line)
+    return out
+
+
+def _table(rows: list[list[Cell]], widest: int | None) -> list[str]:
+    """Rows of cells as aligned lines."""
+    grid = placed(rows)
+    if widest:
+        for row in rows:
+            for cell in row:
+                cell.lines = [x for line in cell.lines for x in ([line] if len(line) <= widest else _broken(line, widest))]
     width: dict[int, int] = {}
-    for row in rows:
-        k = 0
-        for lines, span, _ in row:
-            longest = max(map(len, lines), default=0)
-            if span == 1 and longest <= WIDEST:
-                width[k] = max(width.get(k, 0), longest)
-            k += span
+    for row in grid:
+        for k, cell in row:
+            if cell.columns == 1:
+                width[k] = max(width.get(k, 0), max(map(len, cell.lines), default=0))
+    # A cell of more columns widens the last that has a width of its own, if they are too narrow.
+    for row in grid:
+        for k, cell in row:
+            if cell.columns > 1:
+                own = [c for c in range(k, k + cell.columns) if c in width] or [k]
+                short = max(map(len, cell.lines), default=0) - sum(width.get(c, 0) for c in own) - 3 * (len(own) - 1)
+                if short > 0:
+                    width[own[-1]] = width.get(own[-1], 0) + short
+    columns = sorted(width)
+    start, room = {}, 0
+    for c in columns:
+        start[c] = room
+        room += width[c] + 3
     out = []
-    for row in rows:
-        for i in range(max((len(lines) for lines, _, _ in row), default=0)):
-            k, cells = 0, []
-            for lines, span, right in row:
-                room = sum(width.get(c, 0) for c in range(k, k + span)) + 3 * (span - 1)
-                text = lines[i] if i < len(lines) else ""
-                cells.append(text.rjust(room) if right else text.ljust(room))
-                k += span
-            out.append(" | ".join(cells).rstrip())
+    for row in grid:
+        for i in range(max((len(cell.lines) for _, cell in row), default=0)):
+            line, todo = "", iter(columns)
+            for k, cell in row:
+                own = [c for c in range(k, k + cell.columns) if c in width]
+                if not own:
+                    continue
+                # Columns before the cell that a cell above holds stay blank.
+                for c in todo:
+                    line = line.ljust(start[c] - 3) + " | " if start[c] else line
+                    if c == own[0]:
+                        break
+                for _ in own[1:]:
+                    next(todo)
+                text = cell.lines[i] if i < len(cell.lines) else ""
+                size = start[own[-1]] + width[own[-1]] - start[own[0]]
+                line += text.rjust(size) if cell.right else text.ljust(size)
+            out.append(line.rstrip())
     return out
 
 
-def _walk(node: Node, out: Lines, visible: bool, pre: bool, depth: int) -> Iterator[tuple]:
-    """Renders a node's children; yields the arguments of the walks that it needs first."""
+def _walk(node: Node, out: Lines, visible: bool, pre: bool, depth: int, sheet: Sheet, widest: int | None) -> Iterator[tuple]:
+    """Renders a node's children; yields the first arguments of the walks that it needs first."""
     number = 0
     if node.tag == "ol":
         start = node.attrs.get("start", "1").strip()
@@ -303,7 +419,7 @@ def _walk(node: Node, out: Lines, visible: bool, pre: bool, depth: int) -> Itera
         tag = child.tag
         if closed and tag != "summary":
             continue
-        shown, seen = _shown(child, visible)
+        shown, seen = _shown(child, visible, sheet)
         if not shown:
             continue
         if tag == "br":
@@ -324,16 +440,20 @@ def _walk(node: Node, out: Lines, visible: bool, pre: bool, depth: int) -> Itera
             yield child, own, seen, pre, depth + 1
             out.add(["  " + x if x else "" for x in own.done()], tag == "blockquote")
         elif tag == "table":
-            rows, captions = [], []
+            rows, captions, parts = [], [], []
             todo = [(child, seen)]
             while todo:
                 part, part_seen = todo.pop(0)
+                # Cells don't span from one section of a table to the next.
+                if part.tag in SECTIONS or rows:
+                    parts.append(rows)
+                    rows = []
                 for x in part.children:
                     if isinstance(x, str):
                         if x.strip() and part_seen:
                             captions.append([_SPACE.sub(" ", x).strip()])
                         continue
-                    ok, x_seen = _shown(x, part_seen)
+                    ok, x_seen = _shown(x, part_seen, sheet)
                     if not ok or x.tag in ("col", "colgroup"):
                         continue
                     if x.tag in SECTIONS:
@@ -345,29 +465,32 @@ def _walk(node: Node, out: Lines, visible: bool, pre: bool, depth: int) -> Itera
                                 if cell.strip() and x_seen:
                                     captions.append([_SPACE.sub(" ", cell).strip()])
                                 continue
-                            ok, cell_seen = _shown(cell, x_seen)
+                            ok, cell_seen = _shown(cell, x_seen, sheet)
                             if not ok:
                                 continue
                             own = Lines()
                             if cell.tag in ("td", "th"):
                                 yield cell, own, cell_seen, pre, depth + 1
-                                span = cell.attrs.get("colspan", "1").strip()
                                 right = cell.attrs.get("align", "").lower() == "right" or "text-align:right" in _style(cell)
-                                row.append((own.done(), min(SPAN, max(1, int(span))) if re.fullmatch(r"\d{1,6}", span) else 1, right))
+                                row.append(Cell(own.done(), max(1, _number(cell, "colspan", SPAN)), _number(cell, "rowspan", ROWSPAN), right))
                             else:
                                 holder = Node("div", {})
                                 holder.children = [cell]
                                 yield holder, own, x_seen, pre, depth + 1
                                 captions.append(own.done())
-                        if row:
-                            rows.append(row)
+                        rows.append(row)
                     else:
                         own = Lines()
                         holder = Node("div", {})
                         holder.children = [x]
                         yield holder, own, part_seen, pre, depth + 1
                         captions.append(own.done())
-            out.add([line for c in captions for line in c] + _table(rows), True)
+            parts.append(rows)
+            for some in parts:
+                for at, row in enumerate(some):
+                    for cell in row:
+                        cell.rows = min(cell.rows or len(some), len(some) - at)
+            out.add([line for c in captions for line in c] + _table([row for some in parts for row in some], widest), True)
         else:
             block = tag in BLOCK
             spaced = tag in SPACED and not (tag in LISTS | {"dl"} and depth > 0)
@@ -378,32 +501,32 @@ def _walk(node: Node, out: Lines, visible: bool, pre: bool, depth: int) -> Itera
                 out.block(spaced)
 
 
-def render(root: Node) -> str:
+def render(root: Node, widest: int | None = None) -> str:
     """The visible text of a tree."""
-    out = Lines()
-    shown, seen = _shown(root, True)
-    stack = [_walk(root, out, seen, False, 0)] if shown else []
+    out, sheet = Lines(), style_sheet(root)
+    shown, seen = _shown(root, True, sheet)
+    stack = [_walk(root, out, seen, False, 0, sheet, widest)] if shown else []
     while stack:
         need = next(stack[-1], None)
         if need is None:
             stack.pop()
         else:
-            stack.append(_walk(*need))
+            stack.append(_walk(*need, sheet, widest))
     return "\n".join(out.done())
 
 
-def extract(page: str | None) -> str:
-    return render(parse(page)) if page else ""
+def extract(page: str | None, widest: int | None = None) -> str:
+    return render(parse(page), widest) if page else ""
 
 
-def extracted(spark: SparkSession, pages: DataFrame) -> DataFrame:
+def extracted(spark: SparkSession, pages: DataFrame, widest: int | None = None) -> DataFrame:
     """page_id, text, n_chars and n_lines of every row of pages."""
     bounded_batches(spark)
 
     @F.arrow_udf("string")
     def run(values: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in values:
-            yield pa.array([extract(v) for v in batch.to_pylist()], pa.string())
+            yield pa.array([extract(v, widest) for v in batch.to_pylist()], pa.string())
 
     pages = pages.select("page_id", "html")
     found = pages.select("page_id", run.asNondeterministic()(pages["html"]).alias("text"))

@@ -219,6 +219,70 @@ def test_html():
     assert htmltext.extract("<div>" * 20_000 + "x") == "x" and htmltext.extract("<dl><dt>T<dd>D</dl>") == "T\n  D"
 
 
+def test_html_tables():
+    w = "w" * 61
+    assert htmltext.extract(f"<table><tr><td>{w}<td>b<tr><td>s<td>c</table>") == f"{w} | b\n{'s':61} | c"
+    assert htmltext.extract("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>") == "a | b\n  | c\nd | e"
+    assert htmltext.extract("<table><tr><td>aa<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>") == "aa | b | c\nd  |   | e\nf  |   | g"
+    assert htmltext.extract("<table><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>") == "a | b\nc | d"
+    assert htmltext.extract("<table><tr><th colspan=2>wide heading<th>z<tr><td>a<td>b<td>c</table>") == "wide heading | z\na | b        | c"
+    assert htmltext.extract("<table><tr><td colspan=1000>x<tr><td>a<td>b</table>") == "x\na | b" and htmltext.extract("<table><tr><td colspan=x>p<td>q</table>") == "p | q"
+    assert htmltext.extract("<table><tr><td>one two three<td>b</table>", 8) == "one two | b\nthree   |"
+    assert htmltext.extract("<table><tr><td>a<br>long<td align=right>1<tr><td>b<td align=right>200</table>") == "a    |   1\nlong |\nb    | 200"
+
+
+def test_html_visibility():
+    sheet = "<style>.x, #y {display: none} p.z{visibility:hidden} em{display:none} @media print {.k{display:none}} .show em{display:inline}</style>"
+    assert htmltext.extract(f"{sheet}<p class='a x'>no</p><p id=y>no</p><p class=z>no <b style='visibility:visible'>yes</b></p><div class=z>yes</div><p class=k>kept</p><em>no</em>") == "yes\n\nyes\n\nkept"
+    assert htmltext.extract("<style>.x{display:none}</style><p class=x style='display:block'>yes") == "yes"
+    assert htmltext.extract("<style>.x{display:none !important}</style><p class=x style='display:block'>no") == ""
+    assert htmltext.extract("<svg><defs><text>no</text></defs><title>no</title><text>chart label</text></svg> <math><mi>a</mi><mo>=</mo><mn>2</mn></math>") == "chart label a=2"
+
+
+def test_html_trees_brute_force():
+    """Random trees of known visibility: every visible word is emitted once, in order, no other is."""
+    import random
+
+    rng = random.Random(8)
+    for k in range(300):
+        words, count = [], [0]
+
+        def word(seen):
+            count[0] += 1
+            words.extend([f"w{count[0]}"] if seen else [])
+            return f"w{count[0]} "
+
+        def tree(depth, seen):
+            kind = rng.randrange(9) if depth < 5 else 0
+            if kind == 0:
+                return word(seen)
+            inside = lambda s: "".join(tree(depth + 1, s) for _ in range(rng.randrange(1, 4)))
+            if kind == 1:
+                return f"<div>{inside(seen)}</div>"
+            if kind == 2:
+                return f"<div hidden>{inside(False)}</div>"
+            if kind == 3:
+                return f"<section style='display:none'>{inside(False)}</section>"
+            if kind == 4:
+                return "<ul>" + "".join(f"<li>{inside(seen)}" for _ in range(2)) + "</ul>"
+            if kind == 5:
+                return f"<blockquote>{inside(seen)}</blockquote><script>{word(False)}</script>"
+            if kind == 6:
+                return "<table>" + "".join("<tr>" + "".join(f"<td>{word(seen)}</td>" for _ in range(rng.randrange(1, 4))) + "</tr>" for _ in range(2)) + "</table>"
+            if kind == 7:
+                return f"<p>{word(seen)}</p><!-- {word(False)} -->"
+            return f"<span class=gone>{word(False)}</span><b>{word(seen)}</b>"
+
+        page = "<style>.gone{display:none}</style>" + "".join(tree(0, True) for _ in range(4))
+        text = htmltext.extract(page)
+        import re
+
+        assert re.findall(r"w\d+", text) == words, page
+        assert htmltext.extract(page) == text
+    flat = "<p>flat page " * 30_000
+    assert htmltext.extract(flat).count("flat page") == 30_000
+
+
 def test_html_query(spark):
     rows = queries.op7_html_extraction(spark, SF).collect()
     assert len(rows) == spark.read.parquet(f"{SF}/pages.parquet").count() and all("track(" not in r.text and r.n_chars == len(r.text) for r in rows)
