@@ -43,17 +43,40 @@ def test_secrets_without_digit_and_short(spark, forest):
     assert [got[k] for k in range(len(got))] == [[x] for x in secret] + [[]] * len(calm)
 
 
-FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License"
-SIBLINGS = [
-    ("under the terms of the GNU General Public License as published by the Free Software Foundation", {"gpl"}), (FREE.format("", 2), {"gpl"}), (FREE.format("", 3), {"gpl", "gpl-3.0"}),
-    (FREE.format("Lesser ", 3), {"gpl", "lgpl"}), (FREE.format("Affero ", 3), {"gpl", "agpl"}), ("licensed under the GNU General Public License, version 2", {"gpl"}),
-    ("licensed under the GNU General Public License, version 3", {"gpl", "gpl-3.0"}), ("This work is licensed under a Creative Commons Attribution 4.0 International License", {"cc-by-4.0"}),
-    ("This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", {"cc-by-nc-4.0"}),
-    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", {"cc-by-sa-4.0"}), ("Licensed under the Apache License, Version 2.0", {"apache-2.0"}),
-]
+FREE = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+#: Notices and exactly their labels (the base phrases' too).
+NOTICES = [
+    ("under the terms of the GNU General Public License as published by the Free Software Foundation", {"gpl"}), (FREE.format("", 2), {"gpl", "gpl-2.0"}), (FREE.format("", 3), {"gpl", "gpl-3.0"}),
+    (FREE.format("Lesser ", 3), {"gpl", "lgpl-3.0"}), (FREE.format("Lesser ", "2.1"), {"gpl", "lgpl-2.1"}), (FREE.format("Library ", 2), {"gpl", "lgpl-2.0"}), (FREE.format("Affero ", 3), {"gpl", "agpl-3.0"}),
+    ("licensed under the GNU General Public License, version 2", {"gpl", "gpl-2.0"}), ("licensed under the GNU General Public License, version 3", {"gpl", "gpl-3.0"}), ("GNU General Public License v3", {"gpl", "gpl-3.0"}),
+    ("covered by the GNU Lesser General Public License", {"gpl", "lgpl"}), ("the GNU Affero General Public License applies", {"gpl", "agpl"}), ("GNU Affero General Public License version 3", {"gpl", "agpl-3.0"}),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", {"cc-by-4.0"}), ("a Creative Commons Attribution 3.0 Unported License", {"cc-by-3.0"}),
+    ("This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License", {"cc-by-nc-4.0"}), ("a Creative Commons Attribution-ShareAlike 4.0 International License", {"cc-by-sa-4.0"}),
+    ("a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License", {"cc-by-nc-sa-4.0"}), ("Creative Commons Attribution-Non Commercial-No Derivatives 4.0", {"cc-by-nc-nd-4.0"}),
+    ("CC BY-SA 3.0", {"cc-by", "cc-by-sa-3.0"}), ("CC BY-NC-ND 4.0", {"cc-by", "cc-by-nc-nd-4.0"}), ("Licensed under CC BY 4.0", {"cc-by", "cc-by-4.0"}), ("CC-BY-ND 2.5", {"cc-by", "cc-by-nd-2.5"}), ("CC BY-NC-SA 4.0", {"cc-by", "cc-by-nc-sa-4.0"}),
+    ("Licensed under the Apache License, Version 2.0", {"apache-2.0"}), ("Released under the MIT License", {"mit"}), ("Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", {"bsd-3-clause"}),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", {"mpl-2.0"}), ("CC0 1.0 Universal", {"cc0-1.0"}), ("Boost Software License - Version 1.0", {"bsl-1.0"}),
+    ("in no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software", {"mit"}),
+    # Near misses.
+    ("Licensed under the Apache License, Version 1.1", set()), ("released under the BSD License", set()), ("subject to the terms of the Mozilla Public License, v. 1.1", set()), ("CC BY", {"cc-by"}), ("Creative Commons Attribution", set()),
+    ("the General Public License", {"gpl"}), ("released under the new license", set()), ("This program is free software", set()),
+]
+
+
+def test_license_notices(spark):
+    got = licenses.licenses(spark, spark.createDataFrame([(k, t) for k, (t, _) in enumerate(NOTICES)], "doc_id long, text string"))
+    got = {r.doc_id: set(r.labels.split(",")) - {""} for r in got.collect()}
+    assert {t: got[k] for k, (t, _) in enumerate(NOTICES)} == dict(NOTICES)
 
 
-def test_license_siblings(spark):
-    got = licenses.licenses(spark, spark.createDataFrame([(k, t) for k, (t, _) in enumerate(SIBLINGS)], "doc_id long, text string"))
-    got = {r.doc_id: set(r.labels.split(",")) for r in got.collect()}
-    assert [got[k] for k in range(len(SIBLINGS))] == [x for _, x in SIBLINGS]
+def test_license_whole_texts(spark):
+    """A whole text in windows is found by its body alone, and a changed word costs little."""
+    body = " ".join(f"clause{k % 50} of section{k // 50} says thing{k * k % 97}" for k in range(400))
+    templates = {"own": licenses.windows(body), "other": licenses.windows(body.replace("clause", "part"))}
+    words = licenses.words_of(body)
+    part = words[300:800]
+    part[100] = "changed"
+    docs = spark.createDataFrame([(1, " ".join(part)), (2, "none of it"), (3, None)], "doc_id long, text string")
+    got = licenses.spans(spark, docs, templates).collect()
+    assert {r.doc_id for r in got} == {1} and {r.label for r in got} == {"own"} and len(got) >= 6
+    assert " ".join(licenses.windows(body)) == " ".join(words) and licenses.windows("") == []
