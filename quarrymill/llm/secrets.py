@@ -9,13 +9,15 @@ prefixes, signs in the row's path, and words next to it; these are taken from th
 earlier candidates included.  A random forest trained from labelled findings gives the probability that it is a
 secret; below ``THRESHOLD`` it counts as a false positive.
 
-The forest is trained by Spark's own library on the labelled findings (a bounded table:
-``findings()`` generates one from public token formats and look-alikes, or the caller gives
-one) and then written as one SQL expression, so a scan is a narrow projection of the texts:
-nothing is shuffled, and redaction happens in the row.
+The forest is trained by Spark's own library on labelled findings, at most ``MOST_LABELLED``:
+those that the caller gives, or ``findings()``, which makes them by rule from public token formats
+and their look-alikes, between words, key names and seeded noise of signs.  It is then written as
+one SQL expression, so a scan is a narrow projection of the texts: nothing is shuffled, and
+redaction happens in the row.
 
 Defined results: a null or empty text has no candidates and is returned as it is; a null
-path has no signs; repeated rows get equal results; candidates are numbered from 0.
+path has no signs; repeated rows get equal results; candidates are numbered from 0; a probability
+of THRESHOLD counts as a secret; columns of any name pass.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymill.llm.common import pick
+
 LEAST = 16
 LEAST_KEYED = 4
 _KEY = r"(?i:token|secret|passw(?:or)?d|passphrase|pwd|api[_ -]?key|auth|bearer|credential|private[_ -]?key|access[_ -]?key|client[_ -]?key)[A-Za-z0-9_\-]{0,24}[\x22\x27]?[ \t]{0,4}(?:[:=]=?|=>)[ \t]{0,4}"
@@ -40,6 +44,8 @@ NEAR = 48
 SHORTEST = LEAST_KEYED
 THRESHOLD = 0.5
 REDACTED = "[SECRET]"
+#: Labelled findings that are trained on at most, chosen by a hash.
+MOST_LABELLED = 100_000
 
 # Words whose letters in a candidate speak against a random token.
 DICTIONARY = (
@@ -64,9 +70,9 @@ DICTIONARY = (
 #: Features by name, as SQL over a candidate @c, the text before it @b, the text after it @a
 #: and a path @p.
 FEATURES = {
-    "length": "cast(least(length(@c), 400) as double)",
+    "length": "log2(cast(length(@c) as double))",
     "transitions": r"regexp_count(@c, '[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+') / cast(length(@c) as double)",
-    "distinct": "size(array_distinct(split(substring(@c, 1, 400), ''))) / cast(least(length(@c), 64) as double)",
+    "distinct": "size(array_distinct(split(@c, ''))) / cast(least(length(@c), 64) as double)",
     "digits": "regexp_count(@c, '[0-9]') / cast(length(@c) as double)",
     "capitals": "regexp_count(@c, '[A-Z]') / cast(length(@c) as double)",
     "hexadecimal": "cast(@c rlike '^([0-9a-f]+|[0-9A-F]+)$' as double)",
@@ -99,14 +105,17 @@ def _over(row: str) -> dict[str, str]:
     return out
 
 
-def findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """Labelled findings (c, b, a, p, label) from public token formats and their look-alikes,
-    by a rule: the row's number chooses a format and, through digests, its characters."""
+def findings(spark: SparkSession, rows: int = 6000, first: int = 0) -> DataFrame:
+    """Labelled findings (c, b, a, p, label, kind) from public token formats and their look-alikes,
+    by a rule: the row's number, from first, chooses a format (kind) and, through digests, its
+    characters.  One row in four has noise around its assignment: one to three of a sign, as soiled
+    texts have."""
     choose = lambda seed, values: f"element_at(split('{'@'.join(values)}', '@'), cast(1 + pmod(xxhash64(id, {seed}), {len(values)}) as int))"
     asked = "token secret api_key apikey password passwd auth_token access_key client_secret SECRET_KEY bearer".split() + ["Authorization: Bearer"]
     calm = "commit sha1 sha256 md5 checksum uuid etag digest build revision order trace request integrity".split()
-    glue = [' = "', " = ", ': "', ": ", "=", '="', " := ", " ", '%%% =### "', '!! =!! "', ' | = | "', '&&& =$$$ "']
-    table = spark.range(rows).selectExpr("id", "concat(sha1(concat('a', id)), sha1(concat('b', id))) as h", *(f"{choose(k, DICTIONARY)} as w{k}" for k in range(6)))
+    glue = [' = "', " = ", ': "', ": ", "=", '="', " := ", " "]
+    signs = "! # $ % & * | ~ ^ < > + ; , ?".split()
+    table = spark.range(first, first + rows).selectExpr("id", "concat(sha1(concat('a', id)), sha1(concat('b', id))) as h", *(f"{choose(k, DICTIONARY)} as w{k}" for k in range(6)))
     syllables = "nicht schaft lich keit ung zu ein ver sch en tion ment eau ha ing th er re st on auf gen nth ight str".split()
     table = table.withColumn("long", F.expr(f"concat({', '.join(choose(40 + k, syllables) for k in range(5))}, 'erstand')"))
     table = table.selectExpr(
@@ -114,9 +123,10 @@ def findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         "translate(h, '0123456789abcdef', 'kQzWvTbXmRjNpLcG') as mixed", "translate(h, '0123456789', 'gkmpqvwxyz') as low", "translate(upper(h), '0123456789', 'GKMPQVWXYZ') as high",
         "concat(substring(w4, 1, 1), substring(w5, 2, 2), substring(w1, 2, 9), substring(w2, 1, 9), w0, 'er') as words",
         f"{choose(29, [': ', '= ', ' = ', '=', ': '])} as plain", f"{choose(30, ['!', '.', '$', '#', '%', '&', '*', '?'])} as mark",
-        f"{choose(21, asked)} as asked", f"{choose(22, calm)} as calm", f"{choose(23, glue)} as glue", f"concat(w0, ' ', w1, ' ', w2, {choose(24, ['. ', ' ', ', '])}) as prose",
+        f"{choose(21, asked)} as asked", f"{choose(22, calm)} as calm", f"{choose(23, glue)} as assign", f"repeat({choose(33, signs)}, cast(1 + pmod(xxhash64(id, 34), 3) as int)) as noise", f"repeat({choose(35, signs)}, cast(pmod(xxhash64(id, 36), 4) as int)) as more", f"concat(w0, ' ', w1, ' ', w2, {choose(24, ['. ', ' ', ', '])}) as prose",
         "substring(h, 1, cast(element_at(array(32, 40, 40, 40, 64), cast(1 + pmod(xxhash64(id, 25), 5) as int)) as int)) as hexes",
     )
+    table = table.withColumn("glue", F.expr("case when pmod(xxhash64(id, 37), 4) = 0 then concat(noise, ' =', more, ' \"') else assign end"))
     # Each format: candidate, words before, label.
     kinds = [
         ("hexes", "concat(prose, asked, glue)", 1),
@@ -162,13 +172,13 @@ def findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
         ("concat(w3, '.', w4, '.', w5)", "concat(prose, asked, plain)", 0),
         ("concat(w3, '|', w4, '-', w5, '|', w1)", "prose", 0),
     ]
-    pick = lambda k: "case " + " ".join(f"when id % {len(kinds)} = {i} then {x[k]}" for i, x in enumerate(kinds)) + " end"
+    of = lambda k: "case " + " ".join(f"when id % {len(kinds)} = {i} then {x[k]}" for i, x in enumerate(kinds)) + " end"
     paths = "src/main.py config/app.yml deploy/.env web crawl src0 lib/client.js server/settings.json tests/test_main.py docs/readme.md".split()
-    table = table.selectExpr("id", f"{pick(0)} as c", f"{pick(1)} as b", f"{pick(2)} as label")
+    table = table.selectExpr("id", f"{of(0)} as c", f"{of(1)} as b", f"{of(2)} as label", f"cast(id % {len(kinds)} as int) as kind")
     # Look-alikes also come from tests and documentation.
     table = table.withColumn("p", F.expr(f"case when label = 1 then {choose(28, paths[:-2])} else {choose(28, paths)} end"))
     quote = "case when b rlike '\"$' then '\"' else ' ' end"
-    return table.selectExpr("c", f"right(b, {NEAR}) as b", f"{quote} as a", "p", "cast(label as double) as label")
+    return table.selectExpr("c", f"right(b, {NEAR}) as b", f"{quote} as a", "p", "cast(label as double) as label", "kind")
 
 
 def _tree_sql(tree: str) -> str:
@@ -198,6 +208,8 @@ def train(spark: SparkSession, labelled: DataFrame | None = None, trees: int = 2
     """Trains the forest on labelled findings (c, b, a, p, label) and returns its SQL.  Their
     texts are scanned as any text is: candidates within c have its label, others 0."""
     rows = findings(spark) if labelled is None else labelled
+    if labelled is not None and (total := rows.count()) > MOST_LABELLED:
+        rows = rows.where(pick(F.lit(MOST_LABELLED / total), "c", "b", "a", "p"))
     # Cached step by step, as each takes its columns many times; one partition order, so that
     # reruns draw the same rows.
     texts = rows.selectExpr("cast(label as double) as whole", "c as sought", "p", "concat(coalesce(b, ''), c, coalesce(a, '')) as __text").coalesce(1).cache()
@@ -252,19 +264,12 @@ def findings_of(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None
 def redacted(spark: SparkSession, docs: DataFrame, labelled: DataFrame | None = None, path: str = "source") -> DataFrame:
     """docs with every secret replaced by REDACTED; texts without one are left alone, and
     n_chars, if there, is the new length where the text changed."""
-    columns = docs.columns
-    scanned = scan(docs, train(spark, labelled), path)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", F.col(path).alias("path"))
+    scanned = scan(rows, train(spark, labelled), "path")
     safe = f"transform(__runs, (r, i) -> case when coalesce(__p[i], 0) >= {THRESHOLD} then '{REDACTED}' else r end)"
     scanned = scanned.withColumn("__secret", F.expr(f"coalesce(exists(__p, x -> x >= {THRESHOLD}), false)"))
     scanned = scanned.withColumn("__safe", F.expr(f"case when __secret then {safe} end"))
     built = "array_join(zip_with(__parts, concat(__safe, array('')), (s, r) -> concat(s, r)), '')"
     scanned = scanned.withColumn("__new", F.expr(f"case when __secret then {built} else text end"))
-    out = []
-    for c in columns:
-        if c == "text":
-            out.append(F.col("__new").alias("text"))
-        elif c == "n_chars":
-            out.append(F.when(F.col("__secret"), F.length("__new").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            out.append(F.col(c))
-    return scanned.select(*out)
+    own = {"text": F.col("__new"), "n_chars": F.when(F.col("__secret"), F.length("__new").cast("long")).otherwise(F.col("row.n_chars") if "n_chars" in docs.columns else F.lit(0))}
+    return scanned.select(*(own.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
