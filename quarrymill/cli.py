@@ -29,12 +29,13 @@ def stages(spark: SparkSession, folder: str, config: Pipeline) -> dict[str, Data
     m = checkpointed(metrics.metrics(t, inv, over.get("s2_metrics_override")))
     sql, hints = metrics.sql_inventory(t, inv), metrics.dynamic_hints(t, inv, over.get("s2_dynsql_resolve"))
     matrix = inventory.grant_matrix(t)
-    bodies = files.whole_texts(spark, f"{folder}/input").selectExpr("regexp_extract(path, 'input/(.*)$', 1) as ACTION_FILE", "text")
+    # The dictionary's own files are no bodies, and may be large.
+    bodies = files.whole_texts(spark, f"{folder}/input", pattern="{[!i]*,i[!n]*,in[!_]*}").selectExpr("regexp_extract(path, 'input/(.*)$', 1) as ACTION_FILE", "text")
     g = {k: checkpointed(v) for k, v in depgraph.build(t, inv, sql, hints, matrix, bodies, over).items()}
     s = checkpointed(scoring.scores(inv, m, g, config, over.get("pilot_effort"), over.get("s4_strategy_override")))
     return {
         "s1_inventory": inv, "s1_excluded": gone, "s1_unresolved": inventory.unresolved(t, remote, config), "s1_grant_matrix": matrix, "s2_metrics": m, "s2_sql_inventory": sql,
-        "s2_dynsql_hints": hints, "s2_parser_bench": metrics.parser_bench(m), **g, "s4_scores": s, "s4_review": scoring.score_review(s, m), "s5_roadmap": scoring.roadmap(s, g["s3_edges"]),
+        "s2_dynsql_hints": hints, "s2_parser_bench": metrics.parser_bench(m), "s2_parse_failures": metrics.parse_failures(m), "s2_refcursor_profiles": metrics.cursor_profiles(t, inv, m), **g, "s4_scores": s, "s4_review": scoring.score_review(s, m), "s5_roadmap": scoring.roadmap(s, g["s3_edges"]),
         "s5_inventory": scoring.wide_inventory(inv, m, g["s3_nodes"], s), "s5_cut_points": scoring.cut_points(g["s3_edges"], remote), "s5_risks": scoring.risks(inv, m, g, t["in_arguments"]),
     }
 
@@ -46,6 +47,14 @@ def summary(s: DataFrame) -> str:
     return "# Summary\n\n" + "\n".join(parts) + "\n## Effort\n\n" + total
 
 
+def reports(made: dict[str, DataFrame], named: DataFrame) -> str:
+    """Deferred units, cut points and the risk register as Markdown; overridden units have an asterisk."""
+    defer = scoring.marked(made["s4_scores"].where("STRATEGY = 'DEFER'").select("SP_ID", "D_SCORE", "C_SCORE", "EFFORT_P90"), named).orderBy("SP_ID")
+    cuts = scoring.marked(made["s5_cut_points"], named).orderBy("SP_ID", "TARGET")
+    risks = scoring.marked(made["s5_risks"], named, "SUBJECT").orderBy("RISK", "SUBJECT")
+    return "".join(f"\n## {title}\n\n{files.markdown_table(df)}" for title, df in (("Deferred units", defer), ("Cut points", cuts), ("Risk register", risks)))
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quarrymill")
     p.add_argument("command", choices=("run", "validate", "lint", "spike", "diff", "score"))
@@ -68,20 +77,28 @@ def main(argv: list[str] | None = None) -> int:
             return 1
         refs = sqlfolder.references(objs, sqlfolder.grants(texts))
         rows = checkpointed(sqlfolder.scores(objs, sqlfolder.metrics(objs), refs, config))
-        files.write_csv(rows.drop("callers"), f"{a.out}/objects.csv", single=True)
-        files.write_csv(refs, f"{a.out}/references.csv", single=True)
-        if a.samples:
-            files.write_csv(sqlfolder.effort(rows, files.effort_samples(spark, a.samples), config), f"{a.out}/effort.csv", single=True)
-        sqlfolder.report(spark, rows, refs, f"{a.out}/report.md")
+        estimates = checkpointed(sqlfolder.effort(rows, files.effort_samples(spark, a.samples), config)) if a.samples else None
+        files.write_csv(sqlfolder.object_table(rows, estimates), f"{a.out}/objects.csv", single=True)
+        files.write_csv(sqlfolder.reference_table(refs), f"{a.out}/references.csv", single=True)
+        if estimates is not None:
+            files.write_csv(estimates, f"{a.out}/effort.csv", single=True)
+        sqlfolder.report(spark, rows, refs, f"{a.out}/report.md", estimates, config)
         return 0
     if a.command == "diff":
-        checks.diff(spark, f"{a.folder}/{a.stage}", a.stage, a.old, a.new, "SP_ID").show(100, False)
+        found = checks.diff(spark, f"{a.folder}/{a.stage}", a.stage, a.old, a.new, "SP_ID")
+        files.write_csv(found, f"{a.out}/diff_{a.stage}_{a.old}_{a.new}.csv", single=True)
+        found.show(100, False)  # all of them are in the file
         return 0
     if a.command == "lint":
         found = checks.lint(tables(spark, a.folder)[1])
     elif a.command == "validate":
         t, over = tables(spark, a.folder)
-        found = checks.presence(spark, f"{a.folder}/input").unionByName(checks.validate(t, over, files.remote_objects(spark, f"{a.folder}/input")))
+        config = load(a.config, Pipeline()) if a.config else Pipeline()
+        inv = checkpointed(inventory.inventory(t, config, over.get("s1_inventory_override"))[0])
+        m = metrics.metrics(t, inv, over.get("s2_metrics_override"))
+        present = files.listing(spark, f"{a.folder}/input").selectExpr("regexp_extract(path, 'input/(.*)$', 1) as path")
+        found = checks.presence(spark, f"{a.folder}/input").unionByName(checks.missing_bodies(t, present))
+        found = found.unionByName(checks.validate(t, over, files.remote_objects(spark, f"{a.folder}/input"), inv, m, config.target_success_rate, config.min_samples))
     else:
         made = stages(spark, a.folder, load(a.config, Pipeline()) if a.config else Pipeline())
         if a.command == "spike":
@@ -91,16 +108,27 @@ def main(argv: list[str] | None = None) -> int:
             files.write_csv(df, f"{a.out}/{name}.csv", single=True)
             if a.tag:
                 files.snapshot(df, f"{a.out}/snapshots/{name}", a.tag)
-        text = summary(made["s4_scores"])
+        over = tables(spark, a.folder)[1]
+        named = checkpointed(scoring.overridden(over, spark))
+        config = load(a.config, Pipeline()) if a.config else Pipeline()
+        if "pilot_effort" in over and (found := scoring.diagnostics(made["s1_inventory"], made["s2_metrics"], made, config, over["pilot_effort"])):
+            import yaml
+
+            files.write_text(spark, f"{a.out}/s4_weight_suggestion.yaml", yaml.safe_dump(found, allow_unicode=True, sort_keys=False))
+        text = summary(made["s4_scores"]) + reports(made, named)
         files.write_text(spark, f"{a.out}/summary.md", text)
         files.write_text(spark, f"{a.out}/summary.html", render.page(text))
         files.write_text(spark, f"{a.out}/graph.mmd", files.mermaid(made["s3_edges"]))
         files.write_text(spark, f"{a.out}/quadrants.svg", files.scatter_svg(made["s4_scores"], "D_SCORE", "C_SCORE"))
         history = files.git_history(a.folder)
-        files.write_text(spark, f"{a.out}/override_audit.md", "# Overrides\n\n" + "\n".join(f"- {x}" for x in history) + "\n")
+        audit = "# Overrides\n\n" + "\n".join(f"- {x}" for x in history) + "\n\n## Units\n\n" + files.markdown_table(named.orderBy("SP_ID"))
+        files.write_text(spark, f"{a.out}/override_audit.md", audit)
+        spikes = files.markdown_table(checks.spikes(made["s2_metrics"], made["s3_edges"].where("EDGE_TYPE = 'APP_CALL'")))
+        files.write_text(spark, f"{a.out}/spikes.md", "# Spikes\n\n" + spikes)
         return 0
     found = checkpointed(found)
-    found.orderBy("level", "code", "message").show(1000, False)
+    files.write_csv(found.select("level", "code", "message"), f"{a.out}/{a.command}.csv", single=True)
+    found.orderBy("level", "code", "message").show(1000, False)  # all of them are in the file
     return int(found.where("level = 'ERROR'").limit(1).count())
 
 

@@ -128,10 +128,10 @@ def wide_join(base: DataFrame, sides: Sequence[tuple[DataFrame, str]], key: str)
     return out
 
 
-def collisions(df: DataFrame, key: Sequence[str], value: str, least: int = 2) -> DataFrame:
-    """Keys with several distinct values, and those values joined in order."""
+def collisions(df: DataFrame, key: Sequence[str], value: str, least: int = 2, by_rows: bool = False) -> DataFrame:
+    """Keys with several distinct values (or rows), and those values joined in order."""
     values = F.array_sort(F.collect_set(F.col(value).cast("string")))
-    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"), values.alias("v")).where(F.size("v") >= least).select(*key, "n_rows", F.size("v").cast("long").alias("n_values"), F.array_join("v", ";").alias("value_list"))
+    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_rows"), values.alias("v")).where((F.col("n_rows") if by_rows else F.size("v")) >= least).select(*key, "n_rows", F.size("v").cast("long").alias("n_values"), F.array_join("v", ";").alias("value_list"))
 
 
 def repeated_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -27,6 +27,27 @@ def ols(y: str, x: str) -> list[Column]:
     ]
 
 
+# The t quantile at 0.90 by degrees of freedom (up to each bound; beyond, the normal one).
+T90 = {1: 3.078, 2: 1.886, 3: 1.638, 4: 1.533, 5: 1.476, 6: 1.440, 7: 1.415, 8: 1.397, 9: 1.383, 10: 1.372, 12: 1.356, 15: 1.341, 20: 1.325, 30: 1.310}
+NORMAL90 = 1.282
+
+
+def t90(df: Column) -> Column:
+    """The t quantile at 0.90 from a step table: of the first degrees of freedom that are enough; the
+    normal quantile above the table and below 1."""
+    out = F.lit(NORMAL90)
+    for bound in sorted(T90, reverse=True):
+        out = F.when(df <= bound, T90[bound]).otherwise(out)
+    return F.when(df < 1, NORMAL90).otherwise(out)
+
+
+def half_width(x: Column, n: Column, mean_x: Column, sxx: Column, resid_sd: Column) -> Column:
+    """Half of the 80 % prediction interval of a line at x: t * s * sqrt(1 + 1/n + (x - mean)^2 / sxx);
+    null where the line has no spread."""
+    wide = t90(n - 2) * resid_sd * F.sqrt(1 + 1 / n + (x - mean_x) * (x - mean_x) / sxx)
+    return F.when((n > 2) & (sxx > 0) & (resid_sd > 0), wide)
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
     """Rows, means, and the matrix of centred second moments, from one aggregate."""
     k = len(columns)

@@ -63,13 +63,14 @@ def inventory(t: dict[str, DataFrame], config: Pipeline, override: DataFrame | N
     if override is not None:
         rows, gone = pt.include_exclude(rows, gone, override)
     names = "SP_ID OWNER PKG NAME OVERLOAD_NO TYPE LOC STATUS WRAPPED CROSS_SCHEMA_CALLABLE SUSPECT_UNUSED REMOTE_REF_COUNT".split()
-    return rows.select(*names).orderBy("SP_ID"), gone
+    return rows.select(*names), gone
 
 
 def resolve_synonyms(t: dict[str, DataFrame], names: DataFrame) -> DataFrame:
-    """names (OWNER, NAME, ...) with TABLE_OWNER, TABLE_NAME, DB_LINK: the owner's synonym before the public one."""
-    syn = t["in_synonyms"].select("OWNER", F.col("SYNONYM_NAME").alias("NAME"), F.struct("TABLE_OWNER", "TABLE_NAME", "DB_LINK").alias("s"))
-    one = syn.groupBy("OWNER", "NAME").agg(F.max("s").alias("s"))
+    """names (OWNER, NAME, ...) with TABLE_OWNER, TABLE_NAME, DB_LINK: the owner's synonym before the
+    public one; of a synonym's rows the last in the file's order, which the ids of a scan follow."""
+    syn = t["in_synonyms"].select("OWNER", F.col("SYNONYM_NAME").alias("NAME"), F.struct("TABLE_OWNER", "TABLE_NAME", "DB_LINK").alias("s"), F.monotonically_increasing_id().alias("at"))
+    one = syn.groupBy("OWNER", "NAME").agg(F.max_by("s", "at").alias("s"))
     own, public = one.where("OWNER <> 'PUBLIC'"), one.where("OWNER = 'PUBLIC'").drop("OWNER")
     return rel.priority_lookup(names, [(own, ["OWNER", "NAME"]), (public, ["NAME"])], "s").select(*names.columns, "s.TABLE_OWNER", "s.TABLE_NAME", "s.DB_LINK")
 
@@ -97,7 +98,8 @@ def unresolved(t: dict[str, DataFrame], remote: DataFrame, config: Pipeline) ->
     links = rel.anti(link_uses(t), t["in_db_links"].select(F.col("DB_LINK").alias("LINK")), ["LINK"])
     links = links.groupBy("OWNER", "NAME").agg(F.min("LINK").alias("LINK"), F.min_by("LINE", F.struct("LINE")).alias("LINE"))
     bad = t["in_objects"].where("STATUS = 'INVALID'").withColumnRenamed("OBJECT_NAME", "NAME")
-    many = rel.collisions(t["in_objects"].where(F.col("OBJECT_TYPE").isin(*PLAIN, "PACKAGE BODY")), ["OBJECT_NAME"], "OWNER")
+    # Rows count here, not owners: a function and a trigger of one owner collide too.
+    many = rel.collisions(t["in_objects"].where(F.col("OBJECT_TYPE").isin(*PLAIN, "PACKAGE BODY")), ["OBJECT_NAME"], "OWNER", by_rows=True)
     out = row(lost, unit, "UNRESOLVED_REMOTE", F.concat("TO", F.lit("."), "TN", F.lit("@"), "L"))
     out = out.unionByName(row(nowhere, F.concat_ws(".", "U", "UN"), "UNRESOLVED_SYNONYM", F.col("NAME")))
     out = out.unionByName(row(links, unit, "UNKNOWN_DB_LINK", F.concat(F.col("LINK"), F.lit(" line "), F.col("LINE").cast("string"))))

@@ -50,7 +50,7 @@ def metrics(t: dict[str, DataFrame], inventory: DataFrame, override: DataFrame |
     rows = rows.withColumn("clean", tx.mask_strings("nc")).withColumn("dyn", tx.dynamic_sql("nc"))
     declared = F.filter(F.transform(F.coalesce("preamble", F.array().cast("array<struct<LINE:bigint,TEXT:string>>")), lambda x: F.upper(F.regexp_extract(x["TEXT"], tx.DECLARED, 1))), lambda v: (v != "") & ~v.isin(*tx.NOT_DECLARED))
     globals_used = F.aggregate(F.array_distinct(declared), F.lit(0).cast("long"), lambda n, v: n + F.coalesce(F.regexp_count(F.upper("clean"), F.concat(F.lit(r"\b"), tx.quoted(v), F.lit(r"\b"))), F.lit(0)))
-    later = F.array_join(F.transform(F.slice(F.col("lines"), 2, 1_000_000), lambda x: x["TEXT"]), "\n")
+    later = F.array_join(F.transform(F.slice(F.col("lines"), F.lit(2), F.greatest(F.size("lines"), F.lit(1))), lambda x: x["TEXT"]), "\n")
     mutating = (F.col("TYPE") == "TRIGGER") & (F.coalesce("OWN_TABLE", F.lit("")) != "") & F.coalesce(F.rlike(later, F.concat(F.lit(r"(?i)\b(FROM|UPDATE|INTO)\s+"), tx.quoted(F.col("OWN_TABLE")), F.lit(r"\b"))), F.lit(False))
     mode = F.when(F.col("WRAPPED") == "Y", "SKIPPED").when(F.col("lines").isNull(), "FAILED").when(F.col("clean").rlike(r"(?i)\bBEGIN\b") & F.col("clean").rlike(r"(?i)END\s*[A-Za-z0-9_$#]*\s*;\s*$"), "REGEX").otherwise("PARTIAL")
     counts = {"BRANCH": tx.branch_count("clean"), **{k: tx.count("clean", p) for k, p in tx.CURSORS.items()}}
@@ -71,7 +71,7 @@ def metrics(t: dict[str, DataFrame], inventory: DataFrame, override: DataFrame |
     out = out.withColumn("PARSE_CONFIDENCE", level)
     if override is not None:
         out = pt.patch_cells(out, override, "SP_ID", [c for c, k in out.dtypes if k in ("bigint", "double")])
-    return out.orderBy("SP_ID")
+    return out
 
 
 def sql_inventory(t: dict[str, DataFrame], inventory: DataFrame) -> DataFrame:
@@ -101,4 +101,19 @@ def parser_bench(m: DataFrame) -> DataFrame:
     return by.join(F.broadcast(rate)).select("PARSE_MODE", "COUNT", "SUCCESS_RATE")  # one row
 
 
-__all__ = ["bodies", "dynamic_hints", "metrics", "parser_bench", "sql_inventory", "target"]
+def parse_failures(m: DataFrame) -> DataFrame:
+    """s2_parse_failures (SP_ID, REASON, DETAIL): wrapped units, units without source, unbalanced blocks."""
+    reason = {"SKIPPED": ("WRAPPED", "wrapped source is left out"), "FAILED": ("NO_SOURCE_FOUND", ""), "PARTIAL": ("UNBALANCED_BLOCK", "BEGIN and END don't match")}
+    of = lambda k: F.create_map(*(F.lit(x) for mode, v in reason.items() for x in (mode, v[k])))[F.col("PARSE_MODE")]
+    return m.where(F.col("PARSE_MODE").isin(*reason)).select("SP_ID", of(0).alias("REASON"), of(1).alias("DETAIL"))
+
+
+def cursor_profiles(t: dict[str, DataFrame], inventory: DataFrame, m: DataFrame) -> DataFrame:
+    """s2_refcursor_profiles: the cursor arguments of units that return cursors."""
+    overload = F.coalesce(F.col("OVERLOAD").try_cast("double"), F.lit(0.0)).cast("long")
+    args = t["in_arguments"].where(F.upper(F.coalesce("PLS_TYPE", F.lit(""))).contains("CURSOR")).select("OWNER", tx.clean_str("PACKAGE_NAME").alias("PKG"), F.upper("OBJECT_NAME").alias("U"), overload.alias("OVERLOAD_NO"), "POSITION")
+    units = inventory.join(m.where("REF_CURSOR_OUT > 0").select("SP_ID"), "SP_ID", "left_semi").withColumn("U", F.upper("NAME"))
+    return units.join(args, ["OWNER", "PKG", "U", "OVERLOAD_NO"]).select("SP_ID", F.col("POSITION").alias("ARG_POSITION"), F.lit("").alias("RETURN_COLUMNS"), F.lit("Y").alias("IS_ADHOC"))
+
+
+__all__ = ["bodies", "cursor_profiles", "dynamic_hints", "metrics", "parse_failures", "parser_bench", "sql_inventory", "target"]

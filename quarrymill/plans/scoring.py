@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrymill.config import Pipeline
@@ -51,6 +53,34 @@ def strategy(config: Pipeline) -> F.Column:
     return F.when(defer, "DEFER").when(simple, "AUTO_SIMPLE").when(assisted, "AUTO_ASSISTED").when(c["CURSOR"] > 0, "SEMI").otherwise("MANUAL")
 
 
+def classified(rows: DataFrame, config: Pipeline) -> DataFrame:
+    """rows (D_SCORE, C_SCORE and the features) with QUADRANT, STRATEGY, IS_BOUNDARY and the base effort."""
+    high_d, high_c = F.col("D_SCORE") >= config.d_threshold, F.col("C_SCORE") >= config.c_threshold
+    near = (F.abs(F.col("D_SCORE") - config.d_threshold) <= config.boundary_band) | (F.abs(F.col("C_SCORE") - config.c_threshold) <= config.boundary_band)
+    rows = rows.withColumns({"QUADRANT": F.when(high_d & high_c, "Q4").when(high_d, "Q3").when(high_c, "Q2").otherwise("Q1"), "STRATEGY": strategy(config), "IS_BOUNDARY": near})
+    base = F.create_map(*(F.lit(x) for kv in STRATEGIES.items() for x in kv))[F.col("STRATEGY")]
+    rows = rows.withColumn("EFFORT_EST_MD", tx.round2(base * (1 + F.col("C_SCORE") / 100)))
+    return rows.withColumns({"EFFORT_P50": F.col("EFFORT_EST_MD"), "EFFORT_P90": tx.round2(F.col("EFFORT_EST_MD") * 1.5), "CONFIDENCE": F.lit("LOW")})
+
+
+def _known(wide: DataFrame, pilot: DataFrame) -> DataFrame:
+    """wide with the mean ACTUAL_MD of each unit that the pilot has."""
+    return wide.join(pilot.where("ACTUAL_MD is not null").groupBy("SP_ID").agg(F.avg("ACTUAL_MD").alias("ACTUAL_MD")), "SP_ID")
+
+
+def diagnostics(inventory: DataFrame, metrics: DataFrame, graph: dict[str, DataFrame], config: Pipeline, pilot: DataFrame) -> dict | None:
+    """s4_weight_suggestion: the model, its samples, variance inflation and the coefficients of the
+    standardised features; none below the least samples."""
+    used = [*config.dependency, *config.complexity]
+    features = dependency_features(inventory, graph["s3_edges"], graph["s3_nodes"]).join(complexity_features(metrics), "SP_ID")
+    known = checkpointed(_known(features.select("SP_ID", *(F.col(f).cast("double").alias(f) for f in used)), pilot))
+    if (n := known.count()) < config.min_samples:
+        return None
+    scaled = st.standardise(known, used)
+    _, weights = st.linear(scaled, "ACTUAL_MD", used, config.model, config.alpha)
+    return {"model": config.model, "samples": n, "vif": st.vif(scaled, used), "weight_suggestion": {f: round(w, 4) for f, w in zip(used, weights, strict=True)}}
+
+
 def scores(inventory: DataFrame, metrics: DataFrame, graph: dict[str, DataFrame], config: Pipeline, pilot: DataFrame | None = None, override: DataFrame | None = None) -> DataFrame:
     """s4_scores.  Effort is estimated before components are promoted and overrides apply."""
     dep, com = dependency_features(inventory, graph["s3_edges"], graph["s3_nodes"]), complexity_features(metrics)
@@ -59,16 +89,11 @@ def scores(inventory: DataFrame, metrics: DataFrame, graph: dict[str, DataFrame]
     d = rk.weighted_composite(rk.percentile_ranks(rk.long_form(dep, "SP_ID", list(config.dependency)), "SP_ID"), "SP_ID", config.dependency, "D_SCORE")
     c = rk.weighted_composite(rk.percentile_ranks(rk.long_form(com, "SP_ID", list(config.complexity)), "SP_ID"), "SP_ID", config.complexity, "C_SCORE")
     rows = features.join(d, "SP_ID").join(c, "SP_ID").withColumns({"D_SCORE": tx.round2(F.col("D_SCORE")), "C_SCORE": tx.round2(F.col("C_SCORE"))})
-    high_d, high_c = F.col("D_SCORE") >= config.d_threshold, F.col("C_SCORE") >= config.c_threshold
-    near = (F.abs(F.col("D_SCORE") - config.d_threshold) <= config.boundary_band) | (F.abs(F.col("C_SCORE") - config.c_threshold) <= config.boundary_band)
-    rows = rows.withColumns({"QUADRANT": F.when(high_d & high_c, "Q4").when(high_d, "Q3").when(high_c, "Q2").otherwise("Q1"), "STRATEGY": strategy(config), "IS_BOUNDARY": near})
-    base = F.create_map(*(F.lit(x) for kv in STRATEGIES.items() for x in kv))[F.col("STRATEGY")]
-    rows = rows.withColumn("EFFORT_EST_MD", tx.round2(base * (1 + F.col("C_SCORE") / 100)))
-    rows = rows.withColumns({"EFFORT_P50": F.col("EFFORT_EST_MD"), "EFFORT_P90": tx.round2(F.col("EFFORT_EST_MD") * 1.5), "CONFIDENCE": F.lit("LOW")})
+    rows = classified(rows, config)
     if pilot is not None:
         used = [*config.dependency, *config.complexity]
         wide = rows.select("SP_ID", *(F.col(f).cast("double").alias(f) for f in used))
-        known = wide.join(pilot.where("ACTUAL_MD is not null").groupBy("SP_ID").agg(F.avg("ACTUAL_MD").alias("ACTUAL_MD")), "SP_ID")
+        known = _known(wide, pilot)
         if known.count() >= config.min_samples:
             p = st.bootstrap(wide, known, "SP_ID", "ACTUAL_MD", used, config.model, config.alpha, seed=config.random_seed)
             rows = rows.drop("EFFORT_EST_MD", "EFFORT_P50", "EFFORT_P90", "CONFIDENCE").join(p, "SP_ID")
@@ -80,7 +105,7 @@ def scores(inventory: DataFrame, metrics: DataFrame, graph: dict[str, DataFrame]
     rows = rows.join(place, "SP_ID", "left")
     if override is not None:
         rows = pt.replace(rows, override, "SP_ID", {"STRATEGY": "STRATEGY", "QUADRANT": "QUADRANT", "EFFORT_EST_MD": "EFFORT_MD"})
-    return rows.select("SP_ID", "D_SCORE", "C_SCORE", "QUADRANT", "STRATEGY", "WAVE_NO", "CLUSTER_ID", "EFFORT_EST_MD", "EFFORT_P50", "EFFORT_P90", "CONFIDENCE", "IS_BOUNDARY", "PROMOTED").orderBy("SP_ID")
+    return rows.select("SP_ID", "D_SCORE", "C_SCORE", "QUADRANT", "STRATEGY", "WAVE_NO", "CLUSTER_ID", "EFFORT_EST_MD", "EFFORT_P50", "EFFORT_P90", "CONFIDENCE", "IS_BOUNDARY", "PROMOTED")
 
 
 def score_review(rows: DataFrame, metrics: DataFrame) -> DataFrame:
@@ -99,6 +124,19 @@ def roadmap(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("WAVE_NO", "CLUSTER_ID", "SP_COUNT", "SP_IDS", before.alias("PRECONDITION"), "DBLINK_CUTPOINT_COUNT").orderBy("WAVE_NO", "CLUSTER_ID")
 
 
+def overridden(overrides: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
+    """SP_ID of every unit that an override names, once."""
+    parts = [df.select(F.col(c).cast("string").alias("SP_ID")) for k, df in overrides.items() if k != "pilot_effort" for c in ("SP_ID", "SRC_SP_ID", "SRC", "DST") if c in df.columns]
+    parts.append(spark.createDataFrame([], "SP_ID string"))
+    return reduce(DataFrame.unionByName, parts).where("SP_ID is not null").distinct()
+
+
+def marked(rows: DataFrame, ids: DataFrame, column: str = "SP_ID") -> DataFrame:
+    """rows with an asterisk after the ids of overridden units."""
+    hit = rows.join(ids.select(F.col("SP_ID").alias(column), F.lit("*").alias("__mark")), column, "left")
+    return hit.withColumn(column, F.concat(column, F.coalesce("__mark", F.lit("")))).select(*rows.columns)
+
+
 def wide_inventory(inventory: DataFrame, metrics: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     return rel.wide_join(inventory, [(metrics, "_S2"), (nodes.withColumnRenamed("NODE_ID", "SP_ID"), "_S3"), (rows, "_S4")], "SP_ID")
 

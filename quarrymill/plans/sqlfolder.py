@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,7 +126,7 @@ def scores(objs: DataFrame, m: DataFrame, refs: DataFrame, config: Scorer | None
     config = config or Scorer()
     dep = refs.groupBy(F.col("src").alias("key")).agg(F.sum(F.col("count") * _weights("rtype", config.references, 1.0)).alias("dep"), F.sum(F.when(F.col("rtype") == "GRANT", F.col("count")).otherwise(0)).alias("grants"))
     calls = refs.where(F.col("rtype").isin("CALL", "PACKAGE") & F.col("resolved")).groupBy(F.col("target_key").alias("key")).agg(F.count_if(F.col("rtype") == "CALL").alias("call_in"), F.count_if(F.col("rtype") == "PACKAGE").alias("package_in"), F.array_sort(F.collect_set("src")).alias("callers"))
-    rows = objs.where("is_program").select("key", "display", "name", "path", "start").join(m, "key")
+    rows = objs.where("is_program").select("key", "display", "name", "owner", "otype", "path", "start", (F.col("start") + F.size("lines") - 1).alias("stop")).join(m, "key")
     rows = rel.lookup_default(rows, dep, ["key"], {"dep": 0.0, "grants": 0}).join(calls, "key", "left")
     cx = sum((F.col(k) * float(v) for k, v in config.complexity.items()), F.lit(0.0))
     a, b, c = config.composite
@@ -137,7 +138,7 @@ def scores(objs: DataFrame, m: DataFrame, refs: DataFrame, config: Scorer | None
     w = config.final_weights
     final = F.sqrt(F.col("cn") * F.col("im")) if config.final_mode == "geometric" else (w[0] * F.col("cn") + w[1] * F.col("im")) / ((w[0] + w[1]) or 1.0)
     return rows.join(normal, "key").select(
-        "key", "display", "name", "path", "start", "loc", F.round("v", 2).alias("volume"), F.round("x", 2).alias("complexity"), F.round("y", 2).alias("dependency"), "absolute", "band", "impact",
+        "key", "display", "name", "owner", "otype", "path", "start", "stop", "loc", "cyclomatic", F.round("v", 2).alias("volume"), F.round("x", 2).alias("complexity"), F.round("y", 2).alias("dependency"), "absolute", "band", "impact",
         F.coalesce("callers", F.array().cast("array<string>")).alias("callers"), F.round("cn", 1).alias("conv_norm"), F.round("im", 1).alias("imp_norm"), F.round(final, 1).alias("final"),
     )
 
@@ -180,9 +181,56 @@ def effort_summary(estimates: DataFrame, config: Scorer | None = None) -> DataFr
     return r.select(total("a").alias("total_p50"), total("b").alias("total_p90"), F.col("n").alias("n_samples"), level.alias("confidence"))
 
 
-def report(spark: SparkSession, rows: DataFrame, refs: DataFrame, path: str) -> None:
-    """Markdown for people: the ranked objects, references and hubs."""
-    ranked = rows.orderBy(F.col("final").desc(), "path", "start").select("display", "loc", "absolute", "band", "impact", "final")
+def object_table(rows: DataFrame, estimates: DataFrame | None = None) -> DataFrame:
+    """objects.csv: twenty columns for each program; effort is empty without estimates."""
+    none = F.lit(None).cast("double")
+    e = rows.select("key", none.alias("p50"), none.alias("p90"), F.lit("").alias("basis")) if estimates is None else estimates.select("key", "p50", "p90", "basis")
+    return rows.join(e, "key", "left").select(
+        F.col("key").alias("KEY"), F.coalesce("owner", F.lit("")).alias("OWNER"), F.col("name").alias("NAME"), F.col("otype").alias("TYPE"), F.col("path").alias("FILE"), (F.col("start") + 1).alias("START_LINE"),
+        (F.col("stop") + 1).alias("END_LINE"), F.col("loc").alias("LOC"), F.col("cyclomatic").alias("CYCLOMATIC"), F.col("volume").alias("VOLUME"), F.col("complexity").alias("COMPLEXITY"),
+        F.col("dependency").alias("DEPENDENCY"), F.col("absolute").alias("ABSOLUTE"), F.col("band").alias("BAND"), F.col("impact").alias("IMPACT"), F.size("callers").alias("FAN_IN"),
+        F.col("final").alias("FINAL_SCORE"), F.col("p50").alias("EFFORT_P50"), F.col("p90").alias("EFFORT_P90"), F.col("basis").alias("EFFORT_BASIS"),
+    )
+
+
+def reference_table(refs: DataFrame) -> DataFrame:
+    """references.csv: seven columns."""
+    return refs.select(
+        F.col("src").alias("SRC_KEY"), F.col("rtype").alias("REF_TYPE"), F.col("target").alias("TARGET"), F.when(F.col("resolved"), "Y").otherwise("N").alias("RESOLVED"),
+        F.coalesce("target_key", F.lit("")).alias("TARGET_KEY"), F.col("count").alias("COUNT"), F.coalesce("detail", F.lit("")).alias("DETAIL"),
+    )
+
+
+def referenced(refs: DataFrame) -> DataFrame:
+    """(src, rtype, targets): the targets of each kind in order, with a mark where they are resolved
+    and the number of uses where it is above 1."""
+    shown = F.concat("target", F.when(F.col("resolved"), "✓").otherwise(""), F.when(F.col("count") > 1, F.concat(F.lit("×"), F.col("count").cast("string"))).otherwise(""))
+    held = F.array_sort(F.collect_list(F.struct("target", shown.alias("shown"))))
+    return refs.groupBy("src", "rtype").agg(F.array_join(F.transform(held, lambda x: x["shown"]), ", ").alias("targets"))
+
+
+def report(spark: SparkSession, rows: DataFrame, refs: DataFrame, path: str, estimates: DataFrame | None = None, config: Scorer | None = None) -> None:
+    """Markdown for people: bands, the ranked objects, hubs, links between objects and the
+    references of each, what each score is made of, what the scan covers, and effort if there are
+    estimates.  Written piece by piece."""
+    ranked = rows.orderBy(F.col("final").desc(), "path", "start")
     hubs = rows.where("impact > 0").orderBy(F.col("impact").desc(), F.col("final").desc()).limit(3).select("display", "impact")
-    text = "# SQL folder\n\n## Objects\n\n" + files.markdown_table(ranked) + "\n## Hubs\n\n" + files.markdown_table(hubs) + "\n## References\n\n" + files.markdown_table(refs.select("src", "rtype", "target", "count").orderBy("src", "rtype", "target"))
-    files.write_text(spark, path, text)
+    inside = refs.where("resolved and target_key is not null and rtype in ('CALL', 'PACKAGE')").select("src", "rtype", "target_key").distinct().orderBy("src", "target_key")
+    whole = ranked.select("display", "loc", "volume", "complexity", "dependency", "absolute", "conv_norm", "impact", "imp_norm", "final", F.array_join("callers", ", ").alias("callers"))
+    covered = refs.groupBy("rtype").agg(F.count(F.lit(1)).alias("references"), F.sum("count").alias("uses"), F.count_if("resolved").alias("resolved")).orderBy("rtype")
+    parts = [
+        ("1. Summary", rows.groupBy("band").agg(F.count(F.lit(1)).alias("objects"), F.sum("loc").alias("loc"), F.round(F.avg("final"), 1).alias("mean final")).orderBy("band")),
+        ("2. Objects", ranked.select("display", "otype", "loc", "cyclomatic", "absolute", "band", "impact", "final")), ("3. Hubs", hubs), ("4.1 Links between objects", inside),
+        ("4.2 References (✓: resolved in the scan)", referenced(refs).orderBy("src", "rtype")), ("5. What the scores are made of", whole), ("6. Coverage", covered),
+    ]
+    if estimates is not None:
+        known = estimates.drop("band").join(rows.select("key", "display", "band", "final", "path", "start"), "key").orderBy(F.col("final").desc(), "path", "start").select("display", "band", "final", "p50", "p90", "basis")
+        parts += [("7. Effort", known), ("Total effort", effort_summary(estimates, config))]
+
+    def pieces() -> Iterator[str]:
+        yield "# SQL folder\n"
+        for title, df in parts:
+            yield f"\n## {title}\n\n"
+            yield from files.markdown_pieces(df)
+
+    files.write_text(spark, path, pieces())

@@ -7,17 +7,25 @@ from __future__ import annotations
 import csv
 import io
 import subprocess
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrymill.schemas import REMOTE, Contract
+from quarrymill.schemas import Contract
+
+
+def _glob(spark: SparkSession, path: str):
+    """The path's file system, and the path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
     """Whether the glob names a file that isn't empty."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    fs, p = _glob(spark, path)
+    found = fs.globStatus(p)
     return bool(found) and any(s.isDirectory() or s.getLen() > 0 for s in found)
 
 
@@ -61,11 +69,33 @@ def remote_objects(spark: SparkSession, folder: str) -> DataFrame:
     glob = f"{folder}/in_remote_objects__*.csv"
     if not _exists(spark, glob):
         return spark.createDataFrame([], "DB_LINK string, OWNER string, OBJECT_NAME string, OBJECT_TYPE string")
-    raw = spark.read.schema(REMOTE.schema).csv(glob, header=True, escape='"', enforceSchema=True).withColumn("file", F.col("_metadata.file_path"))
+    # Files are read by their own headers: those with the same columns in the same order together.
+    fs, at = _glob(spark, glob)
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for s in fs.globStatus(at) or ():
+        path = s.getPath().toString()
+        by_header.setdefault(tuple(headers(spark, path)), []).append(path)
+    parts = []
+    for names, paths in by_header.items():
+        own = {c.lstrip("\ufeff").strip(): c for c in names}
+        if "OWNER" in own and "OBJECT_NAME" in own:
+            raw = spark.read.csv(paths, header=True, escape='"')
+            picked = [(F.col(f"`{own[c]}`") if c in own else F.lit(None).cast("string")).alias(c) for c in ("OWNER", "OBJECT_NAME", "OBJECT_TYPE")]
+            parts.append(raw.select(*picked, F.col("_metadata.file_path").alias("file")))
+    if not parts:
+        return spark.createDataFrame([], "DB_LINK string, OWNER string, OBJECT_NAME string, OBJECT_TYPE string")
+    raw = reduce(DataFrame.unionByName, parts)
     rows = raw.withColumn("DB_LINK", F.regexp_extract("file", r"in_remote_objects__(.+)\.csv$", 1)).where("OWNER is not null and OBJECT_NAME is not null")
     return rows.groupBy("DB_LINK", "OWNER", "OBJECT_NAME").agg(F.max_by("OBJECT_TYPE", "file").alias("OBJECT_TYPE"))
 
 
+def listing(spark: SparkSession, path: str) -> DataFrame:
+    """(path) of each file of a folder and the folders in it; no file is read."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "path string")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+
+
 def whole_texts(spark: SparkSession, path: str, recursive: bool = True, pattern: str = "*") -> DataFrame:
     """(path, text) of each file, bytes that aren't UTF-8 replaced."""
     if not _exists(spark, path):
@@ -99,27 +129,41 @@ def git_history(root: str, folder: str = "override") -> list[str]:
 # Sinks.  Reports are small: their rows are bounded by what a person reads.
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One file through Spark's file systems."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
+def write_text(spark: SparkSession, path: str, text: str | Iterable[str]) -> None:
+    """One file through Spark's file systems, piece by piece."""
+    fs, p = _glob(spark, path)
+    out = fs.create(p, True)
     try:
-        out.write(bytearray(text.encode("utf-8")))
+        for piece in [text] if isinstance(text, str) else text:
+            out.write(bytearray(piece.encode("utf-8")))
     finally:
         out.close()
 
 
+#: Rows up to which a table for people is one file.
+SINGLE = 1_000_000
+
+
 def write_csv(df: DataFrame, path: str, single: bool = False) -> None:
-    """A folder of part files, or for people one file with header, minimal quotes and \\n."""
-    if not single:
+    """A folder of part files, or for people one file with header and minimal quotes, rows in the
+    order of their first column; beyond SINGLE rows it is a folder in any case."""
+    if not single or df.count() > SINGLE:
         df.write.mode("overwrite").csv(path, header=True, emptyValue="", escape='"')
         return
-    out = io.StringIO()
-    w = csv.writer(out, lineterminator="\n")
-    w.writerow(df.columns)
-    for row in df.toLocalIterator():
-        w.writerow(["" if v is None else v for v in row])
-    write_text(df.sparkSession, path, out.getvalue())
+
+    def pieces() -> Iterator[str]:
+        out = io.StringIO()
+        w = csv.writer(out, lineterminator="\n")
+        w.writerow(df.columns)
+        for row in df.orderBy(df.columns[0]).toLocalIterator():
+            w.writerow(["" if v is None else v for v in row])
+            if out.tell() > 1 << 20:
+                yield out.getvalue()
+                out.seek(0)
+                out.truncate()
+        yield out.getvalue()
+
+    write_text(df.sparkSession, path, pieces())
 
 
 def snapshot(df: DataFrame, path: str, tag: str) -> None:
@@ -141,9 +185,15 @@ def mermaid(edges: DataFrame) -> str:
     return "\n".join(["graph LR", *(f"  {r.a} -->|{r.EDGE_TYPE}| {r.b}" for r in rows)]) + "\n"
 
 
+def markdown_pieces(df: DataFrame) -> Iterator[str]:
+    """A Markdown table, line by line."""
+    yield f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
+    for r in df.toLocalIterator():
+        yield f"| {' | '.join('' if v is None else str(v).replace('|', '/') for v in r)} |\n"
+
+
 def markdown_table(df: DataFrame) -> str:
-    head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
-    return head + "".join(f"| {' | '.join('' if v is None else str(v).replace('|', '/') for v in r)} |\n" for r in df.toLocalIterator())
+    return "".join(markdown_pieces(df))
 
 
 def scatter_svg(points: DataFrame, x: str, y: str, size: int = 400) -> str:

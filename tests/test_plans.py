@@ -221,7 +221,7 @@ def test_folder_scorer(spark, tmp_path):
     assert (got["PRC_SET"].p50, got["PRC_SET"].basis) == (20.0, "measured") and got["APP.PKG_O:PACKAGE_BODY"].p90 >= got["APP.PKG_O:PACKAGE_BODY"].p50 > 0
     assert sqlfolder.effort_summary(e).first().confidence == "LOW"
     sqlfolder.report(spark, s, refs, f"{tmp_path}/r.md")
-    assert "## Hubs" in (tmp_path / "r.md").read_text()
+    assert "## 3. Hubs" in (tmp_path / "r.md").read_text()
 
 
 def test_text_functions(spark):
