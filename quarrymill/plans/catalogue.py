@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrymill.config import Pipeline, Scorer
 from quarrymill.functions import text as tx
 from quarrymill.operators import graph as gr
 from quarrymill.operators import patch as pt
 from quarrymill.operators import rank as rk
 from quarrymill.operators import relational as rel
 from quarrymill.operators import stats as st
+from quarrymill.plans import scoring, sqlfolder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -148,8 +150,8 @@ SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice <
 """)
 def band_ladder(t):
     """First band whose upper bound is above the score (OP-PRJ-09)."""
-    band = F.when(F.col("o_totalprice") < 50000, "low").when(F.col("o_totalprice") < 150000, "mid").when(F.col("o_totalprice") < 250000, "high").otherwise("very high")
-    return t("orders").select("o_orderkey", band.alias("band"))
+    config = Scorer(bands=((50000.0, "low"), (150000.0, "mid"), (250000.0, "high"), (float("inf"), "very high")))
+    return t("orders").select("o_orderkey", sqlfolder.band(F.col("o_totalprice"), config).alias("band"))
 
 
 # Joins
@@ -341,10 +343,15 @@ def roadmap_rollup(t):
     return c.agg(F.count(F.lit(1)).alias("sp_count"), rel.joined_list("c_custkey").alias("sp_ids"), F.count_if(F.col("c_acctbal") < 0).alias("cut_points")).orderBy("c_nationkey", "c_mktsegment")
 
 
-@query("SELECT round(sum(o_totalprice), 2) AS p50, round(sum(o_totalprice * 1.5), 2) AS p90, bool_and(o_orderstatus = 'F') AS all_low FROM orders")
+@query("""
+SELECT round(sum(o_totalprice) + 7, 1) AS total_p50, round(sum(o_totalprice * 1.5) + 7, 1) AS total_p90, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_samples,
+  CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F') >= 8 AND count(DISTINCT o_orderpriority) FILTER (WHERE o_orderstatus = 'F') >= 3 THEN 'HIGH' WHEN count(*) FILTER (WHERE o_orderstatus = 'F') >= 3 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM orders
+""")
 def effort_totals(t):
-    """Totals and a universal test (OP-AG-11, OP-AG-25)."""
-    return t("orders").agg(F.round(F.sum("o_totalprice"), 2).alias("p50"), F.round(F.sum(F.col("o_totalprice") * 1.5), 2).alias("p90"), F.every(F.col("o_orderstatus") == "F").alias("all_low"))
+    """Totals and confidence of estimates (OP-AG-11, OP-AG-25)."""
+    p = F.col("o_totalprice")
+    e = t("orders").select(p.alias("p50"), (p * 1.5).alias("p90"), F.when(F.col("o_orderstatus") == "F", p).alias("measured"), F.col("o_orderpriority").alias("band"))
+    return sqlfolder.effort_summary(e, Scorer(fixed_hours=7.0))
 
 
 @query("SELECT user_id FROM events GROUP BY 1 HAVING bool_or(event_type = 'signup') AND bool_or(event_type = 'purchase')")
@@ -440,23 +447,23 @@ def minmax_norm(t):
 
 
 @query(f"""
-WITH s AS ({_SUPPLIER}), p AS (SELECT l_suppkey, n, q, percent_rank() OVER (ORDER BY n) * 100 AS d, percent_rank() OVER (ORDER BY q) * 100 AS c FROM s)
-SELECT l_suppkey, CASE WHEN d >= 60 AND c >= 60 THEN 'Q4' WHEN d >= 60 THEN 'Q3' WHEN c >= 60 THEN 'Q2' ELSE 'Q1' END AS quadrant,
-  CASE WHEN d >= 60 AND c >= 60 THEN 'DEFER' WHEN n <= 100 AND c < 20 THEN 'AUTO_SIMPLE' WHEN c < 50 THEN 'AUTO_ASSISTED' WHEN d > 55 THEN 'SEMI' ELSE 'MANUAL' END AS strategy,
-  CASE WHEN abs(d - 60) <= 5 OR abs(c - 60) <= 5 THEN 'Y' ELSE 'N' END AS boundary,
-  round(CASE WHEN d >= 60 AND c >= 60 THEN 8.0 WHEN n <= 100 AND c < 20 THEN 0.5 WHEN c < 50 THEN 1.5 WHEN d > 55 THEN 3.0 ELSE 5.0 END * (1 + c / 100), 4) AS effort FROM p
+WITH s AS ({_SUPPLIER}), p AS (SELECT l_suppkey, n, q, round(percent_rank() OVER (ORDER BY n) * 100, 2) AS d, round(percent_rank() OVER (ORDER BY q) * 100, 2) AS c FROM s),
+x AS (SELECT *, CASE WHEN n % 11 = 0 OR q % 3 >= 2 OR n % 17 = 0 OR d >= 60 AND c >= 60 THEN 'DEFER' WHEN n % 260 <= 50 AND q % 13 <= 3 AND n % 4 = 0 AND q % 5 + (q % 7 = 0)::INT = 0 AND q % 3 = 0 THEN 'AUTO_SIMPLE'
+  WHEN n % 260 <= 200 AND q % 13 <= 10 AND n % 4 <= 2 AND q % 5 <= 3 AND q % 7 <> 0 AND q % 3 = 0 THEN 'AUTO_ASSISTED' WHEN n % 4 > 0 THEN 'SEMI' ELSE 'MANUAL' END AS strategy FROM p)
+SELECT l_suppkey, CASE WHEN d >= 60 AND c >= 60 THEN 'Q4' WHEN d >= 60 THEN 'Q3' WHEN c >= 60 THEN 'Q2' ELSE 'Q1' END AS quadrant, strategy, abs(d - 60) <= 5 OR abs(c - 60) <= 5 AS boundary,
+  round_even((CASE strategy WHEN 'DEFER' THEN 8.0 WHEN 'AUTO_SIMPLE' THEN 0.5 WHEN 'AUTO_ASSISTED' THEN 1.5 WHEN 'SEMI' THEN 3.0 ELSE 5.0 END)::DOUBLE * (1 + c / 100) * 100, 0) / 100 AS effort FROM x
 """)
 def quadrant_strategy(t):
     """Quadrants, the classifier's chain, boundaries and base effort (OP-PRJ-05 to OP-PRJ-08)."""
     s = _supplier(t)
     ranks = rk.strict_ranks(rk.long_form(s, "l_suppkey", ["n", "q"]), "l_suppkey")
-    p = ranks.groupBy("l_suppkey").agg(F.max(F.when(F.col("metric") == "n", F.col("score"))).alias("d"), F.max(F.when(F.col("metric") == "q", F.col("score"))).alias("c")).join(s, "l_suppkey")
-    d, c = F.col("d"), F.col("c")
-    quadrant = F.when((d >= 60) & (c >= 60), "Q4").when(d >= 60, "Q3").when(c >= 60, "Q2").otherwise("Q1")
-    strategy = F.when((d >= 60) & (c >= 60), "DEFER").when((F.col("n") <= 100) & (c < 20), "AUTO_SIMPLE").when(c < 50, "AUTO_ASSISTED").when(d > 55, "SEMI").otherwise("MANUAL")
-    p = p.select("l_suppkey", quadrant.alias("quadrant"), strategy.alias("strategy"), tx.flag((F.abs(d - 60) <= 5) | (F.abs(c - 60) <= 5)).alias("boundary"), "c")
-    base = F.create_map(*(F.lit(x) for kv in {"DEFER": 8.0, "AUTO_SIMPLE": 0.5, "AUTO_ASSISTED": 1.5, "SEMI": 3.0, "MANUAL": 5.0}.items() for x in kv))
-    return p.select("l_suppkey", "quadrant", "strategy", "boundary", F.round(base[F.col("strategy")] * (1 + F.col("c") / 100), 4).alias("effort"))
+    rank = lambda m: F.round(F.max(F.when(F.col("metric") == m, F.col("score"))), 2)
+    rows = ranks.groupBy("l_suppkey").agg(rank("n").alias("D_SCORE"), rank("q").alias("C_SCORE")).join(s, "l_suppkey")
+    rows = rows.selectExpr(
+        "l_suppkey", "D_SCORE", "C_SCORE", "n % 260 as LOC", "q % 13 as BRANCH", "n % 4 as CURSOR", "q % 5 as DYNAMIC_SQL_LITERAL", "int(q % 7 = 0) as DYNAMIC_SQL_VARIABLE", "int(n % 11 = 0) as AUTONOMOUS_TX",
+        "q % 3 as SRC_DB_LINK", "int(n % 17 = 0) as MUTATING_TRIGGER_RISK",
+    )
+    return scoring.classified(rows, Pipeline()).select("l_suppkey", F.col("QUADRANT").alias("quadrant"), F.col("STRATEGY").alias("strategy"), F.col("IS_BOUNDARY").alias("boundary"), F.col("EFFORT_EST_MD").alias("effort"))
 
 
 @query("""
@@ -470,17 +477,25 @@ def group_argmax_promote(t):
     return rel.promote(c, "c_nationkey", "c_mktsegment", ["AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD"]).select("c_custkey", "c_mktsegment", "promoted")
 
 
-@query()
+@query("""
+WITH m AS (SELECT page_id, regexp_extract_all(html, '<div[^>]*>|<ul>|<nav>|</div>|</ul>|</nav>|<li>', 0, 'i') AS a FROM pages),
+k AS (SELECT page_id, unnest(a) AS x, unnest(range(1, len(a) + 1)) AS i FROM m),
+s AS (SELECT *, sum(CASE WHEN lower(x) = '<li>' THEN 0 WHEN x LIKE '</%' THEN -1 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS d FROM k),
+z AS (SELECT *, d - least(0, min(d) OVER (PARTITION BY page_id ORDER BY i)) AS depth FROM s)
+SELECT page_id, coalesce(max(depth) FILTER (WHERE lower(x) = '<li>'), 0)::BIGINT AS max_depth, count(*) FILTER (WHERE lower(x) = '<li>') AS items FROM pages LEFT JOIN z USING (page_id) GROUP BY page_id
+""")
 def nesting_depth(t):
     """Depth of lists at their items, never below 0 (OP-WN-09)."""
     return t("pages").select("page_id", tx.nesting("html", "<div[^>]*>|<ul>|<nav>", "</div>|</ul>|</nav>", "<li>").alias("s")).select("page_id", F.col("s.most").cast("long").alias("max_depth"), F.col("s.marks").cast("long").alias("items"))
 
 
-@query("SELECT doc_id, 1 + length(substr(text, 1, 200)) - length(replace(substr(text, 1, 200), chr(10), '')) AS line, substr(text, 1, 200) AS snippet FROM documents")
+@query("""
+SELECT doc_id, 1 + length(substr(text, 1, p)) - length(replace(substr(text, 1, p), chr(10), '')) AS line, substr(text, greatest(p, 1), 200) AS snippet FROM (SELECT doc_id, text, instr(text, 'token = ') AS p FROM documents)
+""")
 def position_to_line(t):
-    """A position's line number and a snippet (OP-WN-10, OP-SO-06)."""
-    head = F.substring("text", 1, 200)
-    return t("documents").select("doc_id", F.size(F.split(head, "\n")).cast("long").alias("line"), head.alias("snippet"))
+    """A position's line number, over the whole text before it, and a snippet there (OP-WN-10, OP-SO-06)."""
+    d = t("documents").withColumn("p", F.instr("text", "token = "))
+    return d.select("doc_id", F.size(F.split(F.expr("substring(text, 1, p)"), "\n")).cast("long").alias("line"), F.expr("substring(text, greatest(p, 1), 200)").alias("snippet"))
 
 
 @query(f"SELECT l_suppkey, n, q FROM ({_SUPPLIER}) ORDER BY q DESC, l_suppkey LIMIT 10")
@@ -535,13 +550,13 @@ def patch_apply(t):
 
 
 @query("""
-WITH e AS (SELECT DISTINCT 'n' || c_nationkey AS "SRC", 'n' || s_nationkey AS "DST" FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50)
+WITH c AS (SELECT c_nationkey AS a, s_nationkey AS b, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2), e AS (SELECT 'n' || a AS "SRC", 'n' || b AS "DST" FROM c WHERE q > (SELECT avg(q) FROM c))
 SELECT "SRC", "DST", 'CALL' AS "EDGE_TYPE", CASE WHEN "SRC" = 'n1' AND "DST" = 'n2' THEN 'LOW' ELSE 'MEDIUM' END AS "EDGE_CONFIDENCE" FROM e WHERE NOT ("SRC" = 'n3' AND "DST" = 'n4')
 UNION ALL SELECT 'x', 'y', 'OVERRIDE', 'HIGH'
 """)
 def edge_overrides(t):
     """Edges added, removed, confirmed and downgraded (OP-OV-04)."""
-    e = _trade(t).where("l_quantity = 50").select(F.concat(F.lit("n"), "c_nationkey").alias("SRC"), F.concat(F.lit("n"), "s_nationkey").alias("DST")).distinct()
+    e = _trade(t).select(F.concat(F.lit("n"), "a").alias("SRC"), F.concat(F.lit("n"), "b").alias("DST"))
     e = e.withColumn("EDGE_TYPE", F.lit("CALL")).withColumn("EDGE_CONFIDENCE", F.lit("MEDIUM"))
     p = e.sparkSession.createDataFrame([("x", "y", "ADD", 0), ("n3", "n4", "REMOVE", 1), ("n1", "n2", "CONFIRM", 2), ("n1", "n2", "DOWNGRADE", 3)], "SRC string, DST string, ACTION string, _ord int")
     return pt.edge_patch(e, p, {"EDGE_TYPE": F.lit("OVERRIDE"), "EDGE_CONFIDENCE": F.lit("HIGH")})
@@ -551,18 +566,20 @@ def edge_overrides(t):
 
 
 def _trade(t):
+    """Edges (a, b) between nations of more than the mean quantity, over all lineitems."""
     j = t("lineitem").select("l_orderkey", "l_suppkey", "l_quantity").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return j.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    j = j.join(t("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    c = j.groupBy(F.col("c_nationkey").alias("a"), F.col("s_nationkey").alias("b")).agg(F.sum("l_quantity").alias("q"))
+    return c.join(F.broadcast(c.agg(F.avg("q").alias("mean")))).where("q > mean").select("a", "b")  # one row
 
 
 @query("""
-WITH e AS (SELECT DISTINCT c_nationkey AS a, s_nationkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 50)
+WITH c AS (SELECT c_nationkey AS a, s_nationkey AS b, sum(l_quantity) AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2), e AS (SELECT a, b FROM c WHERE q > (SELECT avg(q) FROM c))
 SELECT n_nationkey AS node, (SELECT count(*) FROM e WHERE b = n_nationkey) AS fan_in, (SELECT count(*) FROM e WHERE a = n_nationkey) AS fan_out FROM nation
 """)
 def degree_in_out(t):
     """Degrees over distinct edges (OP-GR-04, OP-GR-10)."""
-    e = _trade(t).where("l_quantity = 50").select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst"))
-    return gr.degrees(t("nation").select(F.col("n_nationkey").alias("node")), e)
+    return gr.degrees(t("nation").select(F.col("n_nationkey").alias("node")), _trade(t).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
 
 _GRAPH = """
@@ -607,23 +624,6 @@ def communities(t):
 # Scores and models
 
 
-@query(f"""
-WITH s AS ({_SUPPLIER}), a AS (SELECT l_suppkey, round(q / 10.0 + 2 * n, 4) AS absolute, n AS impact FROM s),
-z AS (SELECT *, percent_rank() OVER (ORDER BY absolute) * 100 AS an, percent_rank() OVER (ORDER BY impact) * 100 AS im FROM a)
-SELECT l_suppkey, absolute, round(0.7 * an + 0.3 * im, 4) AS final, round(sqrt(greatest(an, 0) * greatest(im, 0)), 4) AS geometric,
-  round(greatest(absolute * (1 + 0.3 * im / 100), absolute), 4) AS buffered FROM z
-""")
-def impact_final(t):
-    """Absolute, impact, final score and the impact buffer (OP-ST-06, OP-ST-07, OP-ST-08, OP-MA-01, OP-PRJ-10)."""
-    a = _supplier(t).select("l_suppkey", F.round(F.col("q") / 10.0 + 2 * F.col("n"), 4).alias("absolute"), F.col("n").alias("impact"))
-    r = rk.strict_ranks(rk.long_form(a, "l_suppkey", ["absolute", "impact"]), "l_suppkey")
-    z = r.groupBy("l_suppkey").agg(F.max(F.when(F.col("metric") == "absolute", F.col("score"))).alias("an"), F.max(F.when(F.col("metric") == "impact", F.col("score"))).alias("im")).join(a, "l_suppkey")
-    return z.select(
-        "l_suppkey", "absolute", F.round(0.7 * F.col("an") + 0.3 * F.col("im"), 4).alias("final"), F.round(F.sqrt(F.greatest("an", F.lit(0.0)) * F.greatest("im", F.lit(0.0))), 4).alias("geometric"),
-        F.round(F.greatest(F.col("absolute") * (1 + 0.3 * F.col("im") / 100), F.col("absolute")), 4).alias("buffered"),
-    )
-
-
 @query("""
 SELECT round((l_quantity - avg(l_quantity) OVER ()) / stddev_pop(l_quantity) OVER (), 6) AS z, l_orderkey, l_linenumber FROM lineitem
 """)
@@ -655,46 +655,15 @@ def bootstrap_p90(t):
     return st.bootstrap(rows, rows, "l_suppkey", "y", ["f1", "f2", "f3"])
 
 
-@query("SELECT n, CASE WHEN n <= 1 THEN 6.314 WHEN n <= 2 THEN 2.92 WHEN n <= 5 THEN 2.015 WHEN n <= 10 THEN 1.812 WHEN n <= 30 THEN 1.697 ELSE 1.645 END::DOUBLE AS t90 FROM (SELECT c_nationkey, count(*) - 2 AS n FROM customer GROUP BY 1)")
-def t_quantile_steps(t):
-    """Step table of the t quantile (OP-MA-02)."""
-    n = F.col("n")
-    steps = F.when(n <= 1, 6.314).when(n <= 2, 2.92).when(n <= 5, 2.015).when(n <= 10, 1.812).when(n <= 30, 1.697).otherwise(1.645)
-    return t("customer").groupBy("c_nationkey").agg((F.count(F.lit(1)) - 2).alias("n")).select("n", steps.alias("t90"))
-
-
-# Quality rules
-
-
 @query("""
-SELECT 'ORPHAN' AS code, 'ERROR' AS level, count(*) AS n FROM (SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 5))
-UNION ALL SELECT 'LARGE_FIELD', 'ERROR', count(*) FROM documents WHERE length(text) > 500
-UNION ALL SELECT 'REASON_BLANK', 'ERROR', count(*) FROM customer WHERE trim(coalesce(c_mktsegment, '')) = ''
-UNION ALL SELECT 'INVALID_STATUS', 'WARN', count(*) FROM orders WHERE o_orderstatus = 'P'
-UNION ALL SELECT 'NAME_COLLISION', 'WARN', count(*) FROM (SELECT p_type FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1)
-UNION ALL SELECT 'PII_LIKE', 'INFO', count(*) FROM (SELECT DISTINCT c_name FROM customer WHERE contains(upper(c_name), '00001') OR contains(upper(c_name), '99'))
+WITH r AS (SELECT l_suppkey, count(*) % 40 AS n, avg(l_quantity) AS m, regr_sxx(l_extendedprice, l_quantity) AS sxx, sqrt(greatest(regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity), 0) / (count(*) - 2)) AS s FROM lineitem GROUP BY 1 HAVING count(*) > 2),
+q AS (SELECT *, n - 2 AS df FROM r),
+x AS (SELECT *, CASE WHEN df < 1 THEN 1.282 WHEN df = 1 THEN 3.078 WHEN df = 2 THEN 1.886 WHEN df = 3 THEN 1.638 WHEN df = 4 THEN 1.533 WHEN df = 5 THEN 1.476 WHEN df = 6 THEN 1.440 WHEN df = 7 THEN 1.415 WHEN df = 8 THEN 1.397
+  WHEN df = 9 THEN 1.383 WHEN df = 10 THEN 1.372 WHEN df <= 12 THEN 1.356 WHEN df <= 15 THEN 1.341 WHEN df <= 20 THEN 1.325 WHEN df <= 30 THEN 1.310 ELSE 1.282 END::DOUBLE AS t90 FROM q)
+SELECT l_suppkey, t90, CASE WHEN n > 2 AND sxx > 0 AND s > 0 THEN round(t90 * s * sqrt(1 + 1.0::DOUBLE / n + (25 - m) * (25 - m) / sxx), 2) END AS half FROM x
 """)
-def quality_findings(t):
-    """Validation rules as findings (section 2.12, OP-FLT-11, OP-FLT-12)."""
-    found = lambda df, code, level: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(code).alias("code"), F.lit(level).alias("level"), "n")
-    orphan = rel.anti(t("lineitem").select(F.col("l_partkey").alias("p_partkey")).distinct(), t("part").where("p_size > 5"), ["p_partkey"])
-    pii = t("customer").select("c_name").distinct().where(F.upper("c_name").contains("00001") | F.upper("c_name").contains("99"))
-    out = [
-        (orphan, "ORPHAN", "ERROR"), (t("documents").where(F.length("text") > 500), "LARGE_FIELD", "ERROR"), (t("customer").where(tx.clean_str("c_mktsegment") == ""), "REASON_BLANK", "ERROR"),
-        (t("orders").where("o_orderstatus = 'P'"), "INVALID_STATUS", "WARN"), (rel.collisions(t("part"), ["p_type"], "p_brand"), "NAME_COLLISION", "WARN"), (pii, "PII_LIKE", "INFO"),
-    ]
-    parts = [found(*x) for x in out]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    return union
-
-
-@query("""
-SELECT 'SP-1' AS spike, round(count(*) FILTER (WHERE o_orderstatus <> 'P') / count(*), 6) AS rate, CASE WHEN count(*) = 0 THEN 'N/A' WHEN count(*) FILTER (WHERE o_orderstatus <> 'P') / count(*) >= 0.6 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM orders
-""")
-def spike_rates(t):
-    """Success rates against thresholds, N/A without rows (SP-1 to SP-3, OP-AG-18)."""
-    rate = F.try_divide(F.count_if(F.col("o_orderstatus") != "P"), F.count(F.lit(1)))
-    r = t("orders").agg(rate.alias("r"))
-    return r.select(F.lit("SP-1").alias("spike"), F.round("r", 6).alias("rate"), F.when(F.col("r").isNull(), "N/A").when(F.col("r") >= 0.6, "PASS").otherwise("FAIL").alias("verdict"))
+def t_quantile_steps(t):
+    """Step table of the t quantile and the half-width of a prediction (OP-MA-02)."""
+    r = t("lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("rows"), F.avg("l_quantity").alias("m"), F.regr_sxx("l_extendedprice", "l_quantity").alias("sxx"), *st.ols("l_extendedprice", "l_quantity")).where("rows > 2")
+    r = r.withColumn("n", F.col("rows") % 40)
+    return r.select("l_suppkey", st.t90(F.col("n") - 2).alias("t90"), F.round(st.half_width(F.lit(25.0), F.col("n"), F.col("m"), F.col("sxx"), F.col("resid_sd")), 2).alias("half"))

@@ -9,8 +9,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymill.config import Pipeline
-from quarrymill.plans import depgraph, inventory, metrics, sqlfolder
+from quarrymill.config import Pipeline, Scorer
+from quarrymill.plans import checks, depgraph, inventory, metrics, scoring, sqlfolder
 from quarrymill.plans.catalogue import query
 from quarrymill.schemas import INPUTS
 
@@ -188,3 +188,199 @@ def package_state(t):
     d["in_triggers"] = rows[1].where("z.LINE = 1").select("OWNER", F.col("NAME").alias("TRIGGER_NAME"), F.lit("A").alias("TABLE_OWNER"), F.expr("concat('T', k)").alias("TABLE_NAME"), F.lit("ENABLED").alias("STATUS"), none.alias("BODY_FILE"))
     m = metrics.metrics(d, _inventory(d))
     return m.select(F.col("SP_ID").alias("sp_id"), F.col("GLOBAL_PKG_VAR").alias("globals_used"), F.col("MUTATING_TRIGGER_RISK").alias("mutating"))
+
+
+# Scores of the scripts, from their metrics and references as the SQL knows them.
+_SCORES = """
+u AS (SELECT s_suppkey AS k FROM supplier), f AS (SELECT k, (k % 3 = 0)::INT AS m, (k % 2 = 0)::INT AS h, (k + 1 IN (SELECT k FROM u))::INT AS c, (k - 1 IN (SELECT k FROM u))::INT AS i FROM u),
+v AS (SELECT k, round((5 + 2 * m + h) / 10.0::DOUBLE + 12 + m + 3.5 * h + 1 + m + 2.5 * m + 4 * c + 3, 2) AS absolute, round(4.0::DOUBLE * i + 3, 2) AS impact FROM f),
+n AS (SELECT *, percent_rank() OVER (ORDER BY absolute) * 100 AS cn, percent_rank() OVER (ORDER BY impact) * 100 AS im FROM v),
+sc AS (SELECT *, CASE WHEN absolute < 20 THEN 'low' WHEN absolute < 50 THEN 'mid' WHEN absolute < 100 THEN 'high' ELSE 'very high' END AS band FROM n)
+"""
+
+
+def _scored(t, config: Scorer) -> DataFrame:
+    texts = _scripts(t)
+    objs = sqlfolder.objects(texts)
+    return sqlfolder.scores(objs, sqlfolder.metrics(objs), sqlfolder.references(objs, sqlfolder.grants(texts)), config)
+
+
+@query(f"""
+WITH {_SCORES} SELECT 'APP.P' || k AS key, absolute, band, impact, round(cn, 1) AS conv_norm, round(im, 1) AS imp_norm, round(0.7 * cn + 0.3 * im, 1) AS final FROM sc
+""")
+def script_scores(t):
+    """Absolute, impact and final scores with bands (OP-ST-06 to OP-ST-08, OP-MA-01, OP-PRJ-09, OP-PRJ-10, OP-AG-20, OP-AG-21)."""
+    return _scored(t, Scorer()).select("key", "absolute", "band", "impact", "conv_norm", "imp_norm", "final")
+
+
+@query(f"WITH {_SCORES} SELECT 'APP.P' || k AS key, round(sqrt(cn * im), 1) AS final FROM sc")
+def script_scores_geometric(t):
+    """The final score as a geometric mean (OP-ST-07)."""
+    return _scored(t, Scorer(final_mode="geometric")).select("key", "final")
+
+
+@query(f"""
+WITH {_SCORES}, h AS (SELECT k, 3.0::DOUBLE + k % 7 AS hours FROM u WHERE k % 4 = 0), j AS (SELECT sc.*, h.hours, greatest(absolute, 0.1) AS x FROM sc LEFT JOIN h USING (k)),
+b AS (SELECT band, avg(hours) AS b50, CASE WHEN count(*) >= 4 THEN quantile_cont(hours, 0.9) ELSE avg(hours) * 1.5 END AS b90 FROM j WHERE hours IS NOT NULL GROUP BY band),
+l AS (SELECT regr_slope(hours, x) AS s, regr_intercept(hours, x) AS i FROM j WHERE hours IS NOT NULL),
+e AS (SELECT j.*, b50, b90, coalesce(b50, greatest(i + s * x, 0.1)) AS base FROM j LEFT JOIN b USING (band), l),
+g AS (SELECT *, CASE WHEN b50 IS NOT NULL THEN b90 ELSE base * 1.5 END * (1 + 0.3 * round(im, 1) / 100) AS p90 FROM e)
+SELECT 'APP.P' || k AS key, round(coalesce(hours, base), 1) AS p50, round(coalesce(hours, greatest(p90, base)), 1) AS p90, CASE WHEN hours IS NOT NULL THEN 'measured' WHEN b50 IS NOT NULL THEN 'band ' || band ELSE 'linear' END AS basis FROM g
+""")
+def script_effort(t):
+    """Effort from samples: by band, by a line elsewhere (OP-AG-22 to OP-AG-24, OP-AG-25)."""
+    samples = t("supplier").where("s_suppkey % 4 = 0").select(F.expr("'p' || s_suppkey").alias("key"), F.expr("3.0D + s_suppkey % 7").alias("hours"))
+    return sqlfolder.effort(_scored(t, Scorer()), samples, Scorer()).select("key", "p50", "p90", "basis")
+
+
+@query("""
+WITH u AS (SELECT s_suppkey AS k FROM supplier)
+SELECT 'APP.P' || k AS src, 'TABLE' AS rtype, CASE WHEN k % 15 = 0 THEN 'T0✓×2' WHEN k % 3 = 0 THEN 'T0✓, T' || (k % 5) || '✓' ELSE 'T' || (k % 5) || '✓' END AS targets FROM u
+UNION ALL SELECT 'APP.P' || k, 'GRANT', 'WEB' FROM u UNION ALL SELECT 'APP.P' || k, 'SEQUENCE', 'SQ' FROM u WHERE k % 3 = 0 UNION ALL SELECT 'APP.P' || k, 'BUILTIN', 'DBMS_LOCK.SLEEP' FROM u WHERE k % 3 = 0
+UNION ALL SELECT 'APP.P' || k, 'CALL', 'P' || (k + 1) || '✓' FROM u WHERE k + 1 IN (SELECT k FROM u)
+""")
+def script_targets(t):
+    """References listed by kind with a mark and a count (OP-AG-26)."""
+    texts = _scripts(t)
+    return sqlfolder.referenced(sqlfolder.references(sqlfolder.objects(texts), sqlfolder.grants(texts)))
+
+
+# Quality rules
+
+_MODES = f"m AS (SELECT {_MODE} AS mode, s FROM u)"
+
+
+@query(f"""
+WITH {_UNITS}, {_MODES}
+SELECT 'ERROR' AS level, 'SOURCE_ORPHAN' AS code, 1::BIGINT AS n, 'A.GHOST' AS least
+UNION ALL SELECT 'WARN', 'INVALID_STATUS', count(*), min(o || '.P' || k) FROM u WHERE s = 17 HAVING count(*) > 0
+UNION ALL SELECT 'WARN', 'NAME_COLLISION', count(*), min('P' || k || ' A;B') FROM u WHERE k % 10 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'WARN', 'WRAP_SOURCE_PRESENT', count(*), min(o || '.P' || k) FROM u WHERE s % 11 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'ERROR', 'LARGE_FIELD_INLINED', count(*), min('TR' || k) FROM u WHERE k % 50 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'WARN', 'DEPENDENCY_REFERENCED_NOT_IN_OBJECTS', count(DISTINCT k % 7), min('A.T' || (k % 7)) FROM u
+UNION ALL SELECT 'WARN', 'REMOTE_OBJECTS_NOT_PROVIDED', 1, 'LNK'
+UNION ALL SELECT 'ERROR', 'OVERRIDE_REASON_MISSING', 1, 's4_strategy_override ' || count(*) FROM u WHERE k % 9 = 0 HAVING count(*) > 0
+UNION ALL SELECT 'ERROR', 'OVERRIDE_SP_ID_UNKNOWN', count(*), min('s4_strategy_override A.NO' || k) FROM u WHERE k % 9 = 1 HAVING count(*) > 0
+UNION ALL SELECT 'WARN', 'PARSER_SUCCESS_RATE_LOW', 1, round(avg((mode = 'REGEX')::INT), 3)::VARCHAR FROM m HAVING avg((mode = 'REGEX')::INT) < 0.9
+UNION ALL SELECT 'INFO', 'CALIBRATION_SAMPLES_INSUFFICIENT', 1, '3'
+UNION ALL SELECT 'ERROR', 'BODY_FILE_MISSING', count(*), min('j' || k || '.sql') FROM u WHERE k % 20 = 5 HAVING count(*) > 0
+""")
+def quality_findings(t):
+    """Validation rules over dictionary and override tables (section 2.12, OP-FLT-11, OP-FLT-12, OP-AG-03)."""
+    d = _dictionary(t)
+    p = t("part").selectExpr("p_partkey as k", "p_size as s", "if(p_partkey % 2 = 0, 'A', 'B') as o", "'P' || p_partkey as name")
+    spark = p.sparkSession
+    none = F.lit(None).cast("string")
+    inv = _inventory(d)
+    more = p.where("k % 10 = 0").select(F.expr("if(o = 'A', 'B', 'A')").alias("OWNER"), F.col("name").alias("OBJECT_NAME"), F.lit("FUNCTION").alias("OBJECT_TYPE"), F.lit("VALID").alias("STATUS"), none.alias("CREATED"), none.alias("LAST_DDL_TIME"))
+    ghost = spark.createDataFrame([("A", "GHOST", "PROCEDURE", 1, "x")], d["in_source"].schema)
+    d |= {"in_objects": d["in_objects"].unionByName(more), "in_source": d["in_source"].unionByName(ghost), "in_db_links": spark.createDataFrame([("A", "LNK", None, None), ("A", "FAR", None, None)], INPUTS["in_db_links"].schema)}
+    d["in_triggers"] = p.where("k % 50 = 0").select(F.lit("A").alias("OWNER"), F.expr("'TR' || k").alias("TRIGGER_NAME"), F.lit("A").alias("TABLE_OWNER"), F.lit("T").alias("TABLE_NAME"), F.lit("ENABLED").alias("STATUS"), F.repeat(F.lit("b"), 501).alias("BODY_FILE"))
+    d["in_scheduler_jobs"] = p.where("k % 20 in (5, 6)").select(F.lit("A").alias("OWNER"), F.expr("'J' || k").alias("JOB_NAME"), F.lit("PLSQL").alias("JOB_TYPE"), F.expr("'j' || k || '.sql'").alias("ACTION_FILE"), F.lit("Y").alias("ENABLED"), none.alias("SCHEDULE_TEXT"))
+    remote = spark.createDataFrame([("FAR", "A", "X", "TABLE")], "DB_LINK string, OWNER string, OBJECT_NAME string, OBJECT_TYPE string")
+    strategy = p.where("k % 9 in (0, 1)").select(F.expr("if(k % 9 = 1, 'A.NO' || k, o || '.P' || k)").alias("SP_ID"), F.lit("SEMI").alias("STRATEGY"), F.expr("if(k % 9 = 0, ' ', 'seen')").alias("REASON"))
+    pilot = spark.createDataFrame([("x", 1.0)] * 3, "SP_ID string, ACTUAL_MD double").withColumnRenamed("SP_ID", "UNIT")
+    found = checks.validate(d, {"s4_strategy_override": strategy, "pilot_effort": pilot}, remote, inv, metrics.metrics(d, inv))
+    present = p.where("k % 20 = 6").select(F.expr("'j' || k || '.sql'").alias("path"))
+    found = found.unionByName(checks.missing_bodies(d, present))
+    # An unknown id's message has no id of its own to compare but the rule's name and the id's place.
+    return found.groupBy("level", "code").agg(F.count(F.lit(1)).alias("n"), F.min("message").alias("least"))
+
+
+_LINTED = "o AS (SELECT 'U' || (c_custkey % 300) AS id, c_mktsegment AS v, CASE WHEN c_nationkey % 2 = 0 THEN 'EXCLUDE' ELSE 'include' END AS act, CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE 'seen' END AS r FROM customer)"
+
+
+@query(f"""
+WITH {_LINTED}
+SELECT 'ERROR' AS level, 'REASON_BLANK' AS code, 2 * count(*) AS n FROM o WHERE r = ' ' HAVING count(*) > 0
+UNION ALL SELECT 'ERROR', 'CONFLICTING_STRATEGY', count(*) FROM (SELECT id FROM o GROUP BY id HAVING count(DISTINCT v) > 1) HAVING count(*) > 0
+UNION ALL SELECT 'ERROR', 'CONFLICTING_ACTION', count(*) FROM (SELECT id FROM o GROUP BY id HAVING count(DISTINCT act) > 1) HAVING count(*) > 0
+UNION ALL SELECT 'WARN', 'DUPLICATE_ROW', count(*) FROM (SELECT *, count(*) OVER (PARTITION BY id, act) AS k FROM o) WHERE k > 1 HAVING count(*) > 0
+""")
+def override_lint(t):
+    """Lint of override tables (section 2.12, OP-AG-15, OP-AG-17)."""
+    o = t("customer").selectExpr("'U' || (c_custkey % 300) as SP_ID", "c_mktsegment as STRATEGY", "if(c_nationkey % 2 = 0, 'EXCLUDE', 'include') as ACTION", "if(c_custkey % 7 = 0, ' ', 'seen') as REASON")
+    found = checks.lint({"s4_strategy_override": o.select("SP_ID", "STRATEGY", "REASON"), "s1_inventory_override": o.select("SP_ID", "ACTION", "REASON")})
+    return found.groupBy("level", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH {_UNITS}, {_MODES}, r AS (
+  SELECT 'SP-1' AS spike, avg((mode = 'REGEX')::INT) AS rate, 0.9 AS least FROM m
+  UNION ALL SELECT 'SP-2', count(*) FILTER (WHERE s % 4 = 0) / nullif(count(*) FILTER (WHERE s % 4 < 2), 0), 0.6 FROM m
+  UNION ALL SELECT 'SP-3', avg((o_orderstatus <> 'P')::INT), 0.7 FROM orders)
+SELECT spike, round(rate, 6) AS rate, CASE WHEN rate IS NULL THEN 'N/A' WHEN rate >= least THEN 'PASS' ELSE 'FAIL' END AS verdict FROM r
+""")
+def spike_rates(t):
+    """Success rates against thresholds, N/A without rows (SP-1 to SP-3, OP-AG-18)."""
+    p = t("part").selectExpr("case when p_size % 11 = 0 then 'SKIPPED' when p_size % 13 = 0 then 'PARTIAL' else 'REGEX' end as PARSE_MODE", "int(p_size % 4 = 0) as DYNAMIC_SQL_LITERAL", "int(p_size % 4 = 1) as DYNAMIC_SQL_VARIABLE")
+    return checks.spikes(p, t("orders").selectExpr("if(o_orderstatus <> 'P', 'SP', 'UNKNOWN') as DST_TYPE"))
+
+
+# Review and risks: edges of each supplier, some weak, some without rights, some remote.
+
+
+def _drawn_graph(t) -> dict[str, DataFrame]:
+    s = t("supplier").selectExpr("s_suppkey as k")
+    edges = s.where("k % 3 <> 0").selectExpr(
+        "'U' || k as SRC", "if(k % 6 = 1, concat('REMOTE::HR.O', k % 4, '@L'), 'X' || (k % 10)) as DST", "if(k % 5 = 0, 'LOW', 'HIGH') as EDGE_CONFIDENCE", "if(k % 4 = 0, 'N', 'Y') as GRANT_OK", "if(k % 6 = 1, 'Y', 'N') as CUT_POINT",
+        "if(k % 7 = 0, 'OVERRIDE', 'CALL') as EDGE_TYPE", "'SP' as SRC_TYPE", "if(k % 6 = 1, 'REMOTE', 'UNKNOWN') as DST_TYPE",
+    )
+    nodes = s.selectExpr("'U' || k as NODE_ID", "if(k % 8 = 0, 'TRIGGER', 'SP') as NODE_TYPE", "k % 9 as CLUSTER_ID")
+    return {"s3_edges": edges, "s3_nodes": nodes, "s3_scc": s.where("k % 2 = 0").selectExpr("k % 30 as SCC_ID", "'U' || k as MEMBER_SP_ID"), "units": s.selectExpr("'U' || k as SP_ID", "if(k % 8 = 0, 'TRIGGER', 'PROCEDURE') as TYPE", "k")}
+
+
+_DRAWN = """u AS (SELECT s_suppkey AS k FROM supplier), e AS (SELECT k, 'U' || k AS src, CASE WHEN k % 6 = 1 THEN 'REMOTE::HR.O' || (k % 4) || '@L' ELSE 'X' || (k % 10) END AS dst FROM u WHERE k % 3 <> 0),
+big AS (SELECT k % 30 AS id, count(*) AS n FROM u WHERE k % 2 = 0 GROUP BY 1 HAVING count(*) > 3)"""
+
+
+@query(f"""
+WITH {_DRAWN}
+SELECT 'LOW_CONFIDENCE_EDGE' AS code, src AS subject, dst AS detail FROM e WHERE k % 5 = 0 UNION ALL SELECT 'GRANT_MISSING', src, dst FROM e WHERE k % 4 = 0
+UNION ALL SELECT 'ORPHAN_NODE', 'U' || k, '' FROM u WHERE k % 3 = 0 UNION ALL SELECT 'LARGE_SCC', id::VARCHAR, n::VARCHAR FROM big
+""")
+def graph_review(t):
+    """What people must look at in the graph (OP-GR-09)."""
+    g = _drawn_graph(t)
+    return depgraph.review(g["s3_edges"], g["s3_nodes"], g["s3_scc"]).select(F.col("REASON_CODE").alias("code"), F.col("SUBJECT").alias("subject"), F.col("DETAIL").alias("detail"))
+
+
+@query(f"""
+WITH {_DRAWN}, n AS (SELECT 'U' || k AS node, CASE WHEN k % 8 = 0 THEN 'TRIGGER' ELSE 'SP' END AS kind, 0 AS o FROM u
+  UNION ALL SELECT src, 'SP', 1 FROM e WHERE k % 7 <> 0 UNION ALL SELECT dst, CASE WHEN k % 6 = 1 THEN 'REMOTE' ELSE 'UNKNOWN' END, 2 FROM e WHERE k % 7 <> 0)
+SELECT node, arg_min(kind, o) AS kind FROM n GROUP BY node
+""")
+def node_types(t):
+    """Nodes by precedence: units, then the ends of edges (OP-GR-03)."""
+    g = _drawn_graph(t)
+    return depgraph.node_types(g["units"], g["s3_edges"]).select("node", F.col("NODE_TYPE").alias("kind"))
+
+
+@query(f"""
+WITH {_DRAWN}
+SELECT 'WRAPPED' AS risk, 'U' || k AS subject FROM u WHERE k % 11 = 0 UNION ALL SELECT 'AUTONOMOUS_TX', 'U' || k FROM u WHERE k % 13 = 0 UNION ALL SELECT 'MUTATING_TRIGGER', 'U' || k FROM u WHERE k % 17 = 0
+UNION ALL SELECT 'LARGE_SCC', id::VARCHAR FROM big UNION ALL SELECT 'WEAK_CLUSTER', (k % 9)::VARCHAR FROM e WHERE k % 5 = 0 GROUP BY k % 9 HAVING count(*) >= 2
+UNION ALL SELECT 'PII_ARGUMENT', 'P_EMAIL' || (k % 3) FROM u WHERE k % 2 = 0 GROUP BY 2
+""")
+def risk_register(t):
+    """The risk register (OP-AG-13, OP-AG-14, OP-FLT-11)."""
+    g = _drawn_graph(t)
+    unit = g["units"].selectExpr("SP_ID", "if(k % 11 = 0, 'Y', 'N') as WRAPPED", "int(k % 13 = 0) as AUTONOMOUS_TX", "int(k % 17 = 0) as MUTATING_TRIGGER_RISK", "if(k % 2 = 0, 'p_email' || (k % 3), 'p_size') as ARGUMENT_NAME")
+    return scoring.risks(unit, unit, g, unit).select(F.col("RISK").alias("risk"), F.col("SUBJECT").alias("subject"))
+
+
+@query(f"""
+WITH {_DRAWN} SELECT src AS sp_id, dst AS target, CASE k % 4 WHEN 0 THEN 'replicate or read by API' WHEN 1 THEN 'replace by API' WHEN 2 THEN 'call a service' ELSE 'decide by hand' END AS advice FROM e WHERE k % 6 = 1
+""")
+def cut_point_advice(t):
+    """Remote keys read and matched to advice by type (OP-TX-31)."""
+    g = _drawn_graph(t)
+    kinds = g["units"].sparkSession.createDataFrame([("L", "HR", "O0", "TABLE"), ("L", "HR", "O1", "VIEW"), ("L", "HR", "O2", "FUNCTION")], "DB_LINK string, OWNER string, OBJECT_NAME string, OBJECT_TYPE string")
+    return scoring.cut_points(g["s3_edges"], kinds).select(F.col("SP_ID").alias("sp_id"), F.col("TARGET").alias("target"), F.col("SUGGESTION").alias("advice"))
+
+
+@query(f"WITH {_UNITS} SELECT id AS sp_id, CASE WHEN s % 11 = 0 THEN 'WRAPPED' ELSE 'UNBALANCED_BLOCK' END AS reason FROM u WHERE s % 11 = 0 OR s % 13 = 0")
+def parse_failures(t):
+    """Units that were not parsed (stage 2)."""
+    d = _dictionary(t)
+    return metrics.parse_failures(metrics.metrics(d, _inventory(d))).select(F.col("SP_ID").alias("sp_id"), F.col("REASON").alias("reason"))

@@ -93,6 +93,14 @@ def grant_checked(edges: DataFrame, inventory: DataFrame, matrix: DataFrame) ->
     return e.withColumn("GRANT_OK", F.when((F.col("EDGE_TYPE") == "CALL") & F.col("SO").isNotNull() & F.col("DO").isNotNull(), F.col("g2")).otherwise("")).select(*edges.columns, "GRANT_OK")
 
 
+def node_types(inventory: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, NODE_TYPE): units first, then what edges start from, then what they lead to."""
+    units = inventory.select(F.col("SP_ID").alias("n"), F.when(F.col("TYPE") == "TRIGGER", "TRIGGER").otherwise("SP").alias("NODE_TYPE"), F.lit(0).alias("o"))
+    ends = edges.where("EDGE_TYPE <> 'OVERRIDE'")
+    more = ends.select(F.col("SRC").alias("n"), F.col("SRC_TYPE").alias("NODE_TYPE"), F.lit(1).alias("o")).unionByName(ends.select(F.col("DST").alias("n"), F.col("DST_TYPE").alias("NODE_TYPE"), F.lit(2).alias("o")))
+    return rel.first_wins(units.unionByName(more), ["n"], ["o", "NODE_TYPE"]).drop("o").withColumnRenamed("n", "node")
+
+
 def build(t: dict[str, DataFrame], inventory: DataFrame, sql: DataFrame, hints: DataFrame, matrix: DataFrame, job_bodies: DataFrame | None = None, overrides: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """s3_edges, s3_nodes, s3_scc, s3_waves and s3_review."""
     overrides = overrides or {}
@@ -106,10 +114,7 @@ def build(t: dict[str, DataFrame], inventory: DataFrame, sql: DataFrame, hints:
         blank = {"EDGE_TYPE": F.lit("OVERRIDE"), "EDGE_CONFIDENCE": F.lit("HIGH"), "IS_DBLINK": F.lit("N"), "CUT_POINT": F.lit("N"), "GRANT_OK": F.lit(""), "DST_TYPE": F.lit("SP"), "SRC_TYPE": F.lit("SP")}
         edges = pt.edge_patch(edges, overrides["s3_edges_override"], blank)
     edges = gr.checkpointed(edges)
-    units = inventory.select(F.col("SP_ID").alias("n"), F.when(F.col("TYPE") == "TRIGGER", "TRIGGER").otherwise("SP").alias("NODE_TYPE"), F.lit(0).alias("o"))
-    ends = edges.where("EDGE_TYPE <> 'OVERRIDE'")
-    more = ends.select(F.col("SRC").alias("n"), F.col("SRC_TYPE").alias("NODE_TYPE"), F.lit(1).alias("o")).unionByName(ends.select(F.col("DST").alias("n"), F.col("DST_TYPE").alias("NODE_TYPE"), F.lit(2).alias("o")))
-    nodes = gr.checkpointed(rel.first_wins(units.unionByName(more), ["n"], ["o", "NODE_TYPE"]).drop("o").withColumnRenamed("n", "node"))
+    nodes = gr.checkpointed(node_types(inventory, edges))
     code = nodes.where(F.col("NODE_TYPE").isin("SP", "TRIGGER")).select("node")
     pairs = edges.select(F.col("SRC").alias("src"), F.col("DST").alias("dst"))
     inside = pairs.join(code.select(F.col("node").alias("src")), "src", "left_semi").join(code.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
