@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges into which a column's distinct values are dealt for running counts.
-RANGES = 64
+#: Ranges into which a column's distinct values are dealt for running counts; their bounds are
+#: quantiles of the distinct values, so that a heavy tail doesn't put most of them in one range.
+RANGES = 256
 
 
 def long_form(df: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
@@ -21,12 +22,19 @@ def long_form(df: DataFrame, key: str, metrics: Sequence[str]) -> DataFrame:
 
 def _positions(rows: DataFrame) -> DataFrame:
     """(metric, value, less, same, n, kinds) for each distinct value.  Running counts are in two
-    steps: sums of value ranges (few rows), then within a range."""
+    steps: sums of value ranges (few rows), then within a range.  The bounds of the ranges needn't
+    be exact quantiles: any bounds give the same counts."""
     counts = rows.groupBy("metric", "value").agg(F.count(F.lit(1)).alias("same"))
-    edges = counts.groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("same").alias("n"), F.count(F.lit(1)).alias("kinds"))
-    dealt = counts.join(edges, "metric")
-    width = (F.col("hi") - F.col("lo")) / RANGES
-    dealt = dealt.withColumn("range", F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("value") - F.col("lo")) / width), F.lit(RANGES - 1))).otherwise(0))
+    cuts = F.array_sort(F.array_distinct(F.percentile_approx("value", [i / RANGES for i in range(1, RANGES)], 4 * RANGES)))
+    edges = counts.groupBy("metric").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("same").alias("n"), F.count(F.lit(1)).alias("kinds"), cuts.alias("cuts"))
+    # The number of bounds up to the value, found by halving.
+    steps = RANGES.bit_length()
+    found = F.aggregate(
+        F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("a"), F.size("cuts").alias("b")),
+        lambda s, _: F.when(s["a"] >= s["b"], s).otherwise(F.when(F.get("cuts", F.floor((s["a"] + s["b"]) / 2).cast("int")) <= F.col("value"), F.struct((F.floor((s["a"] + s["b"]) / 2).cast("int") + 1).alias("a"), s["b"].alias("b"))).otherwise(F.struct(s["a"].alias("a"), F.floor((s["a"] + s["b"]) / 2).cast("int").alias("b")))),
+        lambda s: s["a"],
+    )
+    dealt = counts.join(edges, "metric").withColumn("range", F.when(F.col("value").isNull(), -1).otherwise(found)).drop("cuts")
     sums = dealt.groupBy("metric", "range").agg(F.sum("same").alias("s"))
     before = Window.partitionBy("metric").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("metric", "range", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))

@@ -1,7 +1,7 @@
 """Statistical operators: least squares from aggregated sums, ridge and lasso, variance
 inflation, bootstrap calibration.  Sums of products are aggregated in Spark, so the driver
-solves systems of a few features whatever the rows; only the pilot sample, which people
-enter by hand, is collected, and its size is checked."""
+solves systems of a few features whatever the rows; only a pilot sample whose size is checked is
+collected, and a larger one is resampled where its rows are."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Pilot rows up to which the driver resamples them; beyond, each row draws its own counts.
 PILOT_ROWS = 100_000
 
 
@@ -104,25 +105,57 @@ def vif(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
     return out
 
 
-def bootstrap(objects: DataFrame, pilot: DataFrame, key: str, y: str, features: Sequence[str], kind: str = "ridge", alpha: float = 1.0, times: int = 200, seed: int = 42) -> DataFrame:
+def _fit(total: np.ndarray, kind: str, alpha: float) -> np.ndarray:
+    """Coefficients and intercept from the sums of products of (features, y, 1)."""
+    n, k = total[-1, -1], len(total) - 2
+    mean = total[-1, :-1] / n
+    cov = total[:-1, :-1] / n - np.outer(mean, mean)
+    w = _solve(cov[:k, :k], cov[:k, k], int(round(n)), kind.lower(), alpha)
+    return np.append(w, mean[k] - mean[:k] @ w)
+
+
+def _resampled(pilot: DataFrame, y: str, features: Sequence[str], mean: np.ndarray, sd: np.ndarray, times: int, seed: int) -> np.ndarray:
+    """Sums of products of each of ``times`` resamples, and of all rows (the last), without gathering
+    rows: a row stands in a resample as often as a Poisson draw from a hash of it and the
+    resample's number says, which is what drawing with replacement comes to for many rows."""
+    k = len(features) + 2
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((times + 1, k, k))
+        for b in batches:
+            raw = b[[*features, y]].to_numpy(float)
+            x = np.hstack([np.divide(raw[:, :-1] - mean, sd, out=np.zeros_like(raw[:, :-1]), where=sd > 0), raw[:, -1:], np.ones((len(raw), 1))])
+            own = np.array([np.random.default_rng([seed, int(h) & (1 << 63) - 1]).poisson(1.0, times) for h in b["own"]])
+            for r in range(times):
+                total[r] += (x * own[:, r : r + 1]).T @ x
+            total[times] += x.T @ x
+        yield pd.DataFrame({"at": np.arange(total.size), "v": total.ravel()})
+
+    # A row is told from its equals by its place in the scan.
+    rows = pilot.select(*(F.col(c).cast("double").alias(c) for c in dict.fromkeys([*features, y]))).withColumn("own", F.xxhash64(F.monotonically_increasing_id(), *features, y))
+    parts = rows.mapInPandas(sums, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect()  # (times + 1) * k * k numbers
+    out = np.zeros((times + 1) * k * k)
+    for r in parts:
+        out[r["at"]] = r["v"]
+    return out.reshape(times + 1, k, k)
+
+
+def bootstrap(objects: DataFrame, pilot: DataFrame, key: str, y: str, features: Sequence[str], kind: str = "ridge", alpha: float = 1.0, times: int = 200, seed: int = 42, gathered: int = PILOT_ROWS) -> DataFrame:
     """key, estimate, p50, p90: predictions of the model on all pilot rows and quantiles over
-    refits on resampled pilot rows, none below 0.1."""
-    rows = pilot.select(y, *features).limit(PILOT_ROWS + 1).toPandas().astype(float)
-    if len(rows) > PILOT_ROWS:
-        raise ValueError(f"more than {PILOT_ROWS} pilot rows")
-    raw, target = rows[list(features)].to_numpy(), rows[y].to_numpy()
-    mean, sd = raw.mean(axis=0), raw.std(axis=0)
-    scaled = np.divide(raw - mean, sd, out=np.zeros_like(raw), where=sd > 0)
-
-    def fit(take: np.ndarray) -> np.ndarray:
-        x, t = scaled[take], target[take]
-        xc, tc = x - x.mean(axis=0), t - t.mean()
-        w = _solve(xc.T @ xc / len(t), xc.T @ tc / len(t), len(t), kind.lower(), alpha)
-        return np.append(w, t.mean() - x.mean(axis=0) @ w)
-
-    rng = np.random.default_rng(seed)
-    whole = fit(np.arange(len(target)))
-    fits = np.stack([fit(rng.integers(0, len(target), len(target))) for _ in range(times)])
+    refits on resampled pilot rows, none below 0.1.  Up to ``gathered`` rows the driver resamples."""
+    total, mean, cov = moments(pilot, features)
+    sd = np.sqrt(np.maximum(np.diag(cov), 0.0))
+    if total <= gathered:
+        rows = pilot.select(y, *features).toPandas().astype(float)
+        raw, target = rows[list(features)].to_numpy(), rows[y].to_numpy()
+        scaled = np.hstack([np.divide(raw - mean, sd, out=np.zeros_like(raw), where=sd > 0), target[:, None], np.ones((len(raw), 1))])
+        rng = np.random.default_rng(seed)
+        whole = _fit(scaled.T @ scaled, kind, alpha)
+        takes = (scaled[rng.integers(0, total, total)] for _ in range(times))
+        fits = np.stack([_fit(x.T @ x, kind, alpha) for x in takes])
+    else:
+        *sums, every = _resampled(pilot, y, features, mean, sd, times, seed)
+        whole, fits = _fit(every, kind, alpha), np.stack([_fit(s, kind, alpha) for s in sums])
     held = objects.sparkSession.sparkContext.broadcast((whole, fits, mean, sd))
     kind_of = objects.schema[key].dataType.simpleString()
 

@@ -229,3 +229,39 @@ def test_text_functions(spark):
         tx.clean_str(F.lit(" \tNaN　")).alias("a"), tx.strip_comments_keep_lines(F.lit("a/* x\ny */b -- c\nd")).alias("b"), tx.round2(F.lit(0.125)).alias("c"), tx.nesting(F.lit("))((select 1) select")).alias("d"),
     ).first()
     assert row.a == "" and row.b == "a\nb \nd" and row.c == 0.12 and (row.d.most, row.d.marks) == (2, 2)
+
+
+def test_bootstrap_where_rows_are(spark):
+    """A pilot above the bound is resampled in place: near the driver's resampling, and the same again."""
+    from quarrymill.operators import stats as st
+
+    rows = spark.createDataFrame([(k, float(k % 17), float(k % 5), 3.0 + 2 * (k % 17) - (k % 5) + (k * 37 % 11) / 5) for k in range(600)], "id long, a double, b double, y double")
+    near = {r.id: r for r in st.bootstrap(rows, rows, "id", "y", ["a", "b"]).collect()}
+    far = {r.id: r for r in st.bootstrap(rows, rows, "id", "y", ["a", "b"], gathered=10).collect()}
+    again = {r.id: r for r in st.bootstrap(rows, rows, "id", "y", ["a", "b"], gathered=10).collect()}
+    for k in near:
+        assert far[k].estimate == pytest.approx(near[k].estimate) and far[k].p50 == pytest.approx(near[k].p50, abs=0.1) and far[k].p90 == pytest.approx(near[k].p90, abs=0.1)
+        assert far[k].p90 == pytest.approx(again[k].p90)
+
+
+def test_ranks_of_heavy_tails(spark):
+    """Quantile ranges give the ranks of a plain sort, whatever the values' spread; most ranges have few."""
+    from quarrymill.operators import rank as rk
+
+    values = [float(10 ** (k % 9)) + k % 50 for k in range(3000)] + [1e15, -1e12, 0.0]
+    rows = spark.createDataFrame([(k, "m", v) for k, v in enumerate(values)], "id long, metric string, value double")
+    got = {r.id: r.score for r in rk.strict_ranks(rows, "id").collect()}
+    ordered = sorted(values)
+    import bisect
+
+    for k, v in enumerate(values):
+        assert got[k] == pytest.approx(bisect.bisect_left(ordered, v) / (len(values) - 1) * 100)
+
+
+def test_large_components_by_rounds(spark):
+    """Strong components of 10,000 edges and more by the distributed rounds alone."""
+    edges = [(k, k + 1) for k in range(3000) if k % 10 != 9] + [(k + 9, k) for k in range(0, 3000, 10)] + [(k, (k * 7919) % 3000 + 4000) for k in range(3000)] * 2 + [(5000 + k, 4000 + k % 900) for k in range(2000)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    nodes = df.selectExpr("src as node").unionByName(df.selectExpr("dst as node")).distinct()
+    found = {r.node: r.component for r in gr.strong_components(nodes, df, 50).collect()}
+    assert all(found[k] == found[k // 10 * 10] for k in range(3000)) and len({found[k] for k in range(3000)}) == 300
