@@ -25,8 +25,8 @@ LEAST_SCORE = 0.35
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(spark, docs)
-    found = docs.withColumn("__lang", langid.predict(spark, docs, model))
-    return found.where((F.col("__lang.lang_pred") != "und") & (F.col("__lang.score") >= LEAST_SCORE)).select(*docs.columns)
+    found = docs.select(F.struct(*docs.columns).alias("row"), langid.predict(spark, docs, model).alias("found"))
+    return found.where((F.col("found.lang_pred") != "und") & (F.col("found.score") >= LEAST_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
