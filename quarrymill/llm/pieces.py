@@ -194,7 +194,8 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY) -
     """docs with the columns of encodings(); a column that has one of their names is replaced."""
     names = ("token_ids", "n_tokens", "n_fallback", "score", "round_trip")
     kept = [c for c in docs.columns if c not in names]
-    return docs.withColumn("__enc", encodings(spark, docs, vocabulary)).select(*kept, *(f"__enc.{n}" for n in names))
+    rows = docs.select(F.struct(*kept).alias("row"), encodings(spark, docs, vocabulary).alias("enc"))
+    return rows.select("row.*", *(f"enc.{n}" for n in names))
 
 
 def decode(spark: SparkSession, rows: DataFrame, ids: str = "token_ids", vocabulary: str = VOCABULARY) -> DataFrame:
