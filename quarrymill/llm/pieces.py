@@ -12,7 +12,7 @@ else is normalised.  A literal U+2581 is encoded as bytes, so decoding gives eve
 exactly.  No piece holds U+2581 after another character and none holds a line's end (checked
 when the model is read; without that, a text is one segment), so the best path passes
 through these places and each segment is solved by itself; a worker remembers the segments
-it has solved, up to REMEMBERED.
+it has solved, up to REMEMBERED in each of two generations.
 
 Defined results: null gives null ids and counts 0, an empty text no ids; repeated rows get equal
 ids; a column that has the name of a result is replaced, all others pass.
@@ -21,7 +21,9 @@ ids; a column that has the name of a result is replaced, all others pass.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator, Sequence
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -64,11 +66,34 @@ def read_vocabulary(path: str, most: int = 64 << 20) -> bytes:
     return raw
 
 
+#: A solved segment: its ids as the bytes of 32-bit numbers, its score, its characters that are no piece.
+Solved = tuple[bytes, float, int]
+
+
+class _Memo(dict[str, Solved]):
+    """Solved segments, young ones here and the generation before them in old; one that is in
+    neither is solved when it is asked for."""
+
+    def __init__(self, solve: Callable[[str], Solved]):
+        super().__init__()
+        self.solve, self.old = solve, {}
+
+    def __missing__(self, seg: str) -> Solved:
+        got = self.old.get(seg) or self.solve(seg)
+        if len(seg) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+            self[seg] = got
+        return got
+
+
 class PieceModel:
     def __init__(self, raw: bytes):
         sp = sentencepiece.SentencePieceProcessor(model_proto=raw)
         n = sp.get_piece_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
+        self.sizes = list(map(len, self.pieces))
         special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
         plain = [i for i in range(n) if not special[i] and not sp.is_byte(i) and self.pieces[i]]
@@ -81,73 +106,78 @@ class PieceModel:
         self.single = {self.pieces[i] for i in plain if len(self.pieces[i]) == 1}
         cuts = not any(BLANK in self.pieces[i].lstrip(BLANK) or "\n" in self.pieces[i] for i in plain)
         self.segment = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n" if cuts else "(?s).+")
-        self.as_bytes = [p.replace(BLANK, " ").encode() for p in self.pieces]
+        as_bytes = [p.replace(BLANK, " ").encode() for p in self.pieces]
         for b, i in self.byte.items():
-            self.as_bytes[i] = bytes([b])
-        self.memo: dict[str, tuple[tuple[int, ...], float, int]] = {}
+            as_bytes[i] = bytes([b])
+        self.as_bytes = pa.array(as_bytes, pa.large_binary())
+        self.memo = _Memo(self.solve)
 
     def fallback(self, char: str) -> list[int]:
         return [self.byte[b] for b in char.encode("utf-8", "replace")] if self.byte else [self.unknown]
 
-    def solve(self, text: str) -> tuple[tuple[int, ...], float, int]:
-        """The best path over one segment: ids, score, and characters that are no piece."""
+    def solve(self, text: str) -> Solved:
+        """The best path over one segment."""
         n = len(text)
-        best, back, by = [0.0] + [float("-inf")] * n, [0] * (n + 1), [-1] * (n + 1)
-        odd = [k for k, c in enumerate(text) if c not in self.single]
-        if not odd:
+        # By a piece's last character; best[-1] is the start, before the first one.
+        best, by = [float("-inf")] * n + [0.0], [-1] * n
+        if self.single.issuperset(text):
             for end, (i, score, size) in self.automaton.iter(text):
-                s = best[end + 1 - size] + score
-                if s > best[end + 1]:
-                    best[end + 1], back[end + 1], by[end + 1] = s, end + 1 - size, i
+                s = best[end - size] + score
+                if s > best[end]:
+                    best[end], by[end] = s, i
         else:
             ends: dict[int, list[tuple[int, float, int]]] = {}
             for end, found in self.automaton.iter(text):
                 ends.setdefault(end, []).append(found)
-            none = set(odd)
-            for end in range(n):
+            for end, char in enumerate(text):
                 for i, score, size in ends.get(end, ()):
-                    s = best[end + 1 - size] + score
-                    if s > best[end + 1]:
-                        best[end + 1], back[end + 1], by[end + 1] = s, end + 1 - size, i
-                if end in none and best[end] + self.lowest > best[end + 1]:
-                    best[end + 1], back[end + 1], by[end + 1] = best[end] + self.lowest, end, -1
-        parts, at, lost = [], n, 0
-        while at:
-            if by[at] < 0:
-                parts.append(self.fallback(text[back[at] : at]))
+                    s = best[end - size] + score
+                    if s > best[end]:
+                        best[end], by[end] = s, i
+                if char not in self.single and best[end - 1] + self.lowest > best[end]:
+                    best[end], by[end] = best[end - 1] + self.lowest, -1
+        ids, at, lost, sizes = [], n - 1, 0, self.sizes
+        while at >= 0:
+            i = by[at]
+            if i < 0:
+                ids += reversed(self.fallback(text[at]))
                 lost += 1
+                at -= 1
             else:
-                parts.append([by[at]])
-            at = back[at]
-        return tuple(i for part in reversed(parts) for i in part), best[n], lost
+                ids.append(i)
+                at -= sizes[i]
+        ids.reverse()
+        return array("i", ids).tobytes(), best[n - 1], lost
 
-    def encode(self, text: str) -> tuple[list[int], float, int]:
+    def encode(self, text: str) -> tuple[np.ndarray, float, int]:
         """ids, total score, and the number of characters that became bytes."""
-        ids: list[int] = []
-        total, lost, memo = 0.0, 0, self.memo
+        ids: list[bytes] = []
+        total, lost = 0.0, 0
         for k, part in enumerate(text.split(BLANK)):
             if k:
-                ids += self.fallback(BLANK)
+                ids.append(array("i", self.fallback(BLANK)).tobytes())
                 total += self.lowest
                 lost += 1
             body = part.replace(" ", BLANK)
-            for seg in self.segment.findall(body if k or not text else BLANK + body):
-                got = memo.get(seg)
-                if got is None:
-                    got = self.solve(seg)
-                    if len(seg) <= LONGEST:
-                        if len(memo) >= REMEMBERED:
-                            memo.clear()
-                        memo[seg] = got
-                ids += got[0]
-                total += got[1]
-                lost += got[2]
-        return ids, total, lost
-
-    def decode(self, ids: list[int]) -> str:
-        """The text, without the dummy blank."""
-        text = b"".join(map(self.as_bytes.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+            got = list(map(self.memo.__getitem__, self.segment.findall(body if k or not text else BLANK + body)))
+            ids += map(itemgetter(0), got)
+            total += sum(map(itemgetter(1), got))
+            lost += sum(map(itemgetter(2), got))
+        return np.frombuffer(b"".join(ids), np.int32), total, lost
+
+    def decode_all(self, lists: list[np.ndarray]) -> list[str]:
+        """The texts of lists of ids, without the dummy blank."""
+        if not lists:
+            return []
+        held = self.as_bytes.take(pa.array(np.concatenate(lists)))
+        _, offsets, data = held.buffers()
+        starts, data = np.frombuffer(offsets, np.int64)[: len(held) + 1], memoryview(data or b"")
+        cuts = starts[np.cumsum([0, *map(len, lists)])].tolist()
+        texts = (str(data[a:b], "utf-8", "replace") for a, b in zip(cuts, cuts[1:], strict=False))
+        return [t[1:] if t.startswith(" ") else t for t in texts]
+
+    def decode(self, ids: Sequence[int]) -> str:
+        return self.decode_all([np.asarray(ids, np.int32)])[0]
 
 
 _MODELS: dict[int, PieceModel] = {}
@@ -170,18 +200,13 @@ def encodings(spark: SparkSession, docs: DataFrame, vocabulary: str = VOCABULARY
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = model_of(held.value)
         for batch in texts:
-            ids, offsets, lost, score, same = [], [0], [], [], []
             values = batch.to_pylist()
-            for t in values:
-                got, total, n = model.encode(t or "")
-                ids.append(np.array(got, np.int32))
-                offsets.append(offsets[-1] + len(got))
-                lost.append(n)
-                score.append(total)
-                same.append(None if t is None else model.decode(got) == t)
+            ids, score, lost = zip(*(model.encode(t or "") for t in values), strict=True) if values else ((), (), ())
+            same = [None if t is None else back == t for t, back in zip(values, model.decode_all(list(ids)), strict=True)]
+            n = list(map(len, ids))
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            offsets = np.cumsum([0, *n])
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array([t is None for t in values], pa.bool_()))
-            n = [len(x) for x in ids]
             yield pa.StructArray.from_arrays(
                 [lists, pa.array(n, pa.int64()), pa.array(lost, pa.int64()), pa.array(score, pa.float64()), pa.array(same, pa.bool_())],
                 names=["token_ids", "n_tokens", "n_fallback", "score", "round_trip"],
@@ -207,6 +232,7 @@ def decode(spark: SparkSession, rows: DataFrame, ids: str = "token_ids", vocabul
     def run(lists: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = model_of(held.value)
         for batch in lists:
-            yield pa.array([None if x is None else model.decode(x) for x in batch.to_pylist()], pa.string())
+            there = iter(model.decode_all([x.values.to_numpy() for x in batch if x.is_valid]))
+            yield pa.array([next(there) if x.is_valid else None for x in batch], pa.string())
 
     return rows.withColumn("decoded", run.asNondeterministic()(rows[ids]))
