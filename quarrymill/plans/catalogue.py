@@ -636,15 +636,37 @@ def _model_rows(t):
     return t("lineitem").groupBy("l_suppkey").agg(F.avg("l_quantity").alias("f1"), F.avg("l_discount").alias("f2"), F.avg("l_tax").alias("f3"), F.avg("l_extendedprice").alias("y"))
 
 
+def _fits(rows, features, kinds):
+    """model, term, value: the intercept and coefficients of each kind of model."""
+    out = []
+    for kind in kinds:
+        b, w = st.linear(rows, "y", features, kind)
+        out += [(kind, x, round(v, 3)) for x, v in zip(["intercept", *features], [b, *w], strict=True)]
+    return out
+
+
+# The normal equations of two features, with a penalty of 1 by the number of rows on ridge's diagonal.
+@query("""
+WITH r AS (SELECT avg(l_quantity) AS f1, avg(l_discount) * 100 AS f2, avg(l_extendedprice) AS y FROM lineitem GROUP BY l_suppkey),
+m AS (SELECT count(*) AS n, avg(f1) AS a1, avg(f2) AS a2, avg(y) AS ay, var_pop(f1) AS s11, var_pop(f2) AS s22, covar_pop(f1, f2) AS s12, covar_pop(f1, y) AS c1, covar_pop(f2, y) AS c2 FROM r),
+k AS (SELECT 'ridge' AS model, 1.0::DOUBLE / n AS p, * FROM m UNION ALL SELECT 'ols', 0.0::DOUBLE, * FROM m),
+w AS (SELECT model, a1, a2, ay, (c1 * (s22 + p) - c2 * s12) / ((s11 + p) * (s22 + p) - s12 * s12) AS w1, (c2 * (s11 + p) - c1 * s12) / ((s11 + p) * (s22 + p) - s12 * s12) AS w2 FROM k)
+SELECT model, 'intercept' AS term, round(ay - a1 * w1 - a2 * w2, 3) AS value FROM w
+UNION ALL SELECT model, 'f1', round(w1, 3) FROM w UNION ALL SELECT model, 'f2', round(w2, 3) FROM w
+UNION ALL SELECT 'vif', f, round(1 / (1 - s12 * s12 / (s11 * s22)), 3) FROM m, (VALUES ('f1'), ('f2')) v(f)
+""")
+def linear_calibration(t):
+    """Ridge and least squares of two features, and variance inflation (OP-ST-02, OP-ST-03)."""
+    rows, features = _model_rows(t).withColumn("f2", F.col("f2") * 100), ["f1", "f2"]
+    out = _fits(rows, features, ("ridge", "ols")) + [("vif", f, x) for f, x in st.vif(rows, features).items()]
+    return rows.sparkSession.createDataFrame(out, "model string, term string, value double")
+
+
 @query()
 def ridge_calibration(t):
-    """Ridge, lasso and least squares, and variance inflation (OP-ST-02, OP-ST-03)."""
+    """Ridge, lasso and least squares of three features, and variance inflation (OP-ST-02, OP-ST-03)."""
     rows, features = _model_rows(t), ["f1", "f2", "f3"]
-    out = []
-    for kind in ("ridge", "lasso", "ols"):
-        b, w = st.linear(rows, "y", features, kind)
-        out += [(kind, "intercept", b)] + [(kind, f, x) for f, x in zip(features, w, strict=True)]
-    out += [("vif", f, x) for f, x in st.vif(rows, features).items()]
+    out = _fits(rows, features, ("ridge", "lasso", "ols")) + [("vif", f, x) for f, x in st.vif(rows, features).items()]
     return rows.sparkSession.createDataFrame(out, "model string, term string, value double")
 
 
