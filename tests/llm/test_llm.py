@@ -48,6 +48,21 @@ def test_toxicity_held_out(spark, docs):
     assert ((got.score >= 0.3) == (got.predicted == 1)).all() and got.score.between(0, 1).all()
 
 
+def test_toxicity_held_out_counts(spark):
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    got = toxicity.toxicity(spark, docs, labels).where("held_out").join(labels, "doc_id").toPandas()
+    assert got[got.toxic == 1].predicted.mean() >= 0.9
+    assert got[got.toxic == 0].predicted.mean() <= 0.03
+
+
+def test_toxicity_weak_word_beside_strong_ones():
+    # "mean" is toxic in every bag that has it but mostly stands beside "vile": it must be learnt too.
+    rows = [(f"a plain start {k}. so vile. quite mean. the end", 1) for k in range(60)] + [(f"a plain start. the end of {k}", 0) for k in range(300)]
+    model = toxicity.fit(rows)
+    assert model.score("a plain start. quite mean. the end")[0] >= 0.3 > model.score("a plain start. the end")[0]
+
+
 def test_toxicity_noisy_or_and_spans():
     model = toxicity.ToxicityModel(-4.0, {"vile": 6.0})
     text = "All is well. A VILE thing! Fine"
