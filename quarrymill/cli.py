@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import argparse
+import io
+import logging
 import sys
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +17,24 @@ from quarrymill.schemas import INPUTS, OVERRIDES
 from quarrymill.sources import files, render
 
 
+#: The folder of each stage, by the beginning of its tables' names.
+FOLDERS = {"s1": "s1_inventory", "s2": "s2_metrics", "s3": "s3_graph", "s4": "s4_scoring", "s5": "s5_report"}
+
+
+def place(out: str, name: str, layout: str) -> str:
+    """Where a file of the run goes: beside the others, or in its stage's folder (reports: the last)."""
+    return f"{out}/{name}" if layout == "flat" else f"{out}/{FOLDERS.get(name.split('_')[0], FOLDERS['s5'])}/{name}"
+
+
+def logger(text: io.StringIO) -> logging.Logger:
+    """A logger into text, anew for each run."""
+    log, handler = logging.getLogger(__name__), logging.StreamHandler(text)
+    handler.setFormatter(logging.Formatter("%(asctime)s [%(levelname)s] %(message)s"))
+    log.handlers, log.propagate = [handler], False
+    log.setLevel(logging.INFO)
+    return log
+
+
 def tables(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
     """The dictionary tables of folder/input and the overrides of folder/override that have rows."""
     over = {k: files.with_order(files.read_csv(spark, f"{folder}/override/{k}.csv", c)) for k, c in OVERRIDES.items() if files.headers(spark, f"{folder}/override/{k}.csv")}
@@ -56,6 +77,24 @@ def reports(made: dict[str, DataFrame], named: DataFrame) -> str:
 
 
 def main(argv: list[str] | None = None) -> int:
+    """Runs a command; what it did, and what it failed on, goes to a file of its own in OUT/logs."""
+    a = arguments(argv)
+    spark = SparkSession.builder.appName("quarrymill").getOrCreate()
+    text, began = io.StringIO(), time.time()
+    log = logger(text)
+    log.info("%s %s", a.command, a.folder)
+    try:
+        code = command(spark, a, log)
+        log.info("done with %d after %.1f s", code, time.time() - began)
+        return code
+    except Exception:
+        log.exception("failed after %.1f s", time.time() - began)
+        raise
+    finally:
+        files.write_text(spark, f"{a.out}/logs/{a.command}_{time.strftime('%Y%m%d_%H%M%S', time.gmtime(began))}_{time.time_ns() % 10**6:06d}.log", text.getvalue())
+
+
+def arguments(argv: list[str] | None) -> argparse.Namespace:
     p = argparse.ArgumentParser(prog="quarrymill")
     p.add_argument("command", choices=("run", "validate", "lint", "spike", "diff", "score"))
     p.add_argument("folder")
@@ -66,8 +105,11 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--old")
     p.add_argument("--new")
     p.add_argument("--samples")
-    a = p.parse_args(argv)
-    spark = SparkSession.builder.appName("quarrymill").getOrCreate()
+    p.add_argument("--layout", choices=("flat", "stage"), default="flat")
+    return p.parse_args(argv)
+
+
+def command(spark: SparkSession, a: argparse.Namespace, log: logging.Logger) -> int:
     if a.command == "score":
         config = load(a.config, Scorer()) if a.config else Scorer()
         texts = sqlfolder.scripts(spark, a.folder)
@@ -105,7 +147,8 @@ def main(argv: list[str] | None = None) -> int:
             checks.spikes(made["s2_metrics"], made["s3_edges"].where("EDGE_TYPE = 'APP_CALL'")).show()
             return 0
         for name, df in made.items():
-            files.write_csv(df, f"{a.out}/{name}.csv", single=True)
+            files.write_csv(df, place(a.out, f"{name}.csv", a.layout), single=True)
+            log.info("%s written", name)
             if a.tag:
                 files.snapshot(df, f"{a.out}/snapshots/{name}", a.tag)
         over = tables(spark, a.folder)[1]
@@ -114,17 +157,17 @@ def main(argv: list[str] | None = None) -> int:
         if "pilot_effort" in over and (found := scoring.diagnostics(made["s1_inventory"], made["s2_metrics"], made, config, over["pilot_effort"])):
             import yaml
 
-            files.write_text(spark, f"{a.out}/s4_weight_suggestion.yaml", yaml.safe_dump(found, allow_unicode=True, sort_keys=False))
+            files.write_text(spark, place(a.out, "s4_weight_suggestion.yaml", a.layout), yaml.safe_dump(found, allow_unicode=True, sort_keys=False))
         text = summary(made["s4_scores"]) + reports(made, named)
-        files.write_text(spark, f"{a.out}/summary.md", text)
-        files.write_text(spark, f"{a.out}/summary.html", render.page(text))
-        files.write_text(spark, f"{a.out}/graph.mmd", files.mermaid(made["s3_edges"]))
-        files.write_text(spark, f"{a.out}/quadrants.svg", files.scatter_svg(made["s4_scores"], "D_SCORE", "C_SCORE"))
+        files.write_text(spark, place(a.out, "summary.md", a.layout), text)
+        files.write_text(spark, place(a.out, "summary.html", a.layout), render.page(text))
+        files.write_text(spark, place(a.out, "s3_graph.mmd", a.layout) if a.layout == "stage" else f"{a.out}/graph.mmd", files.mermaid(made["s3_edges"], made["s3_nodes"]))
+        files.write_text(spark, place(a.out, "quadrants.svg", a.layout), files.scatter_svg(made["s4_scores"], "D_SCORE", "C_SCORE"))
         history = files.git_history(a.folder)
         audit = "# Overrides\n\n" + "\n".join(f"- {x}" for x in history) + "\n\n## Units\n\n" + files.markdown_table(named.orderBy("SP_ID"))
-        files.write_text(spark, f"{a.out}/override_audit.md", audit)
+        files.write_text(spark, place(a.out, "override_audit.md", a.layout), audit)
         spikes = files.markdown_table(checks.spikes(made["s2_metrics"], made["s3_edges"].where("EDGE_TYPE = 'APP_CALL'")))
-        files.write_text(spark, f"{a.out}/spikes.md", "# Spikes\n\n" + spikes)
+        files.write_text(spark, place(a.out, "spikes.md", a.layout), "# Spikes\n\n" + spikes)
         return 0
     found = checkpointed(found)
     files.write_csv(found.select("level", "code", "message"), f"{a.out}/{a.command}.csv", single=True)

@@ -177,12 +177,22 @@ def read_snapshot(spark: SparkSession, path: str, tag: str) -> DataFrame:
     return spark.read.parquet(f"{path}/snapshot={tag}")
 
 
-def mermaid(edges: DataFrame) -> str:
-    """A diagram of the edges (SRC, DST, EDGE_TYPE), in order."""
+def mermaid(edges: DataFrame, nodes: DataFrame | None = None) -> str:
+    """A diagram of the edges (SRC, DST, EDGE_TYPE), in order.  With nodes (NODE_ID, NODE_TYPE), each
+    node but a plain unit has its type as its class."""
     from quarrymill.functions.text import safe_id
 
-    rows = edges.select(safe_id("SRC").alias("a"), safe_id("DST").alias("b"), "EDGE_TYPE").orderBy("a", "b", "EDGE_TYPE").toLocalIterator()
-    return "\n".join(["graph LR", *(f"  {r.a} -->|{r.EDGE_TYPE}| {r.b}" for r in rows)]) + "\n"
+    shown = edges.select("SRC", "DST", "EDGE_TYPE")
+    for end in ("SRC", "DST"):
+        kind = F.lit("")
+        if nodes is not None:
+            kinds = nodes.select(F.col("NODE_ID").alias(end), F.lower("NODE_TYPE").alias(f"kind_{end}"))
+            shown = shown.join(kinds, end, "left")
+            kind = F.when(F.col(f"kind_{end}") != "sp", F.concat(F.lit(":::"), f"kind_{end}")).otherwise("")
+        label = F.regexp_replace(end, '"', "#quot;")
+        shown = shown.withColumn(f"box_{end}", F.concat(safe_id(end), F.lit('["'), label, F.lit('"]'), kind))
+    rows = shown.orderBy("SRC", "DST", "EDGE_TYPE").select("box_SRC", "EDGE_TYPE", "box_DST").toLocalIterator()
+    return "\n".join(["graph LR", *(f"  {r.box_SRC} -->|{r.EDGE_TYPE}| {r.box_DST}" for r in rows)]) + "\n"
 
 
 def markdown_pieces(df: DataFrame) -> Iterator[str]:
