@@ -29,6 +29,13 @@ def synthesize_key(owner: Column, package: Column, name: Column, overload: Colum
     return F.when((n > 0) | has, F.concat(base, F.lit("#"), n.cast("string"))).otherwise(base)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """A side that grows with the units or their lines: joined by sorting, never broadcast.  Spark
+    takes an exploded or compressed table for as small as its file, so that its own threshold lets
+    millions of rows into the driver."""
+    return df.hint("merge")
+
+
 def lookup_default(df: DataFrame, side: DataFrame, keys: Sequence[str], values: dict[str, object]) -> DataFrame:
     """Left join to a side with unique keys; missing values get their default."""
     joined = df.join(side.select(*keys, *values), list(keys), "left")
@@ -44,7 +51,7 @@ def semi_flag(df: DataFrame, side: DataFrame, keys: Sequence[str], flag: str) ->
 def additive_counts(df: DataFrame, sides: Sequence[DataFrame], keys: Sequence[str], name: str) -> DataFrame:
     """The sum of each key's rows in several sides, 0 if none; counted before the join."""
     counted = reduce(DataFrame.unionByName, [s.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)) for s in sides])
-    return lookup_default(df, counted.groupBy(*keys).agg(F.sum(name).alias(name)), keys, {name: 0})
+    return lookup_default(df, unsized(counted.groupBy(*keys).agg(F.sum(name).alias(name))), keys, {name: 0})
 
 
 def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

@@ -33,8 +33,8 @@ def units(t: dict[str, DataFrame], config: Pipeline) -> tuple[DataFrame, DataFra
     args = args.select("OWNER", tx.clean_str("PACKAGE_NAME").alias("PKG"), tx.clean_str("OBJECT_NAME").alias("NAME"), overload.alias("OVERLOAD_NO")).distinct()
     found = F.upper(F.regexp_extract("TEXT", tx.SUBPROGRAM, 1))
     src = t["in_source"].where("TYPE = 'PACKAGE BODY'").select("OWNER", F.col("NAME").alias("PKG"), found.alias("NAME")).where("NAME <> ''").distinct()
-    src = src.join(args.select("OWNER", "PKG", "NAME").distinct(), ["OWNER", "PKG", "NAME"], "left_anti").withColumn("OVERLOAD_NO", F.lit(0).cast("long"))
-    parts = args.unionByName(src).join(packages, ["OWNER", "PKG"]).withColumn("TYPE", F.lit("PACKAGE_SUBPROGRAM"))
+    src = src.join(rel.unsized(args.select("OWNER", "PKG", "NAME").distinct()), ["OWNER", "PKG", "NAME"], "left_anti").withColumn("OVERLOAD_NO", F.lit(0).cast("long"))
+    parts = args.unionByName(src).join(rel.unsized(packages), ["OWNER", "PKG"]).withColumn("TYPE", F.lit("PACKAGE_SUBPROGRAM"))
     every = plain.unionByName(parts)
     key = rel.synthesize_key(F.col("OWNER"), F.col("PKG"), F.col("NAME"), F.col("OVERLOAD_NO"))
     return every.withColumn("SP_ID", key), gone
@@ -50,14 +50,14 @@ def inventory(t: dict[str, DataFrame], config: Pipeline, override: DataFrame | N
     rows, gone = units(t, config)
     rows = rows.withColumn("__t", target())
     keys = ["OWNER", "__t"]
-    source = t["in_source"].withColumnRenamed("NAME", "__t")
+    source = rel.unsized(t["in_source"].withColumnRenamed("NAME", "__t"))
     loc = source.where(tx.is_code_line("TEXT")).groupBy(*keys).agg(F.count(F.lit(1)).alias("LOC"))
     rows = rel.lookup_default(rows, loc, keys, {"LOC": 0})
     rows = rel.semi_flag(rows, source.where((F.col("LINE") == 1) & F.upper("TEXT").contains("WRAPPED")), keys, "WRAPPED")
     privs = t["in_tab_privs"].select("GRANTEE", "OWNER", "TABLE_NAME", "PRIVILEGE").unionByName(t["in_role_privs"].select("GRANTEE", "OWNER", "TABLE_NAME", "PRIVILEGE"))
     outside = privs.where((F.upper("PRIVILEGE") == "EXECUTE") & ~F.col("GRANTEE").isin("PUBLIC", *config.target_schemas)).withColumnRenamed("TABLE_NAME", "__t")
-    rows = rel.semi_flag(rows, outside, keys, "CROSS_SCHEMA_CALLABLE")
-    rows = rel.semi_flag(rows, t["in_exec_stats"].where("EXEC_COUNT_PERIOD = 0").withColumnRenamed("OBJECT_NAME", "__t"), keys, "SUSPECT_UNUSED")
+    rows = rel.semi_flag(rows, rel.unsized(outside), keys, "CROSS_SCHEMA_CALLABLE")
+    rows = rel.semi_flag(rows, rel.unsized(t["in_exec_stats"].where("EXEC_COUNT_PERIOD = 0").withColumnRenamed("OBJECT_NAME", "__t")), keys, "SUSPECT_UNUSED")
     remote = t["in_dependencies"].where(tx.clean_str("REFERENCED_LINK_NAME") != "").select("OWNER", F.col("NAME").alias("__t"))
     rows = rel.additive_counts(rows, [remote, link_uses(t).select("OWNER", F.col("NAME").alias("__t"))], keys, "REMOTE_REF_COUNT").drop("__t")
     if override is not None:

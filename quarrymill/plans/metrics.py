@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from quarrymill.functions import text as tx
 from quarrymill.operators import patch as pt
+from quarrymill.operators import relational as rel
 from quarrymill.plans.inventory import target
 
 # Parse modes and their confidence.
@@ -18,7 +19,7 @@ def bodies(t: dict[str, DataFrame], inventory: DataFrame) -> DataFrame:
     """SP_ID, lines (array of LINE, TEXT), preamble (the package's lines before its first
     subprogram).  A package is cut at its subprograms' heads; of two of a name the last counts."""
     src = t["in_source"].where("LINE is not null").withColumn("TEXT", F.coalesce("TEXT", F.lit("")))
-    plain = inventory.where("PKG = ''").select("SP_ID", "OWNER", "NAME", F.col("TYPE")).join(src, ["OWNER", "NAME", "TYPE"]).select("SP_ID", "LINE", "TEXT")
+    plain = inventory.where("PKG = ''").select("SP_ID", "OWNER", "NAME", F.col("TYPE")).join(rel.unsized(src), ["OWNER", "NAME", "TYPE"]).select("SP_ID", "LINE", "TEXT")
     gather = lambda df, key, name: df.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("LINE", "TEXT"))).alias(name))  # noqa: E731  a unit's lines
     pkg = src.where("TYPE = 'PACKAGE BODY'").withColumn("head", F.upper(F.regexp_extract("TEXT", tx.SUBPROGRAM, 1)))
     order = Window.partitionBy("OWNER", "NAME").orderBy("LINE").rowsBetween(Window.unboundedPreceding, 0)
@@ -27,7 +28,7 @@ def bodies(t: dict[str, DataFrame], inventory: DataFrame) -> DataFrame:
     slices = gather(pkg.where("s is not null").select("OWNER", F.col("NAME").alias("PKG"), F.col("s.at").alias("at"), F.col("s.head").alias("NAME"), "LINE", "TEXT"), ["OWNER", "PKG", "at", "NAME"], "lines")
     slices = slices.groupBy("OWNER", "PKG", "NAME").agg(F.max_by("lines", "at").alias("lines"))
     preamble = gather(pkg.where("s is null").select("OWNER", F.col("NAME").alias("PKG"), "LINE", "TEXT"), ["OWNER", "PKG"], "preamble")
-    parts = inventory.where("PKG <> ''").select("SP_ID", "OWNER", "PKG", F.upper("NAME").alias("NAME")).join(slices, ["OWNER", "PKG", "NAME"]).join(preamble, ["OWNER", "PKG"], "left").select("SP_ID", "lines", "preamble")
+    parts = inventory.where("PKG <> ''").select("SP_ID", "OWNER", "PKG", F.upper("NAME").alias("NAME")).join(rel.unsized(slices), ["OWNER", "PKG", "NAME"]).join(rel.unsized(preamble), ["OWNER", "PKG"], "left").select("SP_ID", "lines", "preamble")
     own = gather(plain, ["SP_ID"], "lines").withColumn("preamble", F.lit(None).cast(preamble.schema["preamble"].dataType))
     return own.unionByName(parts)
 
@@ -44,7 +45,7 @@ def metrics(t: dict[str, DataFrame], inventory: DataFrame, override: DataFrame |
     )
     args = args.groupBy("OWNER", "PKG", "U", "OVERLOAD_NO").agg(F.count_if("out").alias("OUT_PARAM"), F.count_if(F.col("out") & F.col("cur")).alias("REF_ARGS"))
     own = t["in_triggers"].select("OWNER", F.col("TRIGGER_NAME").alias("NAME"), tx.clean_str("TABLE_NAME").alias("OWN_TABLE")).dropDuplicates(["OWNER", "NAME"])
-    rows = inventory.withColumn("U", F.upper("NAME")).join(args, ["OWNER", "PKG", "U", "OVERLOAD_NO"], "left").join(own, ["OWNER", "NAME"], "left").join(bodies(t, inventory), "SP_ID", "left")
+    rows = inventory.withColumn("U", F.upper("NAME")).join(rel.unsized(args), ["OWNER", "PKG", "U", "OVERLOAD_NO"], "left").join(rel.unsized(own), ["OWNER", "NAME"], "left").join(rel.unsized(bodies(t, inventory)), "SP_ID", "left")
     rows = rows.withColumn("raw", F.coalesce(_joined("lines"), F.lit("")))
     rows = rows.withColumn("nc", tx.strip_comments("raw"))
     rows = rows.withColumn("clean", tx.mask_strings("nc")).withColumn("dyn", tx.dynamic_sql("nc"))
