@@ -31,18 +31,18 @@ def callables(inventory: DataFrame) -> DataFrame:
 def dependency_edges(t: dict[str, DataFrame], inventory: DataFrame) -> DataFrame:
     """Calls, table uses and remote uses; a package's dependencies go to each of its subprograms."""
     sp = inventory.select("OWNER", target().alias("NAME"), "SP_ID", F.when(F.col("TYPE") == "TRIGGER", "TRIGGER").otherwise("SP").alias("ST"))
-    d = t["in_dependencies"].join(sp, ["OWNER", "NAME"])
+    d = t["in_dependencies"].join(rel.unsized(sp), ["OWNER", "NAME"])
     base = d.select("SP_ID", "ST", "OWNER", F.col("REFERENCED_OWNER").alias("RO"), F.col("REFERENCED_NAME").alias("RN"), F.col("REFERENCED_TYPE").alias("RT"), tx.clean_str("REFERENCED_LINK_NAME").alias("L"))
     syn = base.where("RT = 'SYNONYM' and L = ''").withColumnRenamed("RN", "NAME")
     syn = resolve_synonyms(t, syn).where("TABLE_NAME is not null")
     kind = t["in_objects"].groupBy(F.col("OWNER").alias("RO"), F.col("OBJECT_NAME").alias("RN")).agg(F.min("OBJECT_TYPE").alias("RT"))
-    via = syn.select("SP_ID", "ST", "OWNER", F.col("TABLE_OWNER").alias("RO"), F.col("TABLE_NAME").alias("RN"), tx.clean_str("DB_LINK").alias("L")).join(kind, ["RO", "RN"], "left")
+    via = syn.select("SP_ID", "ST", "OWNER", F.col("TABLE_OWNER").alias("RO"), F.col("TABLE_NAME").alias("RN"), tx.clean_str("DB_LINK").alias("L")).join(rel.unsized(kind), ["RO", "RN"], "left")
     via = via.select("SP_ID", "ST", "OWNER", "RO", "RN", F.coalesce("RT", F.lit("TABLE")).alias("RT"), "L")
     every = base.where("RT <> 'SYNONYM' or L <> ''").unionByName(via)
     remote = _edges(every.where("L <> ''"), F.col("SP_ID"), F.concat(F.lit("REMOTE::"), "RO", F.lit("."), "RN", F.lit("@"), "L"), "REMOTE_REF", "HIGH", "REMOTE", F.col("ST"), "Y")
     local = every.where("L = ''")
     tables = _edges(local.where(F.col("RT").isin("TABLE", "VIEW", "MATERIALIZED VIEW")), F.col("SP_ID"), F.concat(F.lit("TABLE::"), "RO", F.lit("."), "RN"), "REF_TABLE", "HIGH", "TABLE", F.col("ST"))
-    calls = local.where(F.col("RT").isin(*CODE)).join(callables(inventory).select(F.col("OWNER").alias("RO"), F.col("T").alias("RN"), "ONE"), ["RO", "RN"])
+    calls = local.where(F.col("RT").isin(*CODE)).join(rel.unsized(callables(inventory).select(F.col("OWNER").alias("RO"), F.col("T").alias("RN"), "ONE")), ["RO", "RN"])
     return remote.unionByName(tables).unionByName(_edges(calls.where("ONE <> SP_ID"), F.col("SP_ID"), F.col("ONE"), "CALL", "HIGH", "SP", F.col("ST")))
 
 
@@ -66,7 +66,7 @@ def app_edges(t: dict[str, DataFrame], inventory: DataFrame) -> DataFrame:
     base = inventory.select(tx.strip_overload("SP_ID").alias("B"), "SP_ID")
     names = base.unionByName(inventory.select(F.upper(F.concat_ws(".", target(), F.when(F.col("PKG") != "", F.col("NAME")))).alias("B"), "SP_ID")).distinct()
     calls = t["in_app_calls"].withColumn("B", F.upper(F.when(tx.clean_str("SP_NAME_RESOLVED") != "", tx.clean_str("SP_NAME_RESOLVED")).otherwise(tx.clean_str("SP_NAME_RAW"))))
-    j = calls.join(names, "B", "left")
+    j = calls.join(rel.unsized(names), "B", "left")
     src = F.concat(F.lit("APP::"), "REPO")
     hit = _edges(j.where("SP_ID is not null"), src, F.col("SP_ID"), "APP_CALL", "HIGH", "SP", "APP")
     return hit.unionByName(_edges(j.where("SP_ID is null"), src, F.concat(F.lit("UNKNOWN::"), "B"), "APP_CALL", "LOW", "UNKNOWN", "APP"))
@@ -84,8 +84,8 @@ def job_edges(t: dict[str, DataFrame], bodies: DataFrame, inventory: DataFrame)
 
 def grant_checked(edges: DataFrame, inventory: DataFrame, matrix: DataFrame) -> DataFrame:
     """GRANT_OK of calls: Y in one schema or with EXECUTE (to the owner or PUBLIC), else N; '' for other edges."""
-    own = inventory.select("SP_ID", "OWNER", target().alias("T")).unionByName(callables(inventory).select(F.col("ONE").alias("SP_ID"), "OWNER", "T")).dropDuplicates(["SP_ID"])
-    execute = matrix.where(F.upper("PRIVILEGE") == "EXECUTE")
+    own = inventory.select("SP_ID", "OWNER", target().alias("T")).unionByName(callables(inventory).select(F.col("ONE").alias("SP_ID"), "OWNER", "T")).dropDuplicates(["SP_ID"]).transform(rel.unsized)
+    execute = rel.unsized(matrix.where(F.upper("PRIVILEGE") == "EXECUTE"))
     e = edges.join(own.select(F.col("SP_ID").alias("SRC"), F.col("OWNER").alias("SO")), "SRC", "left").join(own.select(F.col("SP_ID").alias("DST"), F.col("OWNER").alias("DO"), F.col("T").alias("DT")), "DST", "left")
     direct = execute.select(F.col("GRANTEE").alias("SO"), F.col("OWNER").alias("DO"), F.col("TABLE_NAME").alias("DT"))
     public = execute.where("GRANTEE = 'PUBLIC'").select(F.col("OWNER").alias("DO"), F.col("TABLE_NAME").alias("DT"))
