@@ -13,17 +13,24 @@ from __future__ import annotations
 
 import random
 import tempfile
+from array import array
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 SMALL_EDGES = 2_000_000
-#: Edges that one task finishes: two columns of them are some tens of MB.
-TASK_EDGES = 300_000
+#: Edges that one task finishes: the ends and a few whole numbers for each end and edge.
+TASK_EDGES = 2_000_000
+#: Rows of a batch that such a task returns.
+BATCH = 100_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -59,86 +66,105 @@ def _spread_least(labels: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _adjacency(batches: Iterator[pd.DataFrame]) -> dict:
-    """The neighbours of each end of the edges in two columns."""
-    near: dict = {}
-    for batch in batches:
-        for a, b in zip(batch.iloc[:, 0].tolist(), batch.iloc[:, 1].tolist(), strict=True):
-            near.setdefault(a, []).append(b)
-            near.setdefault(b, [])
-    return near
+def _coded(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, array, array]:
+    """The ends of the edges in two columns, sorted, and their neighbours as places among them:
+    those of place v stand from start[v] to start[v + 1] in the third."""
+    edges = pa.Table.from_batches(list(batches))
+    ends = pc.unique(pa.chunked_array([*edges.column(0).chunks, *edges.column(1).chunks], edges.schema[0].type))
+    names = ends.take(pc.sort_indices(ends))
+    a, b = (pc.index_in(edges.column(i), value_set=names).to_numpy().astype(np.int32) for i in (0, 1))
+    start = np.concatenate(([0], np.cumsum(np.bincount(a, minlength=len(names))))).astype(np.int32)
+    return names, array("i", start.tobytes()), array("i", b[np.argsort(a, kind="stable")].tobytes())
 
 
-def _task_components(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _task_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, component of the edges' ends, by Tarjan's algorithm without recursion."""
-    near = _adjacency(batches)
-    seen, low, pending, of = {}, {}, [], {}
-    for start in near:
-        if start in seen:
+    if (first := next(batches, None)) is None:
+        return
+    names, start, near = _coded(chain([first], batches))
+    way = array("i", start)
+    seen, low, of = (array("i", [-1]) * len(names) for _ in range(3))
+    pending, count = [], 0
+    for root in range(len(names)):
+        if seen[root] >= 0:
             continue
-        seen[start] = low[start] = len(seen)
-        pending.append(start)
-        path = [(start, iter(near[start]))]
+        path = [root]
         while path:
-            v, ways = path[-1]
-            for w in ways:
-                if w not in seen:
-                    seen[w] = low[w] = len(seen)
-                    pending.append(w)
-                    path.append((w, iter(near[w])))
-                    break
-                if w not in of:
+            v = path[-1]
+            if seen[v] < 0:
+                seen[v] = low[v] = count
+                count += 1
+                pending.append(v)
+            if way[v] < start[v + 1]:
+                w = near[way[v]]
+                way[v] += 1
+                if seen[w] < 0:
+                    path.append(w)
+                elif of[w] < 0:
                     low[v] = min(low[v], seen[w])
-            else:
-                path.pop()
-                if path:
-                    low[path[-1][0]] = min(low[path[-1][0]], low[v])
-                if low[v] == seen[v]:
-                    at = len(pending) - 1
-                    while pending[at] != v:
-                        at -= 1
-                    members = pending[at:]
-                    del pending[at:]
-                    of.update(dict.fromkeys(members, min(members)))
-    if of:
-        yield pd.DataFrame({"node": list(of), "component": list(of.values())})
-
-
-def _task_waves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[v])
+            if low[v] == seen[v]:
+                at = len(pending) - 1
+                while pending[at] != v:
+                    at -= 1
+                least = min(pending[at:])
+                for w in pending[at:]:
+                    of[w] = least
+                del pending[at:]
+    yield from pa.Table.from_arrays([names, names.take(pa.array(np.frombuffer(of, np.int32)))], names=["node", "component"]).to_batches(BATCH)
+
+
+def _task_waves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """component, wave of the ends of an acyclic graph's edges, in topological order."""
-    near = _adjacency(batches)
-    callers = dict.fromkeys(near, 0)
-    for ways in near.values():
-        for w in ways:
-            callers[w] += 1
-    wave = dict.fromkeys(near, 0)
-    ready = [v for v, n in callers.items() if not n]
+    if (first := next(batches, None)) is None:
+        return
+    names, start, near = _coded(chain([first], batches))
+    callers = array("i", np.bincount(np.frombuffer(near, np.int32), minlength=len(names)).astype(np.int32).tobytes())
+    wave = array("i", [0]) * len(names)
+    ready = [v for v, n in enumerate(callers) if not n]
     while ready:
         v = ready.pop()
-        for w in near[v]:
+        for w in near[start[v] : start[v + 1]]:
             wave[w] = max(wave[w], wave[v] + 1)
             callers[w] -= 1
             if not callers[w]:
                 ready.append(w)
-    if wave:
-        yield pd.DataFrame({"component": list(wave), "wave": pd.Series(list(wave.values()), dtype="int64")})
+    yield from pa.Table.from_arrays([names, pa.array(np.frombuffer(wave, np.int32).astype(np.int64))], names=["component", "wave"]).to_batches(BATCH)
 
 
 def _few(edges: DataFrame, bound: int) -> bool:
     return edges.limit(bound + 1).count() <= bound
 
 
+def _trimmed(edges: DataFrame, task_edges: int) -> DataFrame:
+    """The edges without those from a node that no edge enters or to one that none leaves, which
+    lie on no cycle; again while that leaves more than task_edges and takes an eighth or more."""
+    n = edges.count()
+    while n > task_edges:
+        starts, ends = edges.select(F.col("src").alias("dst")).distinct(), edges.select(F.col("dst").alias("src")).distinct()
+        edges = checkpointed(edges.join(starts, "dst", "left_semi").join(ends, "src", "left_semi").select("src", "dst"))
+        was, n = n, edges.count()
+        if n > was - was / 8:
+            break
+    return edges
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """node, component: the least node of its strongly connected component.  By colouring: the
     least label is spread forwards, then each colour's root collects backwards what reaches it;
-    at most task_edges edges that are left are finished in one task."""
+    at most task_edges edges that are left are finished in one task.  Edges that can lie on no
+    cycle are trimmed before."""
     left = checkpointed(nodes.select("node").where("node is not null").distinct())
     e = checkpointed(simple_edges(edges).where("src <> dst"))
     kind, out = left.schema["node"].dataType.simpleString(), None
     while left.limit(1).count():
+        e = _trimmed(e, task_edges)
         if _few(e, task_edges):
             inner = e.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi")
-            found = inner.select("src", "dst").coalesce(1).mapInPandas(_task_components, f"node {kind}, component {kind}")
+            found = inner.select("src", "dst").repartition(1).mapInArrow(_task_components, f"node {kind}, component {kind}")
             found = left.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
             return checkpointed(found if out is None else out.unionByName(found))
         colour = _spread_least(left.select("node", F.col("node").alias("label")), e)
@@ -166,7 +192,7 @@ def waves(components: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES)
     pairs = checkpointed(pairs.where("a <> b").select("a", "b").distinct())
     if _few(pairs, task_edges):
         kind = c.schema["component"].dataType.simpleString()
-        depth = pairs.coalesce(1).mapInPandas(_task_waves, f"component {kind}, wave long")
+        depth = pairs.coalesce(1).mapInArrow(_task_waves, f"component {kind}, wave long")
         return c.join(depth, "component", "left").select("node", "component", F.coalesce("wave", F.lit(0).cast("long")).alias("wave"))
     depth = checkpointed(c.select("component").distinct().withColumn("wave", F.lit(0).cast("long")))
     front = depth
