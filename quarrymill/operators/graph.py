@@ -34,13 +34,16 @@ BATCH = 100_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder; a local session without one gets a temporary folder."""
+    """A checkpoint in the shared folder; a local session without one gets a temporary folder.
+    Its rows make a new table: a checkpoint keeps its plan's estimated size, which a join
+    multiplies, so that its digits would double each round until the driver's memory is full."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarrymill-"))
-    return df.checkpoint()
+    done = df.checkpoint()._jdf
+    return DataFrame(spark._jsparkSession.createDataFrame(done.rdd(), done.schema()), spark)
 
 
 def simple_edges(edges: DataFrame) -> DataFrame:
