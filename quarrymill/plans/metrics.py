@@ -96,10 +96,12 @@ def dynamic_hints(t: dict[str, DataFrame], inventory: DataFrame, resolve: DataFr
 
 
 def parser_bench(m: DataFrame) -> DataFrame:
-    """Counts of parse modes and the share of parsed units."""
+    """Counts of parse modes and the share of parsed units.  The share is taken over the counts, a
+    row for each mode, so that the units are parsed once."""
     by = m.groupBy("PARSE_MODE").agg(F.count(F.lit(1)).alias("COUNT"))
-    rate = m.agg(F.try_divide(F.count_if(F.col("PARSE_MODE").isin("AST", "REGEX")), F.count(F.lit(1))).alias("SUCCESS_RATE"))
-    return by.join(F.broadcast(rate)).select("PARSE_MODE", "COUNT", "SUCCESS_RATE")  # one row
+    every = Window.partitionBy(F.lit(0))
+    parsed = F.when(F.col("PARSE_MODE").isin("AST", "REGEX"), F.col("COUNT")).otherwise(0)
+    return by.select("PARSE_MODE", "COUNT", F.try_divide(F.sum(parsed).over(every), F.sum("COUNT").over(every)).alias("SUCCESS_RATE"))
 
 
 def parse_failures(m: DataFrame) -> DataFrame:
